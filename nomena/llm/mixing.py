@@ -16,8 +16,6 @@ from .common import materialize, running, table, unit, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 SEED = "mix-1"
-#: Documents of a source per bucket of the running sums, about.
-BUCKET = 4096
 #: Times that the words still missing are filled with later documents that fit.
 FILLS = 4
 
@@ -64,7 +62,7 @@ def mix(docs: DataFrame, size: Column, key: list[Column], weights: tuple[float,
     d = d.withColumn("__left", F.col("__target") - F.col("__whole") * F.col("__source_size"))
     u = unit(F.lit(seed), *key)
     d = d.withColumn("__u", u).withColumn("__rank", F.when((F.col("__p") > 0) & (F.col("__p") < 1), (F.col("__u") / (1 - F.col("__u"))) / (F.col("__p") / (1 - F.col("__p")))))
-    d = d.withColumn("__bucket", F.floor(F.col("__u") * F.ceil(F.col("n_docs") / BUCKET)).cast("long"))  # p is one number per source: u orders as the rank does
+    d = d.withColumn("__bucket", F.floor(F.col("__u") * F.ceil(F.sqrt(F.col("n_docs")))).cast("long"))  # as many buckets as rows in each; p is one number per source: u orders as the rank does
     order = [F.col("__rank").asc_nulls_last(), F.col("__u"), *key]
     open_ = F.col("__p") > 0
     d = d.withColumn("__in", F.lit(False))

@@ -7,6 +7,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,6 @@ SHARDS = 16
 #: A group of more than rows / (shards * PARTS) is cut into parts of about that many; only such groups are sent to all executors.
 PARTS = 16
 ROUNDS = 3
-BUCKET = 4096
 
 
 def shard_rows(docs: DataFrame, link: Column, key: list[Column], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -32,7 +33,7 @@ def shard_rows(docs: DataFrame, link: Column, key: list[Column], shards: int = S
         return docs.withColumns({"__shard": F.lit(0), "__slot": F.lit(0).cast("long")}).limit(0)
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     part = max(1, n // (shards * PARTS))
-    buckets = max(1, n // (BUCKET * shards) + 1)
+    buckets = math.isqrt(n // shards) + 1  # as many as rows in each, so neither the sums nor the rows of a bucket get many
     d = docs.withColumn("__link", link).withColumn("__hash", F.xxhash64(*key, F.col("__link")))
     groups = d.groupBy("__link").agg(F.count("*").alias("__n"))
     large = groups.filter(F.col("__n") > part).select(F.col("__link").alias("__l"), F.ceil(F.col("__n") / part).cast("long").alias("__parts"))
