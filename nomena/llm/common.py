@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,16 +83,6 @@ class Batches:
             spark.conf.set(cls.KEY, str(rows))
 
 
-_WORD_BYTES = re.compile(rb"[^ \t-\r]+")
-
-
-def words_of(text: bytes | str | None) -> list[bytes]:
-    """The words of a text in UTF-8, A-Z lower-cased. Bytes of longer characters are never white space or letters A-Z."""
-    if not text:
-        return []
-    return _WORD_BYTES.findall((text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).lower())
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Well-mixed 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -102,32 +90,76 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordCodes:
-    """64-bit hashes of words, never 0; remembers frequent words up to `most`."""
+class Words:
+    """The words of a batch of texts as 64-bit hashes, never 0, computed over the bytes at once; A-Z hash as a-z.
 
-    def __init__(self, most: int = 500_000):
-        self.memo: dict[bytes, int] = {}
-        self.most = most
+    Of every byte's random number times a power of an odd base the running sums are taken; a word's polynomial is the difference of
+    two of them, brought back by the power at its start. Two such polynomials and the length make a hash. In UTF-8 no byte of a longer
+    character is white space or a letter A-Z. Long inputs go in pieces of PIECE bytes, cut between words.
+    """
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w) or 1
-        return np.array([memo[w] for w in words], np.uint64) if words else np.zeros(0, np.uint64)
+    PIECE = 1 << 21
+    BASES = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
+
+    def __init__(self, texts: list[bytes | str | None], memo: dict | None = None):
+        """memo: a dictionary that holds the powers from one batch to the next."""
+        self.memo = {} if memo is None else memo
+        raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"" for t in texts]
+        self.data = b"\n".join(raw)
+        lengths = np.array([len(t) for t in raw], np.int64)
+        offsets = np.cumsum(lengths + 1) - lengths - 1
+        buf = np.frombuffer(self.data, np.uint8)
+        space = np.zeros(256, bool)
+        space[[32, *range(9, 14)]] = True
+        inside = np.zeros(len(buf) + 2, np.int8)
+        inside[1:-1] = ~space[buf]
+        step = np.diff(inside)
+        self.starts, self.ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        self.first = np.searchsorted(self.starts, offsets)  # a text's first word
+        self.counts = np.diff(np.r_[self.first, len(self.starts)])
+        self.codes = self._hashed(buf)
+
+    def _powers(self, base: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        have = self.memo.get(base)
+        if have is None or len(have[1]) < n:
+            grown = lambda b: np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)])
+            numbers = np.random.default_rng(base).integers(0, 1 << 64, 256, np.uint64)
+            numbers[65:91] = numbers[97:123]
+            have = self.memo[base] = numbers, grown(pow(base, -1, 1 << 64)), grown(base)
+        return have
+
+    def _hashed(self, buf: np.ndarray) -> np.ndarray:
+        out, i = np.zeros(len(self.starts), np.uint64), 0
+        while i < len(out):
+            at = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, at + self.PIECE, side="right")))
+            s, e = self.starts[i:j] - at, self.ends[i:j] - at
+            piece, h = buf[at : at + e[-1]], (e - s).astype(np.uint64)
+            for base in self.BASES:
+                numbers, down, up = self._powers(base, max(min(self.PIECE, len(buf)), len(piece)))
+                sums = np.zeros(len(piece) + 1, np.uint64)
+                np.cumsum(numbers[piece] * down[: len(piece)], out=sums[1:])
+                h = mix64(h + (sums[e] - sums[s]) * up[s])
+            out[i:j] = h
+            i = j
+        out[out == 0] = 1
+        return out
+
+    def of(self, i: int) -> np.ndarray:
+        """The hashes of text i."""
+        return self.codes[self.first[i] : self.first[i] + self.counts[i]]
+
+    def between(self, a: int, z: int) -> str:
+        """Words a to z (of the batch) in lower case, joined by blanks."""
+        return b" ".join(self.data[self.starts[a] : self.ends[z - 1]].lower().split(None)).decode("utf-8", "replace") if z > a else ""
 
 
 def run_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words."""
+    """A hash of each run of n words: a polynomial in the words' hashes."""
     if len(codes) < n:
         return np.zeros(0, np.uint64)
-    h = np.zeros(len(codes) - n + 1, np.uint64)
-    for j in range(n):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + len(h)])
+    h = codes[: len(codes) - n + 1].copy()
+    for j in range(1, n):
+        h *= np.uint64(0xD1342543DE82EF95)
+        h += codes[j : j + len(h)]
     return h
-
-
-def numbered(docs: DataFrame, out: str = "__rid") -> DataFrame:
-    """docs, written once, with a number for each row: rows without a usable key can be joined back to."""
-    return materialize(docs.withColumn(out, F.monotonically_increasing_id()))

@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, WordCodes, mix64, run_hashes, table, words_of
+from .common import Batches, Words, mix64, run_hashes, table
 
 SIMILARITY = 0.8
 REPEATS, BANDS, SAMPLE = 4, 24, 4
@@ -49,17 +49,19 @@ def embed(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, s
     return out
 
 
-def band_keys(outputs: np.ndarray, length: int, seed: int, bands: int, sample: int) -> np.ndarray:
-    """A key per window and band: the words at the band's sampled places."""
+def _places(length: int, seed: int, bands: int, sample: int) -> np.ndarray:
+    """bands x sample places of the output of a string of `length` words."""
     rng = np.random.default_rng([seed, length])
-    keys = np.empty((len(outputs), bands), np.uint64)
-    for b in range(bands):
-        places = rng.choice(3 * length, size=min(sample, 3 * length), replace=False)
-        h = np.full(len(outputs), np.uint64((b + 1) * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
-        for x in places:
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + outputs[:, x])
-        keys[:, b] = h
-    return keys
+    return np.stack([rng.choice(3 * length, size=min(sample, 3 * length), replace=False) for _ in range(bands)])
+
+
+def band_keys(outputs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A key per window and band: the words at the band's sampled places."""
+    words = outputs[:, places]
+    h = np.broadcast_to(np.arange(1, len(places) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95), words.shape[:2])
+    for x in range(words.shape[2]):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words[:, :, x]
+    return mix64(h)
 
 
 def edit_within(pattern: str, text: str, most: int) -> int | None:
@@ -96,26 +98,28 @@ class ItemIndex:
     repeats: int = REPEATS
     bands: int = BANDS
     sample: int = SAMPLE
-    words: list[list[bytes]] = field(default_factory=list)
+    joined: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.words = [words_of(t) for _, t in self.items]
-        self.joined = [b" ".join(w).decode("utf-8", "replace") for w in self.words]
-        size = np.array([len(w) for w in self.words], np.int64)
+        words = Words([t for _, t in self.items])
+        self.joined = [words.between(a, a + n) for a, n in zip(words.first, words.counts, strict=True)]
+        size = words.counts.astype(np.int64)
         edits = np.floor((1 - self.similarity) * size + 1e-9).astype(np.int64)
         intact = -(-(size - edits) // (edits + 1))
         self.run = int(max(1, min([3, *intact[size > 0].tolist()])))
         self.size, self.edits = size, edits
         self.least = np.maximum(1, size - self.run + 1 - self.run * edits)  # runs that d edits leave, by the q-gram lemma
         self.tables: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        code, runs = WordCodes(), []
-        for i, w in enumerate(self.words):
-            if not w:
+        self.places = {(n, r): _places(n, SEED + r, self.bands, self.sample) for n in set(size[size > 0].tolist()) for r in range(self.repeats)}
+        runs = []
+        for i in range(len(self.items)):
+            codes = words.of(i)
+            n = len(codes)
+            if not n:
                 continue
-            codes, n = code(w), len(w)
             for r in range(self.repeats):
                 out = embed(codes, np.zeros(1, np.int64), np.array([n]), 3 * n, SEED + r)
-                for k in band_keys(out, n, SEED + r, self.bands, self.sample)[0].tolist():
+                for k in band_keys(out, self.places[n, r])[0].tolist():
                     self.tables[n][k].append(i)
             h = run_hashes(codes, self.run)
             runs.append(np.stack([h, np.full(len(h), i, np.uint64), np.arange(len(h), dtype=np.uint64)]))
@@ -123,24 +127,27 @@ class ItemIndex:
         flat = np.concatenate(runs, axis=1) if runs else np.zeros((3, 0), np.uint64)
         flat = flat[:, np.argsort(flat[0], kind="stable")]
         self.known, begin = np.unique(flat[0], return_index=True)
+        self.maybe = np.zeros(1 << 20, bool)  # by the first bits of a hash: most runs are ruled out without a search
+        self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.begin = np.r_[begin, flat.shape[1]]
         self.item, self.at = flat[1].astype(np.int64), flat[2].astype(np.int64)
 
-    def search(self, texts: list[bytes | str | None], code: WordCodes | None = None) -> list[list[tuple[int, int, int]]]:
+    def search(self, texts: list[bytes | str | None], memo: dict | None = None) -> list[list[tuple[int, int, int]]]:
         """For each text, (item id, first word of the window, edit distance in characters) of the items it holds, one window each."""
-        code = code or WordCodes()
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        words = [words_of(t) for t in texts]
-        gap = np.zeros(1, np.uint64)
-        codes = np.concatenate([x for w in words for x in (code(w), gap)] or [gap])  # a 0 stands between texts
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        begins = ends - [len(w) for w in words] if words else ends
-        if not len(self.known):
+        words = Words(texts, memo)
+        if not len(self.known) or not len(words.codes):
             return out
+        ends = np.cumsum(words.counts + 1) - 1
+        begins = ends - words.counts
+        inside = np.ones(int(ends[-1]) + 1, bool)
+        inside[ends] = False
+        codes = np.zeros(len(inside), np.uint64)  # a 0 stands after each text
+        codes[inside] = words.codes
         h = run_hashes(codes, self.run)
-        slot = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        place = np.flatnonzero(self.known[slot] == h)
-        slot = slot[place]
+        place = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        slot = np.minimum(np.searchsorted(self.known, h[place]), len(self.known) - 1)
+        place, slot = (x[self.known[slot] == h[place]] for x in (place, slot))
         many = self.begin[slot + 1] - self.begin[slot]
         flat = np.repeat(self.begin[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         item, start = self.item[flat], np.repeat(place, many) - self.at[flat]
@@ -167,7 +174,7 @@ class ItemIndex:
                 walked = embed(codes, at, np.minimum(at + n, ends[of]), 3 * int(n.max()), SEED + r)
                 for length in np.unique(n).tolist():
                     rows = np.flatnonzero(n == length)
-                    keys = band_keys(walked[rows], length, SEED + r, self.bands, self.sample)
+                    keys = band_keys(walked[rows], self.places[length, r])
                     table_ = self.tables[length]
                     for x, b in zip(*np.nonzero(np.isin(keys, np.fromiter(table_, np.uint64, len(table_)))), strict=True):
                         y = rows[x]
@@ -179,7 +186,8 @@ class ItemIndex:
             if found.get((t, i), (1, 0))[0] == 0 or seen[:2] == (t, i) and at - seen[2] <= slack:
                 continue  # found as it is, or inside the words that the last window was verified with
             seen = (t, i, at)
-            around = b" ".join(words[t][max(0, at - slack) : at + n + 2 * slack]).decode("utf-8", "replace")
+            a, z = int(words.first[t]), int(words.first[t] + words.counts[t])
+            around = words.between(max(a, a + at - slack), min(z, a + at + n + 2 * slack))
             item_text = self.joined[i]
             distance = edit_within(item_text, around, int((1 - self.similarity) * len(item_text) + 1e-9))
             if distance is not None and ((t, i) not in found or distance < found[t, i][0]):
@@ -212,9 +220,9 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
 def _searcher(sent):
     @F.pandas_udf("array<struct<item_id:long,at:long,distance:long>>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index, code = pickle.loads(sent.value), WordCodes()
+        index, memo = pickle.loads(sent.value), {}
         for texts in batches:
-            yield pd.Series([[{"item_id": a, "at": b, "distance": c} for a, b, c in found] for found in index.search(list(texts), code)])
+            yield pd.Series([[{"item_id": a, "at": b, "distance": c} for a, b, c in found] for found in index.search(list(texts), memo)])
 
     return search
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, WordCodes, materialize, mix64, run_hashes, table, words_of
+from .common import Batches, Words, materialize, mix64, run_hashes, table
 
 #: Signature rows in a bucket, about: what one task sorts at a time.
 BUCKET_ROWS = 2_000_000
@@ -90,9 +90,9 @@ class PartEnum:
         return np.concatenate(out)
 
 
-def _node(words: list[bytes], seed: int) -> tuple[int, int]:
+def _node(codes: np.ndarray, seed: int) -> tuple[int, int]:
     """Two 63-bit halves of a digest of the word string."""
-    d = hashlib.md5(b"%d " % seed + b" ".join(words)).digest()
+    d = hashlib.md5(b"%d " % seed + codes.tobytes()).digest()
     return int.from_bytes(d[:8], "big") >> 1, int.from_bytes(d[8:], "big") >> 1
 
 
@@ -100,12 +100,12 @@ def _members(docs: DataFrame, n: int, seed: int) -> DataFrame:
     """(doc_id, node, check, n_shingles, n_words) of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = WordCodes()
+        memo: dict = {}
         for b in batches:
-            out = []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                w = words_of(t)
-                out.append((i, *_node(w, seed), len(shingles(code(w), n)), len(w)))
+            out, words = [], Words(list(b["text"]), memo)
+            for i, doc_id in enumerate(b["doc_id"]):
+                w = words.of(i)
+                out.append((doc_id, *_node(w, seed), len(shingles(w, n)), len(w)))
             yield pd.DataFrame(out, columns=["doc_id", "node", "check", "n_shingles", "n_words"])
 
     out = docs.mapInPandas(run, "doc_id string, node long, check long, n_shingles long, n_words long")
@@ -116,13 +116,14 @@ def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, bucke
     """(sig, node): distinct rows of all signatures that two nodes or more have."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, scheme = WordCodes(), PartEnum(p, q)
+        memo: dict = {}
+        scheme = PartEnum(p, q)
         for b in batches:
             nodes: dict[int, np.ndarray] = {}
-            for t in b["text"]:
-                w = words_of(t)
-                if w and (k := _node(w, seed)[0]) not in nodes:
-                    nodes[k] = scheme.signatures(shingles(code(w), n))
+            words = Words(list(b["text"]), memo)
+            for w in map(words.of, range(len(b))):
+                if len(w) and (k := _node(w, seed)[0]) not in nodes:
+                    nodes[k] = scheme.signatures(shingles(w, n))
             if not nodes:
                 continue
             sig = np.concatenate(list(nodes.values()))
@@ -185,13 +186,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int) -> DataFrame:
     """(node, found: sorted array of shingle hashes) of the wanted nodes; nodes: (node, doc_id) with one document that has the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code = WordCodes()
+        memo: dict = {}
         for b in batches:
             out: dict[int, np.ndarray] = {}
-            for t in b["text"]:
-                w = words_of(t)
-                if w and (k := _node(w, seed)[0]) not in out:
-                    out[k] = shingles(code(w), n).view(np.int64)
+            words = Words(list(b["text"]), memo)
+            for w in map(words.of, range(len(b))):
+                if len(w) and (k := _node(w, seed)[0]) not in out:
+                    out[k] = shingles(w, n).view(np.int64)
             yield pd.DataFrame({"node": list(out), "found": list(out.values())})
 
     ids = nodes.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id")).distinct()
