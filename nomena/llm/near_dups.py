@@ -7,8 +7,8 @@ subparts of it but one agree. Every subset of n2 - 1 subparts of each part gives
 linked pairs share one. What shares a signature is verified by its whole sets.
 
 Copies (equal word strings) are one node. A signature's nodes are first compared with its smallest node only; what links
-is one component, and only nodes of different components that share a signature are compared further, so a large group of near copies
-is never compared in all pairs. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
+is one component, so a large group of near copies needs no more. Only nodes of signatures that are still apart are compared in all pairs,
+in blocks, by matrix products that pass on no more than the links which join components. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
 row of a signature at most, so no signature fills a bucket.
 
 Cases: null texts and texts without words have an empty set and link with nothing; a text of fewer words than a shingle has one shingle, the whole; null doc_ids
@@ -30,6 +30,8 @@ from .common import Batches, Words, materialize, mix64, run_hashes, table
 
 #: Signature rows in a bucket, about: what one task sorts at a time.
 BUCKET_ROWS = 2_000_000
+#: Sets that are compared with each other at a time.
+BLOCK = 1500
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -226,12 +228,77 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text", hubs: int = 3) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs; p / q is the least similarity of a link.
+def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of linked sets of different components, i with left and j without it (or all, if every set has it), as many as join them.
 
-    hubs: so many times a signature's nodes are compared with one of them only, each time another, before those that are still
-    apart are compared in all pairs.
+    Intersections are products of 0/1 matrices over the shingles that several sets have, a slice of shingles at a time.
     """
+    size = np.array([len(x) for x in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    kinds, where, many = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.cumsum(many > 1) - 1
+    common = many[where] > 1
+    owner, column = owner[common], rank[where[common]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    rows, cols = np.flatnonzero(left), np.flatnonzero(~left) if not left.all() else np.arange(len(sets))
+    both = np.zeros((len(rows), len(cols)), np.float32)
+    width = 1024
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, z = np.searchsorted(column, [at, at + width])
+        x = np.zeros((len(sets), width), np.float32)
+        x[owner[a:z], column[a:z] - at] = 1
+        both += x[rows] @ x[cols].T
+    inter = np.rint(both).astype(np.int64)
+    linked = (inter * q >= (size[rows][:, None] + size[cols] - inter) * p) & (comp[rows][:, None] != comp[cols])
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = c = parent.get(parent[c], parent[c])
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        u, v = root(int(comp[rows[i]])), root(int(comp[cols[j]]))
+        if u != v:
+            parent[u] = v
+            out.append((int(rows[i]), int(cols[j])))
+    return out
+
+
+def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join all components which links join among nodes that share a signature; at: (sig, node).
+
+    Nodes are compared in units: what signatures hold together if that is fewer comparisons, else signature by signature. A unit
+    of more than `block` nodes is dealt to blocks, and each pair of blocks is one task, so no task holds more than two blocks.
+    """
+    m = at.groupBy("sig").agg(F.count("*").cast("double").alias("m"), F.min("node").alias("least"))
+    star = at.join(m, "sig").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    whole = materialize(components(at.select("node").distinct(), star))
+    of_sig = m.join(whole, m["least"] == whole["node"]).select("sig", F.col("comp").alias("unit"), (F.col("m") * F.col("m")).alias("cost"))
+    cost = of_sig.groupBy("unit").agg(F.sum("cost").alias("apart")).join(whole.groupBy(F.col("comp").alias("unit")).agg(F.count("*").cast("double").alias("n")), "unit")
+    split = cost.filter("n * n > apart").select("unit")
+    units = whole.select("node", F.col("comp").alias("unit")).join(split, "unit", "left_anti").select("node", "unit", F.lit(0).alias("kind"))
+    single = at.join(of_sig.join(split, "unit").select("sig"), "sig").select("node", F.col("sig").alias("unit"), F.lit(1).alias("kind"))
+    units = materialize(units.unionByName(single))
+    sizes = units.groupBy("unit", "kind").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    d = units.join(sizes, ["unit", "kind"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    d = d.select("unit", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", (F.col("own") <= F.col("other")).alias("left"))
+    d = d.join(comp, "node").join(sets, "node")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        node = rows["node"].to_numpy()
+        left = rows["left"].to_numpy(bool)
+        found = _spanning([np.asarray(x, np.int64) for x in rows["found"]], rows["comp"].to_numpy(), left, p, q)
+        return pd.DataFrame([(min(node[i], node[j]), max(node[i], node[j])) for i, j in found], columns=["a", "b"])
+
+    return d.groupBy("unit", "kind", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs; p / q is the least similarity of a link."""
     spark = docs.sparkSession
     Batches.small(spark)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
@@ -250,34 +317,20 @@ def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_i
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi")
     sets = materialize(_sets(d, wanted.select("node", "doc_id"), shingle, seed))
     sized = wanted.select("node", "size")
-    edges = done = None
-    comp = sized.select("node", F.col("node").alias("comp"))
-    for turn in range(hubs + 1):
-        # signatures whose nodes are not yet one component
-        at = shared.join(comp, "node")
-        apart = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub")).filter("lo <> hi")
-        shared = materialize(at.join(apart.select("sig", "hub"), "sig").select("sig", "node", "hub"))
-        if not shared.limit(1).count():
-            break
-        at = shared.join(comp.join(sized, "node"), "node")
-        shared = shared.drop("hub")
-        if turn < hubs:
-            hub = at.filter("node = hub").select("sig", F.col("comp").alias("hub_comp"), F.col("size").alias("hub_size"))
-            pairs = at.join(hub, "sig").filter("comp <> hub_comp").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "size", F.col("hub_size").alias("other"))
-        else:
-            x = at.select("sig", F.col("node").alias("a"), F.col("comp").alias("ca"), "size")
-            y = at.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("other"))
-            pairs = x.join(y, "sig").filter("a < b AND ca <> cb")
-        # a set under p / q of the other's size can't be linked with it
-        pairs = pairs.filter(F.least("size", "other") * q >= F.greatest("size", "other") * p).select("a", "b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        tested = materialize(_verified(pairs, sets, p, q))
-        new = tested.filter("linked").select("a", "b")
-        done = tested.select("a", "b") if done is None else done.unionByName(tested.select("a", "b"))
-        if new.limit(1).count():
-            edges = new if edges is None else edges.unionByName(new)
-            comp = materialize(components(sized, edges))
+    # each signature's nodes against its smallest node; a set under p / q of the other's size can't be linked with it
+    hubs = shared.groupBy("sig").agg(F.min("node").alias("hub")).join(sized.select(F.col("node").alias("hub"), F.col("size").alias("other")), "hub")
+    pairs = shared.join(hubs, "sig").filter("node <> hub").select("hub", "node", "other").distinct().join(sized, "node")
+    pairs = pairs.filter(F.least("size", "other") * q >= F.greatest("size", "other") * p).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    edges = materialize(_verified(pairs, sets, p, q).filter("linked").select("a", "b"))
+    comp = materialize(components(sized, edges))
+    # then the nodes of signatures that are not one component yet
+    at = shared.join(comp, "node")
+    apart = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
+    at = materialize(at.join(apart, "sig").select("sig", "node"))
+    if at.limit(1).count():
+        more = materialize(_links_in_blocks(at, comp, sets, p, q))
+        if more.limit(1).count():
+            comp = materialize(components(sized, edges.unionByName(more)))
     label = nodes.join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = label.select("node", "comp").join(least, "comp").select("node", "component_id")
