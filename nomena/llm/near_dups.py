@@ -6,8 +6,8 @@ to n1 parts of n2 subparts each, with 2 * n1 > K: in some part a linked pair dif
 subparts of it but one agree. Every subset of n2 - 1 subparts of each part gives a signature, a hash of the set's shingles there;
 linked pairs share one. What shares a signature is verified by its whole sets.
 
-Copies (equal word strings) are one node. A signature's nodes are first compared with its smallest node only; what links
-is one component, so a large group of near copies needs no more. Only nodes of signatures that are still apart are compared in all pairs,
+Copies (equal word strings) are one node. Nodes that share a signature are first compared with one of them only; what links
+is one component, so a large group of near copies needs no more; each node is compared with one other at a time. Only nodes of signatures that are still apart are compared in all pairs,
 in blocks, by matrix products that pass on no more than the links which join components. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
 row of a signature at most, so no signature fills a bucket.
 
@@ -32,6 +32,8 @@ from .common import Batches, Words, materialize, mix64, run_hashes, table
 BUCKET_ROWS = 2_000_000
 #: Sets that are compared with each other at a time.
 BLOCK = 1500
+#: Times that each node is compared with one other before what is still apart is compared in blocks.
+TURNS = 2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -228,6 +230,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
+def _held_together(at: DataFrame) -> DataFrame:
+    """(node, comp): comp is the smallest node that signatures lead to; at: (sig, node). No pair of nodes is ever made."""
+    labels = at.select("node").distinct().withColumn("comp", F.col("node"))
+    while True:
+        low = at.join(labels, "node").groupBy("sig").agg(F.min("comp").alias("low"))
+        step = at.join(low, "sig").groupBy("node").agg(F.min("low").alias("low")).join(labels.withColumnRenamed("comp", "old"), "node")
+        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("further"))
+        step = materialize(step.join(jump, "low", "left").select("node", "old", F.least("low", F.coalesce("further", "low")).alias("comp")))
+        labels = step.drop("old")
+        if not step.filter("old <> comp").limit(1).count():
+            return labels
+
+
 def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
     """Pairs (i, j) of linked sets of different components, i with left and j without it (or all, if every set has it), as many as join them.
 
@@ -274,8 +289,7 @@ def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q:
     of more than `block` nodes is dealt to blocks, and each pair of blocks is one task, so no task holds more than two blocks.
     """
     m = at.groupBy("sig").agg(F.count("*").cast("double").alias("m"), F.min("node").alias("least"))
-    star = at.join(m, "sig").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    whole = materialize(components(at.select("node").distinct(), star))
+    whole = _held_together(at)
     of_sig = m.join(whole, m["least"] == whole["node"]).select("sig", F.col("comp").alias("unit"), (F.col("m") * F.col("m")).alias("cost"))
     cost = of_sig.groupBy("unit").agg(F.sum("cost").alias("apart")).join(whole.groupBy(F.col("comp").alias("unit")).agg(F.count("*").cast("double").alias("n")), "unit")
     split = cost.filter("n * n > apart").select("unit")
@@ -317,12 +331,20 @@ def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_i
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi")
     sets = materialize(_sets(d, wanted.select("node", "doc_id"), shingle, seed))
     sized = wanted.select("node", "size")
-    # each signature's nodes against its smallest node; a set under p / q of the other's size can't be linked with it
-    hubs = shared.groupBy("sig").agg(F.min("node").alias("hub")).join(sized.select(F.col("node").alias("hub"), F.col("size").alias("other")), "hub")
-    pairs = shared.join(hubs, "sig").filter("node <> hub").select("hub", "node", "other").distinct().join(sized, "node")
-    pairs = pairs.filter(F.least("size", "other") * q >= F.greatest("size", "other") * p).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    edges = materialize(_verified(pairs, sets, p, q).filter("linked").select("a", "b"))
-    comp = materialize(components(sized, edges))
+    comp = sized.select("node", F.col("node").alias("comp"))
+    edges = None
+    for turn in range(TURNS):
+        # each node against one other, the first in a hashed order of all first nodes of its signatures: a pair a node
+        at = shared.join(comp, "node").join(sized, "node")
+        place = F.xxhash64("node", F.lit(turn))
+        hubs = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(place.alias("place"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("size").alias("other"))).alias("h")).filter("lo <> hi")
+        pairs = at.join(hubs.select("sig", "h"), "sig").filter(F.col("comp") != F.col("h.hub_comp"))
+        # a set under p / q of the other's size can't be linked with it
+        pairs = pairs.filter(F.least(F.col("size"), F.col("h.other")) * q >= F.greatest(F.col("size"), F.col("h.other")) * p)
+        pairs = pairs.groupBy("node").agg(F.min("h").alias("h")).select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct()
+        new = materialize(_verified(pairs, sets, p, q).filter("linked").select("a", "b"))
+        edges = new if edges is None else edges.unionByName(new)
+        comp = materialize(components(sized, edges))
     # then the nodes of signatures that are not one component yet
     at = shared.join(comp, "node")
     apart = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
