@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,9 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nomena-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # shuffle files of finished steps are dropped once their plans are collected; on a small heap that may be long after
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

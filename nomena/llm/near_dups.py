@@ -33,7 +33,9 @@ BUCKET_ROWS = 2_000_000
 #: Sets that are compared with each other at a time.
 BLOCK = 1500
 #: Times that each node is compared with one other before what is still apart is compared in blocks.
-TURNS = 2
+TURNS = 1
+#: Most ids that are broadcast (16 MB); beyond it texts and ids are joined through a shuffle.
+SENT = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,7 +119,7 @@ def _members(docs: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, buckets: int) -> DataFrame:
-    """(sig, node): distinct rows of all signatures that two nodes or more have."""
+    """(sig, node) of all signatures that two nodes or more have; a row may come twice."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
@@ -183,7 +185,7 @@ def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, bucke
 
     packed = docs.select("text").mapInPandas(cut, "bucket int, known boolean, blob binary")
     by = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return by.mapInPandas(match, "sig long, node long").distinct()
+    return by.mapInPandas(match, "sig long, node long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int) -> DataFrame:
@@ -200,8 +202,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int) -> DataFrame:
             yield pd.DataFrame({"node": list(out), "found": list(out.values())})
 
     ids = nodes.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id")).distinct()
+    if nodes.count() <= SENT:
+        ids = F.broadcast(ids)  # so that only the wanted texts leave their partition
     texts = docs.join(ids, F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("__id"), "left_semi").select("text")
-    return texts.mapInPandas(run, "node long, found array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return texts.mapInPandas(run, "node long, found array<long>").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -294,7 +298,7 @@ def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q:
     cost = of_sig.groupBy("unit").agg(F.sum("cost").alias("apart")).join(whole.groupBy(F.col("comp").alias("unit")).agg(F.count("*").cast("double").alias("n")), "unit")
     split = cost.filter("n * n > apart").select("unit")
     units = whole.select("node", F.col("comp").alias("unit")).join(split, "unit", "left_anti").select("node", "unit", F.lit(0).alias("kind"))
-    single = at.join(of_sig.join(split, "unit").select("sig"), "sig").select("node", F.col("sig").alias("unit"), F.lit(1).alias("kind"))
+    single = at.join(of_sig.join(split, "unit").select("sig"), "sig").select("node", F.col("sig").alias("unit"), F.lit(1).alias("kind")).distinct()
     units = materialize(units.unionByName(single))
     sizes = units.groupBy("unit", "kind").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     d = units.join(sizes, ["unit", "kind"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -328,7 +332,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_i
     rows = int(words * 2.5 * (q - p) * 2 / (q + p)) + nodes.count()
     buckets = max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
     shared = materialize(_shared_signatures(d, shingle, p, q, seed, buckets))
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi")
+    wanted = materialize(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
     sets = materialize(_sets(d, wanted.select("node", "doc_id"), shingle, seed))
     sized = wanted.select("node", "size")
     comp = sized.select("node", F.col("node").alias("comp"))
