@@ -35,13 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors, is never recomputed."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/nomena-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     # shuffle files of finished steps are dropped once their plans are collected; on a small heap that may be long after
+    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def word_count(text: Column) -> Column:

@@ -34,8 +34,10 @@ BUCKET_ROWS = 2_000_000
 BLOCK = 1500
 #: Times that each node is compared with one other before what is still apart is compared in blocks.
 TURNS = 1
-#: Most ids that are broadcast (16 MB); beyond it texts and ids are joined through a shuffle.
-SENT = 1_000_000
+#: Most rows of a few numbers that are broadcast (some 30 MB); beyond it both sides are joined through a shuffle.
+SENT = 500_000
+#: Parts beyond those needed, so that empty subsets need no signature.
+SPARE = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,33 +68,39 @@ class PartEnum:
             self.band(self.tops[-1] + 1)
         return (self.q - self.p) * 2 * self.tops[band] // (self.q + self.p)
 
-    def parts(self, band: int) -> tuple[int, int]:
-        """(n1, n2). Small sets have three subparts, so that few of them are empty; large ones two."""
+    def parts(self, band: int) -> tuple[int, int, int]:
+        """(n1, n2, spare). Subparts that would hold few shingles are made three to a part, so a subset has twice as many."""
         k = self.most(band)
-        return (1, 1) if k == 0 else (k // 2 + 1, 3 if k < 16 else 2)
+        if k == 0:
+            return 1, 1, 0
+        spare = SPARE if k >= 16 else 0
+        return k // 2 + 1 + spare, 2 if k >= 16 and self.tops[band] >= 8 * (k + 2) else 3, spare
 
     def signatures(self, found: np.ndarray) -> np.ndarray:
-        """found: distinct hashes. 64-bit signatures for the set's band and the next."""
+        """found: distinct hashes. 64-bit signatures for the set's band and the next.
+
+        Empty subsets of shingles agree in many sets that have nothing in common. With `spare` parts more than needed, 1 + spare parts
+        of a linked pair differ in one shingle at most; if no more than spare parts of a set have an empty subset, the pair agrees in
+        one that isn't empty, and the empty ones need no signature.
+        """
         if not len(found):
             return np.zeros(0, np.uint64)
         own = self.band(len(found))
         out = []
         for band in (own, own + 1):
-            n1, n2 = self.parts(band)
+            n1, n2, spare = self.parts(band)
             salt = mix64(np.array([band + 1], np.uint64) * _GOLD)
             h = mix64(found ^ salt)
             m = n1 * n2
-            slot = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            slot = (((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
             sums = np.zeros(m, np.uint64)
-            np.add.at(sums, slot.astype(np.int64), mix64(h * _GOLD))
-            if n2 == 1:
-                keys = sums
-            elif n2 == 2:
-                keys = sums  # one of two subparts agrees
-            else:
-                s = sums.reshape(n1, n2)
-                keys = (s.sum(1, keepdims=True, dtype=np.uint64) - s).ravel()  # all subparts but one
-            out.append(mix64(keys ^ mix64((np.arange(len(keys), dtype=np.uint64) + np.uint64(1)) * _GOLD + salt)))
+            np.add.at(sums, slot, mix64(h * _GOLD))
+            keys, many = sums.reshape(n1, n2), np.bincount(slot, minlength=m).reshape(n1, n2)
+            if n2 > 1:  # all subparts of a part but one
+                keys, many = keys.sum(1, keepdims=True, dtype=np.uint64) - keys, many.sum(1, keepdims=True) - many
+            empty = many == 0
+            keys = mix64(keys.ravel() ^ mix64((np.arange(m, dtype=np.uint64) + np.uint64(1)) * _GOLD + salt))
+            out.append(keys[~empty.ravel()] if spare and empty.any(1).sum() <= spare else keys)
         return np.concatenate(out)
 
 
@@ -102,6 +110,11 @@ def _node(codes: np.ndarray, seed: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big") >> 1, int.from_bytes(d[8:], "big") >> 1
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Written rows, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def _members(docs: DataFrame, n: int, seed: int) -> DataFrame:
     """(doc_id, node, check, n_shingles, n_words) of each document."""
 
@@ -203,18 +216,18 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int) -> DataFrame:
 
     ids = nodes.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id")).distinct()
     if nodes.count() <= SENT:
-        ids = F.broadcast(ids)  # so that only the wanted texts leave their partition
+        ids = F.broadcast(ids)  # so only the wanted texts leave their partition
     texts = docs.join(ids, F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("__id"), "left_semi").select("text")
     return texts.mapInPandas(run, "node long, found array<long>").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """pairs (a, b) with `linked`: their whole sets meet the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("found").alias("__x"))
-    right = sets.select(F.col("node").alias("b"), F.col("found").alias("__y"))
+    """pairs (a, b), written rows, with `linked`: their whole sets meet the threshold. Many b may have one a."""
+    own = sets.select(F.col("node").alias("b"), F.col("found").alias("__y"))
+    others = sets.join(_sent(materialize(pairs.select(F.col("a").alias("node")).distinct())), "node", "left_semi").select(F.col("node").alias("a"), F.col("found").alias("__x"))
     both = F.size(F.array_intersect("__x", "__y"))
     linked = both * q >= (F.size("__x") + F.size("__y") - both) * p
-    return pairs.join(left, "a").join(right, "b").select("a", "b", linked.alias("linked"))
+    return own.join(_sent(pairs), "b").join(others, "a").select("a", "b", linked.alias("linked"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -304,7 +317,7 @@ def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q:
     d = units.join(sizes, ["unit", "kind"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     d = d.select("unit", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", (F.col("own") <= F.col("other")).alias("left"))
-    d = d.join(comp, "node").join(sets, "node")
+    d = sets.join(_sent(materialize(d.join(comp, "node"))), "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         node = rows["node"].to_numpy()
@@ -345,8 +358,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_i
         pairs = at.join(hubs.select("sig", "h"), "sig").filter(F.col("comp") != F.col("h.hub_comp"))
         # a set under p / q of the other's size can't be linked with it
         pairs = pairs.filter(F.least(F.col("size"), F.col("h.other")) * q >= F.greatest(F.col("size"), F.col("h.other")) * p)
-        pairs = pairs.groupBy("node").agg(F.min("h").alias("h")).select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct()
-        new = materialize(_verified(pairs, sets, p, q).filter("linked").select("a", "b"))
+        pairs = pairs.groupBy("node").agg(F.min("h").alias("h")).select(F.col("h.hub").alias("a"), F.col("node").alias("b"))
+        new = materialize(_verified(materialize(pairs), sets, p, q).filter("linked").select("a", "b"))
         edges = new if edges is None else edges.unionByName(new)
         comp = materialize(components(sized, edges))
     # then the nodes of signatures that are not one component yet
