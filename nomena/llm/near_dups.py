@@ -7,8 +7,8 @@ subparts of it but one agree. Every subset of n2 - 1 subparts of each part gives
 linked pairs share one. What shares a signature is verified by its whole sets.
 
 Copies (equal word strings) are one node. Nodes that share a signature are first compared with one of them only; what links
-is one component, so a large group of near copies needs no more; each node is compared with one other at a time. Only nodes of signatures that are still apart are compared in all pairs,
-in blocks, by matrix products that pass on no more than the links which join components. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
+is one component, so a large group of near copies needs no more; each node is compared with one other at a time. Only nodes of signatures that are still apart are compared in all pairs:
+few by few with parity sketches, which rule out most, many in blocks, by matrix products that pass on no more than the links which join components. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
 row of a signature at most, so no signature fills a bucket.
 
 Cases: null texts and texts without words have an empty set and link with nothing; a text of fewer words than a shingle has one shingle, the whole; null doc_ids
@@ -31,7 +31,9 @@ from .common import Batches, Words, materialize, mix64, run_hashes, table
 #: Signature rows in a bucket, about: what one task sorts at a time.
 BUCKET_ROWS = 2_000_000
 #: Sets that are compared with each other at a time.
-BLOCK = 1500
+BLOCK = 4000
+#: Nodes of a signature that are compared pair by pair, with sketches first.
+FEW = 32
 #: Times that each node is compared with one other before what is still apart is compared in blocks.
 TURNS = 1
 #: Most rows of a few numbers that are broadcast (some 30 MB); beyond it both sides are joined through a shuffle.
@@ -201,8 +203,63 @@ def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, bucke
     return by.mapInPandas(match, "sig long, node long")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int) -> DataFrame:
-    """(node, found: sorted array of shingle hashes) of the wanted nodes; nodes: (node, doc_id) with one document that has the text."""
+def sketch_bits(size: int, p: int, q: int) -> int:
+    """A power of two, four times the shingles in which linked sets of that size may differ, or more."""
+    return max(64, 1 << (4 * ((q - p) * 2 * size // (q + p)) - 1).bit_length()) if size else 64
+
+
+def sketch(found: np.ndarray, bits: int) -> bytes:
+    """Parities of the set's shingles by `bits` classes: two sets differ in no fewer shingles than their sketches do in bits."""
+    place = (mix64(found.view(np.uint64) ^ _GOLD) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _near(x: int, nx: int, y: int, ny: int, p: int, q: int) -> bool:
+    """False only if sets of sizes nx and ny with these sketches (as whole numbers) can't be linked."""
+    if min(nx, ny) * q < max(nx, ny) * p:
+        return False
+    a, b = sketch_bits(nx, p, q), sketch_bits(ny, p, q)
+    while a > b:
+        a //= 2
+        x = (x >> a) ^ (x & ((1 << a) - 1))
+    while b > a:
+        b //= 2
+        y = (y >> b) ^ (y & ((1 << b) - 1))
+    return (x ^ y).bit_count() * (q + p) <= (q - p) * (nx + ny)
+
+
+def _small_groups(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): pairs of different components that share a signature and whose sketches don't rule a link out; at: (sig, node), info: (node, comp, size, sketch)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[int, int]] = set()
+        now, held = None, []
+
+        def pairs() -> None:
+            held.sort()
+            for i, (a, ca, na, xa) in enumerate(held):
+                for b, cb, nb, xb in held[i + 1 :]:
+                    if ca != cb and _near(xa, na, xb, nb, p, q):
+                        seen.add((a, b))
+
+        for batch in batches:
+            for sig, *rest, bits in zip(batch["sig"], batch["node"], batch["comp"], batch["size"], batch["sketch"], strict=True):
+                if sig != now:
+                    pairs()
+                    now, held = sig, []
+                held.append((*rest, int.from_bytes(bits, "little")))
+                if len(seen) > 50_000:
+                    yield pd.DataFrame(sorted(seen), columns=["a", "b"])
+                    seen.clear()
+        pairs()
+        yield pd.DataFrame(sorted(seen), columns=["a", "b"], dtype="int64")
+
+    d = at.join(info, "node").select("sig", "node", "comp", "size", "sketch")
+    return d.repartition("sig").sortWithinPartitions("sig").mapInPandas(run, "a long, b long").distinct()
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, n: int, p: int, q: int, seed: int) -> DataFrame:
+    """(node, found: sorted array of shingle hashes, sketch) of the wanted nodes; nodes: (node, doc_id) with one document that has the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
@@ -212,13 +269,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int) -> DataFrame:
             for w in map(words.of, range(len(b))):
                 if len(w) and (k := _node(w, seed)[0]) not in out:
                     out[k] = shingles(w, n).view(np.int64)
-            yield pd.DataFrame({"node": list(out), "found": list(out.values())})
+            yield pd.DataFrame({"node": list(out), "found": list(out.values()), "sketch": [sketch(x, sketch_bits(len(x), p, q)) for x in out.values()]})
 
     ids = nodes.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id")).distinct()
     if nodes.count() <= SENT:
         ids = F.broadcast(ids)  # so only the wanted texts leave their partition
     texts = docs.join(ids, F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("__id"), "left_semi").select("text")
-    return texts.mapInPandas(run, "node long, found array<long>").dropDuplicates(["node"])
+    return texts.mapInPandas(run, "node long, found array<long>, sketch binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -317,7 +374,7 @@ def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q:
     d = units.join(sizes, ["unit", "kind"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     d = d.select("unit", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", (F.col("own") <= F.col("other")).alias("left"))
-    d = sets.join(_sent(materialize(d.join(comp, "node"))), "node")
+    d = sets.select("node", "found").join(_sent(materialize(d.join(comp, "node"))), "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         node = rows["node"].to_numpy()
@@ -346,7 +403,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_i
     buckets = max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
     shared = materialize(_shared_signatures(d, shingle, p, q, seed, buckets))
     wanted = materialize(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
-    sets = materialize(_sets(d, wanted.select("node", "doc_id"), shingle, seed))
+    sets = materialize(_sets(d, wanted.select("node", "doc_id"), shingle, p, q, seed))
     sized = wanted.select("node", "size")
     comp = sized.select("node", F.col("node").alias("comp"))
     edges = None
@@ -362,8 +419,16 @@ def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_i
         new = materialize(_verified(materialize(pairs), sets, p, q).filter("linked").select("a", "b"))
         edges = new if edges is None else edges.unionByName(new)
         comp = materialize(components(sized, edges))
-    # then the nodes of signatures that are not one component yet
+    # then the nodes of signatures that are not one component yet: pair by pair where a signature has few nodes, else in blocks
     at = shared.join(comp, "node")
+    apart = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("sig", "m")
+    at = materialize(at.join(apart, "sig").select("sig", "node", "m").distinct())
+    few = materialize(_small_groups(at.filter(F.col("m") <= FEW).select("sig", "node"), comp.join(sized, "node").join(sets.select("node", "sketch"), "node"), p, q))
+    new = materialize(_verified(few, sets, p, q).filter("linked").select("a", "b"))
+    if new.limit(1).count():
+        edges = edges.unionByName(new)
+        comp = materialize(components(sized, edges))
+    at = at.filter(F.col("m") > FEW).join(comp, "node")
     apart = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
     at = materialize(at.join(apart, "sig").select("sig", "node"))
     if at.limit(1).count():
