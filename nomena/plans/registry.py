@@ -1,4 +1,428 @@
-"""Named queries on the driver's tables, with equivalent SQL."""
+"""Named queries on the driver's tables, each with equivalent SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text, years
+from ..operators import candidates, canon, ranking
+from . import fixtures as fx
+from .fixtures import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, linked: bool = True):
+    """Registers a query with its SQL; linked: the SQL reads the linking fixtures."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            body = sql.strip()
+            ORACLE_SQL[f.__name__] = (f"WITH {fx.SQL}" + (", " + body[5:] if body.startswith("WITH ") else " " + body)) if linked else body
+        return f
+
+    return add
+
+
+def _all(spark, sf):
+    return fx.mentions(spark, sf), fx.entities(spark, sf), fx.periods(spark, sf)
+
+
+_SCORED = """WITH keys AS (SELECT DISTINCT surface, year FROM mentions),
+alias AS (SELECT surface, year, entity_id, 0 AS route FROM keys JOIN periods ON name = surface AND year BETWEEN start_year AND end_year GROUP BY 1, 2, 3),
+pool AS (SELECT * FROM alias UNION ALL SELECT surface, year, e.entity_id, 1 FROM keys JOIN entities e ON title = surface WHERE NOT EXISTS (SELECT 1 FROM alias a WHERE a.surface = keys.surface AND a.year = keys.year AND a.entity_id = e.entity_id)),
+scored AS (SELECT p.*, CAST(CASE WHEN EXISTS (SELECT 1 FROM periods q WHERE q.entity_id = p.entity_id AND p.year BETWEEN q.start_year AND q.end_year) THEN 3
+  WHEN p.year BETWEEN birth_year AND death_year THEN 2 WHEN p.year < birth_year - 5 OR p.year > death_year + 5 THEN -1
+  WHEN birth_year IS NOT NULL THEN 1 ELSE 0 END AS INT) AS score FROM pool p JOIN entities e ON e.entity_id = p.entity_id),
+ranked AS (SELECT surface, year, entity_id, route, score, CAST(row_number() OVER (PARTITION BY surface, year ORDER BY score DESC, route, entity_id) AS INT) AS rank FROM scored)"""
+
+
+@query(_SCORED + " SELECT surface, year, entity_id, CAST(route AS INT) AS route, score, rank FROM ranked")
+def gather_ranked(spark, sf):
+    m, e, p = _all(spark, sf)
+    return candidates.gather(candidates.mention_keys(m), e, p).select("surface", "year", "entity_id", "route", "score", "rank")
+
+
+@query("SELECT DISTINCT surface, year, entity_id FROM mentions JOIN entities ON title = surface")
+def surface_exact(spark, sf):
+    m, e, _ = _all(spark, sf)
+    return candidates.by_title(candidates.mention_keys(m), e).select("surface", "year", "entity_id")
+
+
+@query("SELECT surface, year, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY surface, year ORDER BY entity_id) AS r FROM (SELECT DISTINCT surface, m.year, entity_id FROM mentions m JOIN periods ON name = surface AND m.year BETWEEN start_year AND end_year)) WHERE r <= 30")
+def alias_at_year(spark, sf):
+    m, _, p = _all(spark, sf)
+    return candidates.by_alias_year(candidates.mention_keys(m), p).select("surface", "year", "entity_id")
+
+
+@query("WITH b AS (SELECT string_split(title, ' ')[1] AS base, entity_id, row_number() OVER (PARTITION BY string_split(title, ' ')[1] ORDER BY entity_id) AS r FROM entities), k AS (SELECT DISTINCT surface, year FROM mentions) SELECT surface, year, entity_id FROM k JOIN b ON base = string_split(surface, ' ')[1] WHERE r <= 30")
+def family_pool(spark, sf):
+    m, e, _ = _all(spark, sf)
+    return candidates.by_family(candidates.mention_keys(m), e).select("surface", "year", "entity_id")
+
+
+@query("WITH s AS (SELECT DISTINCT string_split(surface, ' ')[1] AS surface FROM mentions), t AS (SELECT DISTINCT title FROM entities) SELECT surface, title, rank FROM (SELECT surface, title, CAST(row_number() OVER (PARTITION BY surface ORDER BY title) AS INT) AS rank FROM s JOIN t ON contains(title, surface) OR contains(surface, title) WHERE length(surface) >= 2) WHERE rank <= 30")
+def substring_search(spark, sf):
+    m, e, _ = _all(spark, sf)
+    return candidates.by_substring(m.select(F.substring_index("surface", " ", 1).alias("surface")), e.select("title"))
+
+
+@query("WITH s AS (SELECT DISTINCT title FROM entities) SELECT a.title AS a, b.title AS b, CAST(levenshtein(a.title, b.title) AS INT) AS distance FROM s a JOIN s b ON string_split(a.title, ' ')[1] = string_split(b.title, ' ')[1] AND a.title <> b.title WHERE levenshtein(a.title, b.title) <= 6")
+def levenshtein_candidates(spark, sf):
+    """Titles that share their first word and lie within six edits: the block key keeps it from all pairs."""
+    t = fx.entities(spark, sf).select("title").distinct().withColumn("w", F.substring_index("title", " ", 1))
+    d = t.alias("a").join(t.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.title") != F.col("b.title")))
+    return d.select(F.col("a.title").alias("a"), F.col("b.title").alias("b"), F.levenshtein("a.title", "b.title").alias("distance")).filter("distance <= 6")
+
+
+@query("SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * v.embedding[i])), 5) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * v.embedding[i])), 5) DESC, v.vec_id) AS INT) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 10", linked=False)
+def dense_topk(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return candidates.dense_top_k(v.filter("vec_id % 50 = 0"), v, 10)
+
+
+@query(_SCORED + " SELECT score, count(*) AS n FROM ranked GROUP BY score")
+def year_score(spark, sf):
+    return gather_ranked(spark, sf).groupBy("score").agg(F.count("*").alias("n"))
+
+
+@query(_SCORED + ", f AS (SELECT *, max(entity_id) OVER (PARTITION BY surface, year) AS lead FROM ranked) SELECT surface, year, entity_id, place FROM (SELECT surface, year, entity_id, CAST(row_number() OVER (PARTITION BY surface, year ORDER BY CASE WHEN entity_id = lead THEN 0 ELSE 1 END, rank) AS INT) AS place FROM f) WHERE place <= 5")
+def finalists_k(spark, sf):
+    d = gather_ranked(spark, sf).withColumn("lead", F.max("entity_id").over(Window.partitionBy("surface", "year")))
+    return ranking.finalists(d.withColumnRenamed("rank", "r"), ["surface", "year"], F.col("entity_id") == F.col("lead"), [F.col("r")], 5).select("surface", "year", "entity_id", F.col("rank").alias("place"))
+
+
+@query(_SCORED + " SELECT count(*) AS n, count(r.entity_id) AS found FROM mentions m LEFT JOIN ranked r ON r.surface = m.surface AND r.year = m.year AND r.entity_id = m.gold_id AND rank <= 20")
+def pool_recall(spark, sf):
+    m = fx.mentions(spark, sf)
+    pool = gather_ranked(spark, sf).filter("rank <= 20").select("surface", "year", F.col("entity_id").alias("gold_id"), F.lit(1).cast("long").alias("hit"))
+    return m.join(pool, ["surface", "year", "gold_id"], "left").agg(F.count("*").alias("n"), F.sum(F.coalesce("hit", F.lit(0).cast("long"))).alias("found"))
+
+
+_PREDS = _SCORED + ", preds AS (SELECT m.sample_key, m.type, m.gold_id, r.entity_id AS pred_id FROM mentions m LEFT JOIN ranked r ON r.surface = m.surface AND r.year = m.year AND rank = 1 AND substr(md5(m.sample_key), 1, 1) <> '0')"
+
+
+def _preds(spark, sf):
+    m = fx.mentions(spark, sf)
+    first = gather_ranked(spark, sf).filter("rank = 1").select("surface", "year", F.col("entity_id").alias("p"))
+    lost = F.substring(F.md5(F.col("sample_key").cast("binary")), 1, 1) == "0"
+    return m.join(first, ["surface", "year"], "left").withColumn("pred_id", F.when(~lost, F.col("p"))).drop("p")
+
+
+@query(_PREDS + " SELECT count(*) AS n, count(*) FILTER (pred_id IS NULL) AS missing, count(*) FILTER (pred_id = gold_id) AS correct, round(avg(CASE WHEN pred_id = gold_id THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM preds")
+def eval_overall(spark, sf):
+    """Missing predictions count as wrong."""
+    right = F.coalesce(F.col("pred_id") == F.col("gold_id"), F.lit(False))
+    return _preds(spark, sf).agg(F.count("*").alias("n"), F.sum(F.col("pred_id").isNull().cast("long")).alias("missing"), F.sum(right.cast("long")).alias("correct"), F.round(F.avg(right.cast("double")), 9).alias("accuracy"))
+
+
+@query(_PREDS + " SELECT type, count(*) AS n, count(*) FILTER (pred_id = gold_id) AS correct FROM preds WHERE pred_id IS NOT NULL GROUP BY type")
+def eval_by_type(spark, sf):
+    """Missing predictions don't count here."""
+    return _preds(spark, sf).filter("pred_id IS NOT NULL").groupBy("type").agg(F.count("*").alias("n"), F.sum((F.col("pred_id") == F.col("gold_id")).cast("long")).alias("correct"))
+
+
+_TITLE = "SELECT sample_key, CASE WHEN min(CASE WHEN entity_id = gold_id THEN 0 ELSE 1 END) = 0 THEN any_value(gold_id) ELSE min(entity_id) END AS id FROM mentions JOIN entities ON title = surface GROUP BY sample_key"
+
+
+@query(_TITLE)
+def title_resolution(spark, sf):
+    """A title resolves to the gold id if it is among its ids (compatible mode), else to the smallest."""
+    m, e, _ = _all(spark, sf)
+    ids = e.groupBy("title").agg(F.min("entity_id").alias("least"))
+    gold = e.select(F.col("title").alias("surface"), F.col("entity_id").alias("gold_id"), F.lit(True).alias("among"))
+    d = m.join(ids, F.col("surface") == F.col("title")).join(gold, ["surface", "gold_id"], "left")
+    return d.dropDuplicates(["sample_key"]).select("sample_key", F.when(F.col("among"), F.col("gold_id")).otherwise(F.col("least")).alias("id"))
+
+
+_NAME = "SELECT entity_id, y AS year, (SELECT name FROM periods p WHERE p.entity_id = e.entity_id AND y BETWEEN start_year AND end_year ORDER BY seg LIMIT 1) AS name FROM (SELECT entity_id, unnest([1996, 1998, 2000]) AS y FROM entities) e"
+
+
+@query(_NAME)
+def evidence_name_at_year(spark, sf):
+    """The first dated name that covers the year, by a higher-order filter over the entity's own periods."""
+    _, e, p = _all(spark, sf)
+    own = p.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("seg", "name", "start_year", "end_year"))).alias("ps"))
+    d = e.join(own, "entity_id", "left").withColumn("year", F.explode(F.array(F.lit(1996), F.lit(1998), F.lit(2000))))
+    hit = F.filter("ps", lambda x: years.covers(x["start_year"], x["end_year"], F.col("year")))
+    return d.select("entity_id", "year", F.get(hit, F.lit(0))["name"].alias("name"))
+
+
+@query("SELECT entity_id, left(concat_ws('; ', 'title=' || title, 'type=' || category, 'generation=' || generation, 'active=' || birth_year || '-' || death_year), 260) AS sheet FROM entities")
+def evidence_render(spark, sf):
+    """Only listed fields, in fixed order, cut at 260 characters."""
+    e = fx.entities(spark, sf)
+    part = lambda k, c: F.concat(F.lit(f"{k}="), c)
+    sheet = F.concat_ws("; ", part("title", F.col("title")), part("type", F.col("category")), part("generation", F.col("generation").cast("string")), part("active", F.concat("birth_year", F.lit("-"), "death_year")))
+    return e.select("entity_id", F.left(sheet, F.lit(260)).alias("sheet"))
+
+
+@query("SELECT entity_id, string_agg(name || '(' || start_year || '-' || end_year || ')', ', ' ORDER BY seg) AS names FROM periods GROUP BY entity_id")
+def evidence_periods(spark, sf):
+    p = fx.periods(spark, sf)
+    listed = F.array_sort(F.collect_list(F.struct("seg", F.concat("name", F.lit("("), "start_year", F.lit("-"), "end_year", F.lit(")")).alias("s"))))
+    return p.groupBy("entity_id").agg(F.array_join(F.transform(listed, lambda x: x["s"]), ", ").alias("names"))
+
+
+@query("SELECT entity_id, coalesce(CAST(birth_year AS VARCHAR), '?') || '-' || coalesce(CAST(death_year AS VARCHAR), '?') AS span FROM entities")
+def evidence_spans(spark, sf):
+    return fx.entities(spark, sf).select("entity_id", years.span(F.col("birth_year"), F.col("death_year")).alias("span"))
+
+
+_CANON = """WITH RECURSIVE part_keys AS (SELECT p_partkey AS id, '0:' || p_brand || '|' || p_type || '|' || p_size AS k FROM part{more}),
+edges AS (SELECT DISTINCT a.id AS a, b.id AS b FROM part_keys a JOIN part_keys b ON a.k = b.k),
+reach AS (SELECT p_partkey AS a, p_partkey AS b FROM part UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT a AS entity_id, min(b) AS canon_id FROM reach GROUP BY a"""
+
+
+@query(_CANON.format(more=""), linked=False)
+def canon_source(spark, sf):
+    e = fx.entities(spark, sf)
+    return canon.canon_map(e, [F.concat_ws("|", "source", "category", "size")])
+
+
+@query(_CANON.format(more=" UNION SELECT p_partkey, '1:' || p_name || '|' || p_type || '|' || p_size FROM part"), linked=False)
+def canon_full(spark, sf):
+    e = fx.entities(spark, sf)
+    return canon.canon_map(e, [F.concat_ws("|", "source", "category", "size"), F.concat_ws("|", "title", "category", "size")])
+
+
+@query("SELECT surface, type, gold_id, sample_key FROM (SELECT *, row_number() OVER (PARTITION BY surface, type, gold_id ORDER BY year, sample_key) AS r FROM mentions) WHERE r = 1")
+def dedup_keep_first(spark, sf):
+    return ranking.keep_first(fx.mentions(spark, sf), ["surface", "type", "gold_id"], ["year", "sample_key"]).select("surface", "type", "gold_id", "sample_key")
+
+
+@query("SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL AND quality <> -1", linked=False)
+def clean_no_gold(spark, sf):
+    return table(spark, sf, "labels").filter("quality IS NOT NULL AND quality <> -1").select("doc_id", "quality")
+
+
+@query("SELECT surface, count(DISTINCT gold_id) AS n FROM mentions GROUP BY surface HAVING count(DISTINCT gold_id) >= 2")
+def ambiguous_surfaces(spark, sf):
+    return fx.mentions(spark, sf).groupBy("surface").agg(F.count_distinct("gold_id").alias("n")).filter("n >= 2")
+
+
+@query("SELECT sample_key, CASE WHEN n >= 2 THEN 'multi' ELSE '' END AS tags FROM mentions JOIN (SELECT surface, year, count(DISTINCT gold_id) AS n FROM mentions GROUP BY 1, 2) USING (surface, year)")
+def tag_multi(spark, sf):
+    m = fx.mentions(spark, sf)
+    n = m.groupBy("surface", "year").agg(F.count_distinct("gold_id").alias("n"))
+    tags = F.when(F.col("n") >= 2, F.array_sort(F.array_union(F.array().cast("array<string>"), F.array(F.lit("multi"))))).otherwise(F.array().cast("array<string>"))
+    return m.join(n, ["surface", "year"]).select("sample_key", F.array_join(tags, ",").alias("tags"))
+
+
+def _split(key: str, least: str) -> str:
+    return f"""WITH k AS (SELECT DISTINCT {key} AS k FROM mentions), r AS (SELECT k, row_number() OVER (ORDER BY md5('42:' || k), k) AS r, count(*) OVER () AS n FROM k)
+SELECT k AS split_key, CASE WHEN r <= {least} THEN 'test' WHEN r <= 2 * {least} THEN 'valid' ELSE 'train' END AS split FROM r"""
+
+
+def _hash_split(keys: DataFrame, least: int) -> DataFrame:
+    """First int(n / 10) keys by seeded digest are test, the next valid, the rest train. Only the two cut-off digests go to the driver."""
+    d = keys.distinct().withColumn("h", F.md5(F.concat(F.lit("42:"), F.col("split_key")).cast("binary")))
+    n = max(least, int(d.count() * 0.1))
+    cut = [(r[0], r[1]) for r in d.orderBy("h", "split_key").limit(2 * n).filter(F.lit(True)).groupBy().agg(F.max(F.struct("h", "split_key")).alias("m")).select("m.h", "m.split_key").collect()] if n else []
+    first = [(r[0], r[1]) for r in d.orderBy("h", "split_key").limit(n).groupBy().agg(F.max(F.struct("h", "split_key")).alias("m")).select("m.h", "m.split_key").collect()] if n else []
+    at = lambda c: F.struct("h", "split_key") <= F.struct(F.lit(c[0][0]), F.lit(c[0][1])) if c else F.lit(False)
+    return d.select("split_key", F.when(at(first), "test").when(at(cut), "valid").otherwise("train").alias("split"))
+
+
+@query(_split("surface || '|' || gold_id", "CAST(floor(n * 0.1) AS BIGINT)"))
+def split_pair(spark, sf):
+    return _hash_split(fx.mentions(spark, sf).select(F.concat_ws("|", "surface", "gold_id").alias("split_key")), 0)
+
+
+@query(_split("CAST(gold_id AS VARCHAR)", "greatest(1, CAST(floor(n * 0.1) AS BIGINT))"))
+def split_entity(spark, sf):
+    return _hash_split(fx.mentions(spark, sf).select(F.col("gold_id").cast("string").alias("split_key")), 1)
+
+
+@query("SELECT CASE WHEN year >= 2000 THEN 'test' WHEN year = 1999 THEN 'valid' ELSE 'train' END AS split, count(*) AS n FROM mentions GROUP BY 1")
+def split_temporal(spark, sf):
+    split = F.when(F.col("year") >= 2000, "test").when(F.col("year") == 1999, "valid").otherwise("train")
+    return fx.mentions(spark, sf).groupBy(split.alias("split")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT book, n, CASE r WHEN 1 THEN 'test' WHEN 2 THEN 'valid' ELSE 'train' END AS split FROM (SELECT coalesce(book, '?') AS book, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(book, '?')) AS r FROM mentions GROUP BY 1)")
+def split_book(spark, sf):
+    """Largest book test, second valid, ties by name: two rows decide, so they are taken by a top-k, not by a global window."""
+    n = fx.mentions(spark, sf).groupBy(F.coalesce("book", F.lit("?")).alias("book")).agg(F.count("*").alias("n"))
+    top = [r[0] for r in n.orderBy(F.desc("n"), "book").limit(2).collect()] + [None, None]
+    return n.withColumn("split", F.when(F.col("book") == F.lit(top[0]), "test").when(F.col("book") == F.lit(top[1]), "valid").otherwise("train"))
+
+
+@query("WITH s AS (SELECT surface, gold_id, CASE WHEN year >= 2000 THEN 'test' WHEN year = 1999 THEN 'valid' ELSE 'train' END AS split FROM mentions), t AS (SELECT DISTINCT surface, gold_id FROM s WHERE split = 'train') SELECT count(*) AS n, count(t.gold_id) AS leaked FROM s LEFT JOIN t USING (surface, gold_id) WHERE split = 'test'")
+def split_leak(spark, sf):
+    m = fx.mentions(spark, sf)
+    train = m.filter("year < 1999 OR year IS NULL").select("surface", "gold_id", F.lit(True).alias("seen")).distinct()
+    return m.filter("year >= 2000").join(train, ["surface", "gold_id"], "left").agg(F.count("*").alias("n"), F.sum(F.col("seen").isNotNull().cast("long")).alias("leaked"))
+
+
+@query("WITH k AS (SELECT DISTINCT surface, year FROM mentions), c AS (SELECT surface, year, e.entity_id, CASE WHEN year BETWEEN birth_year AND death_year THEN 16 ELSE 0 END AS flags, coalesce(abs(year * 2 - birth_year - death_year), 1000000000) AS distance FROM k JOIN entities e ON title = surface) SELECT surface, year, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY surface, year ORDER BY flags DESC, distance, entity_id) AS r FROM c) WHERE r = 1")
+def relink_argmax(spark, sf):
+    """Best flags, then the smallest distance of the year to the middle of the lifetime, then the smallest id."""
+    m, e, _ = _all(spark, sf)
+    c = candidates.by_title(candidates.mention_keys(m), e).join(e.select("entity_id", "birth_year", "death_year"), "entity_id")
+    flags = F.when(years.covers(F.col("birth_year"), F.col("death_year"), F.col("year")), 16).otherwise(0)
+    distance = F.coalesce(F.abs(F.col("year") * 2 - F.col("birth_year") - F.col("death_year")), F.lit(1_000_000_000))
+    return c.groupBy("surface", "year").agg(F.min_by("entity_id", F.struct(-flags, distance, "entity_id")).alias("entity_id"))
+
+
+@query("SELECT entity_id, lpad(bin(f), 7, '0') AS flags FROM (SELECT entity_id, (CASE WHEN generation <= 3 THEN 4 ELSE 0 END) | (CASE WHEN birth_year BETWEEN 1990 AND 1997 THEN 8 ELSE 0 END) | (CASE WHEN 1998 BETWEEN birth_year AND death_year THEN 16 ELSE 0 END) AS f FROM entities)")
+def match_flags(spark, sf):
+    e = fx.entities(spark, sf)
+    f = years.match_flags(F.lit(False), F.col("generation") <= 3, F.col("birth_year").between(1990, 1997), years.covers(F.col("birth_year"), F.col("death_year"), F.lit(1998)))
+    return e.select("entity_id", years.shown_bits(f).alias("flags"))
+
+
+@query("WITH c AS (SELECT m.sample_key, count(*) AS n, sum(CASE WHEN m.year BETWEEN birth_year - 5 AND death_year + 5 THEN 1 ELSE 0 END) AS active FROM mentions m JOIN entities e ON title = surface GROUP BY 1) SELECT CASE WHEN n = 1 THEN 'unique' WHEN active = 1 THEN 'active' WHEN active = 0 THEN 'unresolved' ELSE 'ambiguous' END AS outcome, count(*) AS n FROM c GROUP BY 1")
+def resolve_ladder(spark, sf):
+    """Candidates are counted once per (surface, year), not per mention."""
+    m, e, _ = _all(spark, sf)
+    active = F.col("year").between(F.col("birth_year") - 5, F.col("death_year") + 5)
+    c = candidates.by_title(candidates.mention_keys(m), e).join(e.select("entity_id", "birth_year", "death_year"), "entity_id")
+    c = c.groupBy("surface", "year").agg(F.count("*").alias("n"), F.sum(F.when(active, 1).otherwise(0)).alias("active"))
+    outcome = F.when(F.col("n") == 1, "unique").when(F.col("active") == 1, "active").when(F.col("active") == 0, "unresolved").otherwise("ambiguous")
+    return m.join(c, ["surface", "year"]).groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, right(coalesce(text, ''), 40) AS l, left(coalesce(text, ''), 40) AS r FROM documents", linked=False)
+def window_context(spark, sf):
+    d = table(spark, sf, "documents")
+    left, right = text.window_context(F.col("text"), F.col("text"), 40)
+    return d.select("doc_id", left.alias("l"), right.alias("r"))
+
+
+@query("SELECT sample_key, ' [年:' || CASE WHEN coalesce(year, 0) = 0 THEN '?' ELSE CAST(year AS VARCHAR) END || '|書:' || replace(coalesce(book, ''), '|', '/') || '] ' AS token FROM mentions")
+def year_token(spark, sf):
+    return fx.mentions(spark, sf).select("sample_key", text.year_token(F.col("year"), F.col("book")).alias("token"))
+
+
+@query(f"SELECT doc_id, translate(CASE WHEN lang = 'de' THEN replace(t, 'ß', 'ss') ELSE t END, '{text.WITH_DIACRITICS}', '{text.WITHOUT}') AS norm FROM (SELECT doc_id, lang, regexp_replace(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), '^[ .,;:!?]+|[ .,;:!?]+$', '', 'g') AS t FROM documents)", linked=False)
+def normalize_generic(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.normalize_generic("text", "lang").alias("norm"))
+
+
+@query("SELECT entity_id, translate(title, ' ', '') AS norm, title AS base FROM entities")
+def normalize_name(spark, sf):
+    return fx.entities(spark, sf).select("entity_id", text.normalize_name("title").alias("norm"), text.mention_base("title").alias("base"))
+
+
+@query("SELECT surface, gold_id AS entity_id, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY surface) AS DOUBLE), 9) AS p FROM mentions GROUP BY surface, gold_id")
+def pem_prior(spark, sf):
+    return candidates.prior(fx.mentions(spark, sf))
+
+
+@query("SELECT surface, entity_id FROM (SELECT surface, gold_id AS entity_id, row_number() OVER (PARTITION BY surface ORDER BY count(*) DESC, gold_id) AS r FROM mentions GROUP BY surface, gold_id) WHERE r = 1")
+def pem_argmax(spark, sf):
+    n = fx.mentions(spark, sf).groupBy("surface", "gold_id").agg(F.count("*").alias("n"))
+    return n.groupBy("surface").agg(F.min_by("gold_id", F.struct(-F.col("n"), "gold_id")).alias("entity_id"))
+
+
+@query("WITH t AS (SELECT DISTINCT string_split(title, ' ') AS w FROM entities), p AS (SELECT w, unnest(range(0, len(w))) AS i FROM t) SELECT array_to_string(w[1:i], ' ') AS prefix, w[i + 1] AS next FROM p GROUP BY 1, 2")
+def trie_next(spark, sf):
+    w = F.split("title", " ")
+    d = fx.entities(spark, sf).select("title").distinct().select(w.alias("w"), F.posexplode(w).alias("i", "next"))
+    return d.select(F.array_join(F.slice("w", F.lit(1), F.col("i")), " ").alias("prefix"), "next").distinct()
+
+
+@query("SELECT doc_id, i AS tok_idx, tok, start FROM (SELECT doc_id, i, toks[i] AS tok, CAST(coalesce(sum(length(toks[i]) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT doc_id, string_split(text, ' ') AS toks FROM documents) d, range(1, len(toks) + 1) t(i))", linked=False)
+def token_offsets(spark, sf):
+    w = Window.partitionBy("doc_id").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("i", "tok")).withColumn("tok_idx", (F.col("i") + 1).cast("long"))
+    return d.select("doc_id", "tok_idx", "tok", F.coalesce(F.sum(F.length("tok") + 1).over(w), F.lit(0)).cast("long").alias("start"))
+
+
+_BIO = """WITH e AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+g AS (SELECT *, sum(CASE WHEN before = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS span FROM e)
+SELECT user_id, CAST(span AS BIGINT) AS span, any_value(event_type) AS kind, count(*) AS n FROM g GROUP BY user_id, span"""
+
+
+@query(_BIO, linked=False)
+def bio_spans(spark, sf):
+    """Runs of equal labels, as spans of a tagged sequence are found: a new span begins where the label changes."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type").withColumn("before", F.lag("event_type").over(w))
+    new = F.when(F.col("before") == F.col("event_type"), 0).otherwise(1)
+    return e.withColumn("span", F.sum(new).over(w)).groupBy("user_id", "span").agg(F.first("event_type").alias("kind"), F.count("*").alias("n"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS BIGINT) AS n_links, coalesce(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)[1], '') AS first_link FROM pages", linked=False)
+def html_title_links(spark, sf):
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(links).cast("long").alias("n_links"), F.coalesce(F.get(links, F.lit(0)), F.lit("")).alias("first_link"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", linked=False)
+def json_answer(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object(text.outer_json("props"), "$.k").cast("long").alias("k"))
+
+
+@query("SELECT user_id, event_type, n AS votes FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, max(ts) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r = 1", linked=False)
+def majority_vote(spark, sf):
+    return ranking.majority(table(spark, sf, "events"), ["user_id"], "event_type", [F.max("ts")]).select("user_id", "event_type", "votes")
+
+
+@query("SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY round(max(value), 6) DESC, count(*) DESC, event_type DESC) AS r FROM events GROUP BY 1, 2) WHERE r = 1", linked=False)
+def rerank_argmax(spark, sf):
+    e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.round(F.max("value"), 6).alias("q"), F.count("*").alias("n"))
+    return e.groupBy("user_id").agg(F.max_by("event_type", F.struct("q", "n", "event_type")).alias("event_type"))
+
+
+@query("SELECT event_type, k % 3 AS tier, count(*) AS calls, round(count(*) * CAST(0.000615 AS DOUBLE), 9) AS cost FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ROLLUP (k % 3, event_type)", linked=False)
+def cost_rollup(spark, sf):
+    e = table(spark, sf, "events").select("event_type", (F.get_json_object("props", "$.k").cast("long") % 3).alias("tier"))
+    return e.rollup("tier", "event_type").agg(F.count("*").alias("calls")).select("event_type", "tier", "calls", F.round(F.col("calls") * 0.000615, 9).alias("cost"))
+
+
+@query("SELECT o_orderpriority AS method, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1", linked=False)
+def summary_pivot(spark, sf):
+    d = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("method")).pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
+    return d.select("method", *[F.coalesce(x, F.lit(0)).cast("long").alias(x.lower()) for x in ("F", "O", "P")])
+
+
+@query("SELECT p.entity_id, seg FROM periods p JOIN entities e USING (entity_id) WHERE NOT (end_year < birth_year OR start_year > death_year - 1)")
+def period_life_filter(spark, sf):
+    """Periods that do not lie wholly outside the lifetime (here less its last year)."""
+    _, e, p = _all(spark, sf)
+    outside = (F.col("end_year") < F.col("birth_year")) | (F.col("start_year") > F.col("death_year") - 1)
+    return p.join(e.select("entity_id", "birth_year", "death_year"), "entity_id").filter(~outside).select("entity_id", "seg")
+
+
+@query("SELECT e.entity_id, least(min(start_year), any_value(birth_year)) AS lo, greatest(max(end_year), any_value(death_year)) AS hi FROM entities e LEFT JOIN periods p USING (entity_id) GROUP BY 1")
+def active_window(spark, sf):
+    _, e, p = _all(spark, sf)
+    own = p.groupBy("entity_id").agg(F.min("start_year").alias("s"), F.max("end_year").alias("t"))
+    return e.join(own, "entity_id", "left").select("entity_id", F.least("s", "birth_year").alias("lo"), F.greatest("t", "death_year").alias("hi"))
+
+
+@query("SELECT event_id, md5(event_type || ':' || props) AS req, CAST(row_number() OVER (PARTITION BY event_type, props ORDER BY event_id) - 1 AS INT) AS occ FROM events", linked=False)
+def cache_occurrence(spark, sf):
+    w = Window.partitionBy("event_type", "props").orderBy("event_id")
+    req = F.md5(F.concat_ws(":", "event_type", "props").cast("binary"))
+    return table(spark, sf, "events").select("event_id", req.alias("req"), (F.row_number().over(w) - 1).alias("occ"))
+
+
+@query("SELECT s, count(DISTINCT entity_id) AS n FROM (SELECT entity_id, source AS s FROM entities EXCEPT SELECT gold_id, book FROM mentions) GROUP BY s")
+def set_difference(spark, sf):
+    m, e, _ = _all(spark, sf)
+    d = e.select("entity_id", F.col("source").alias("s")).subtract(m.select("gold_id", "book"))
+    return d.groupBy("s").agg(F.count_distinct("entity_id").alias("n"))
+
+
+@query("SELECT source, CAST(count(DISTINCT category) > 1 AS BOOLEAN) AS varies, avg(CASE WHEN birth_year IS NOT NULL THEN 1.0 ELSE 0.0 END) AS covered FROM entities GROUP BY source")
+def field_coverage(spark, sf):
+    e = fx.entities(spark, sf)
+    return e.groupBy("source").agg((F.count_distinct("category") > 1).alias("varies"), F.avg(F.col("birth_year").isNotNull().cast("double")).alias("covered"))
+
+
+@query("WITH c AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT item_id, count(DISTINCT doc_id) AS n FROM c GROUP BY item_id", linked=False)
+def leak_containment(spark, sf):
+    """Documents that hold an item verbatim: the items are a stated query set and are broadcast; every document meets each once."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+    d = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(items), F.col("text").contains(F.col("item")))
+    return d.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
