@@ -25,10 +25,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays; texts without words are in no group."""
-    d = numbered(docs)
-    groups = near_dups.near_groups(d.select("__rid", "text"), SHINGLE, P, Q, doc_id="__rid").select(F.col("doc_id").alias("__rid"), "component_id")
-    first = groups.join(d.select("__rid", "doc_id"), "__rid").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__rid")).alias("m"))
-    return d.join(first.select(F.col("m.__rid").alias("__rid")), "__rid", "left_semi").select(*docs.columns)
+    groups = materialize(near_dups.near_groups(docs.select("doc_id", "text"), SHINGLE, P, Q).select("doc_id", "key", "group"))
+    first = groups.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select("m.doc_id", "m.key")
+    stay = materialize(first.unionByName(groups.filter("group IS NULL").select("doc_id", "key")).distinct().select(F.col("doc_id").alias("__id"), F.col("key").alias("__stay")))
+    stay = F.broadcast(stay) if stay.count() <= near_dups.SENT else stay
+    d = docs.withColumn("__key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    d = d.join(stay, d["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__stay")), "left_semi")
+    twice = groups.filter("group IS NOT NULL").groupBy("doc_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    if twice.limit(1).count():  # rows repeated as a whole: one stays
+        on = d["doc_id"].eqNullSafe(twice["doc_id"]) & (F.col("__key") == twice["key"])
+        d = d.join(twice, on, "left_anti").unionByName(d.join(twice, on, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return d.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,8 +34,6 @@ BUCKET_ROWS = 2_000_000
 BLOCK = 4000
 #: Nodes of a signature that are compared pair by pair, with sketches first.
 FEW = 32
-#: Times that each node is compared with one other before what is still apart is compared in blocks.
-TURNS = 1
 #: Most rows of a few numbers that are broadcast (some 30 MB); beyond it both sides are joined through a shuffle.
 SENT = 500_000
 #: Parts beyond those needed, so that empty subsets need no signature.
@@ -117,8 +115,8 @@ def _sent(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SENT else rows
 
 
-def _members(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """(doc_id, node, check, n_shingles, n_words) of each document."""
+def _members(docs: DataFrame, n: int, p: int, q: int, seed: int) -> DataFrame:
+    """(doc_id, node, check, n_shingles, n_words, sketch, key) of each document; key: digest of the text as it is."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
@@ -126,10 +124,11 @@ def _members(docs: DataFrame, n: int, seed: int) -> DataFrame:
             out, words = [], Words(list(b["text"]), memo)
             for i, doc_id in enumerate(b["doc_id"]):
                 w = words.of(i)
-                out.append((doc_id, *_node(w, seed), len(shingles(w, n)), len(w)))
-            yield pd.DataFrame(out, columns=["doc_id", "node", "check", "n_shingles", "n_words"])
+                found = shingles(w, n)
+                out.append((doc_id, *_node(w, seed), len(found), len(w), sketch(found, sketch_bits(len(found), p, q)), hashlib.md5(b["text"].iloc[i] or b"").hexdigest()))
+            yield pd.DataFrame(out, columns=["doc_id", "node", "check", "n_shingles", "n_words", "sketch", "key"])
 
-    out = docs.mapInPandas(run, "doc_id string, node long, check long, n_shingles long, n_words long")
+    out = docs.mapInPandas(run, "doc_id string, node long, check long, n_shingles long, n_words long, sketch binary, key string")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -148,6 +147,8 @@ def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, bucke
             if not nodes:
                 continue
             sig = np.concatenate(list(nodes.values()))
+            # 40 bits and the bucket are left of a signature: a chance collision adds a candidate, it loses none
+            sig = (sig % np.uint64(buckets)) << np.uint64(40) | sig >> np.uint64(24)
             node = np.repeat(np.fromiter(nodes, np.int64, len(nodes)), [len(x) for x in nodes.values()])
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
@@ -155,15 +156,13 @@ def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, bucke
             within = ~fresh | np.r_[~fresh[1:], False]
             out = []
             if within.any():  # signatures that the batch itself has twice are shared: they are known now
-                out.append((int(sig[0] % np.uint64(buckets)), True, np.stack([sig[within].view(np.int64), node[within]]).tobytes()))
+                out.append((int(sig[0] >> np.uint64(40)), True, np.stack([sig[within].view(np.int64), node[within]]).tobytes()))
             sig, node = sig[fresh], node[fresh]
-            where = (sig % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            sig, node, where = sig[order], node[order], where[order]
+            where = (sig >> np.uint64(40)).astype(np.int64)  # sorted, as sig is
             edge = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
             for a, z in zip(edge[:-1], edge[1:], strict=True):
                 kinds, local = np.unique(node[a:z], return_inverse=True)  # a node is named once, its rows by 16 bits
-                out.append((int(where[a]), False, np.int64(len(kinds)).tobytes() + kinds.tobytes() + sig[a:z].tobytes() + local.astype(np.uint16).tobytes()))
+                out.append((int(where[a]), False, np.int64(len(kinds)).tobytes() + kinds.tobytes() + sig[a:z].astype(np.uint32).tobytes() + (sig[a:z] >> np.uint64(32)).astype(np.uint8).tobytes() + local.astype(np.uint16).tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "known", "blob"])
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,9 +192,10 @@ def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, bucke
                     yield from bucket(held)
                     now, held = k, []
                 m = int(np.frombuffer(blob, np.int64, 1)[0])
-                rows = (len(blob) - 8 - 8 * m) // 10
+                rows, at = (len(blob) - 8 - 8 * m) // 7, 8 + 8 * m
                 kinds = np.frombuffer(blob, np.int64, m, 8)
-                held.append((np.frombuffer(blob, np.uint64, rows, 8 + 8 * m), kinds[np.frombuffer(blob, np.uint16, rows, 8 + 8 * m + 8 * rows)]))
+                sig = np.frombuffer(blob, np.uint32, rows, at).astype(np.uint64) | np.frombuffer(blob, np.uint8, rows, at + 4 * rows).astype(np.uint64) << np.uint64(32) | np.uint64(int(k) << 40)
+                held.append((sig, kinds[np.frombuffer(blob, np.uint16, rows, at + 5 * rows)]))
         yield from bucket(held)
 
     packed = docs.select("text").mapInPandas(cut, "bucket int, known boolean, blob binary")
@@ -229,7 +229,7 @@ def _near(x: int, nx: int, y: int, ny: int, p: int, q: int) -> bool:
 
 
 def _small_groups(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b): pairs of different components that share a signature and whose sketches don't rule a link out; at: (sig, node), info: (node, comp, size, sketch)."""
+    """(a, b), a < b: pairs that share a signature and whose sketches don't rule a link out; at: (sig, node), info: (node, size, sketch)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
@@ -237,13 +237,13 @@ def _small_groups(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
 
         def pairs() -> None:
             held.sort()
-            for i, (a, ca, na, xa) in enumerate(held):
-                for b, cb, nb, xb in held[i + 1 :]:
-                    if ca != cb and _near(xa, na, xb, nb, p, q):
+            for i, (a, na, xa) in enumerate(held):
+                for b, nb, xb in held[i + 1 :]:
+                    if a != b and (a, b) not in seen and _near(xa, na, xb, nb, p, q):
                         seen.add((a, b))
 
         for batch in batches:
-            for sig, *rest, bits in zip(batch["sig"], batch["node"], batch["comp"], batch["size"], batch["sketch"], strict=True):
+            for sig, *rest, bits in zip(batch["sig"], batch["node"], batch["size"], batch["sketch"], strict=True):
                 if sig != now:
                     pairs()
                     now, held = sig, []
@@ -254,12 +254,12 @@ def _small_groups(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
         pairs()
         yield pd.DataFrame(sorted(seen), columns=["a", "b"], dtype="int64")
 
-    d = at.join(info, "node").select("sig", "node", "comp", "size", "sketch")
+    d = at.join(info, "node").select("sig", "node", "size", "sketch")
     return d.repartition("sig").sortWithinPartitions("sig").mapInPandas(run, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, n: int, p: int, q: int, seed: int) -> DataFrame:
-    """(node, found: sorted array of shingle hashes, sketch) of the wanted nodes; nodes: (node, doc_id) with one document that has the text."""
+def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int, once: bool) -> DataFrame:
+    """(node, found: sorted array of shingle hashes) of the wanted nodes; nodes: (node, doc_id) with one document that has the text; once: no two documents have one id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
@@ -269,13 +269,14 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int, p: int, q: int, seed: int)
             for w in map(words.of, range(len(b))):
                 if len(w) and (k := _node(w, seed)[0]) not in out:
                     out[k] = shingles(w, n).view(np.int64)
-            yield pd.DataFrame({"node": list(out), "found": list(out.values()), "sketch": [sketch(x, sketch_bits(len(x), p, q)) for x in out.values()]})
+            yield pd.DataFrame({"node": list(out), "found": list(out.values())})
 
     ids = nodes.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id")).distinct()
     if nodes.count() <= SENT:
         ids = F.broadcast(ids)  # so only the wanted texts leave their partition
     texts = docs.join(ids, F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("__id"), "left_semi").select("text")
-    return texts.mapInPandas(run, "node long, found array<long>, sketch binary").dropDuplicates(["node"])
+    found = texts.mapInPandas(run, "node long, found array<long>")
+    return found if once else found.dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -386,61 +387,62 @@ def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q:
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs; p / q is the least similarity of a link."""
+    """(doc_id, n_shingles, component_id, group, key) for each row of docs; p / q is the least similarity of a link.
+
+    group tells components apart, null for texts without words; key is the MD5 digest of the text as it is.
+    """
     spark = docs.sparkSession
     Batches.small(spark)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     as_text = d.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     seed = 0
     while True:  # a node is 63 bits of a digest; should two word strings share them, another seed parts them
-        members = materialize(_members(as_text, shingle, seed))
-        nodes = materialize(members.filter("n_words > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("c"), F.max("check").alias("d"), F.max("n_shingles").alias("size")))
+        members = materialize(_members(as_text, shingle, p, q, seed))
+        nodes = members.filter("n_words > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("c"), F.max("check").alias("d"), F.max("n_shingles").alias("size"), F.min("sketch").alias("sketch"))
+        nodes = materialize(nodes)
         if not nodes.filter("c <> d").limit(1).count():
             break
         seed += 1
     words = nodes.agg(F.sum("size")).first()[0] or 0
-    rows = int(words * 2.5 * (q - p) * 2 / (q + p)) + nodes.count()
+    rows = int(words * 3.5 * (q - p) * 2 / (q + p)) + nodes.count()
     buckets = max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
     shared = materialize(_shared_signatures(d, shingle, p, q, seed, buckets))
-    wanted = materialize(nodes.join(shared.select("node").distinct(), "node", "left_semi"))
-    sets = materialize(_sets(d, wanted.select("node", "doc_id"), shingle, p, q, seed))
-    sized = wanted.select("node", "size")
-    comp = sized.select("node", F.col("node").alias("comp"))
-    edges = None
-    for turn in range(TURNS):
-        # each node against one other, the first in a hashed order of all first nodes of its signatures: a pair a node
-        at = shared.join(comp, "node").join(sized, "node")
-        place = F.xxhash64("node", F.lit(turn))
-        hubs = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(place.alias("place"), F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("size").alias("other"))).alias("h")).filter("lo <> hi")
-        pairs = at.join(hubs.select("sig", "h"), "sig").filter(F.col("comp") != F.col("h.hub_comp"))
-        # a set under p / q of the other's size can't be linked with it
-        pairs = pairs.filter(F.least(F.col("size"), F.col("h.other")) * q >= F.greatest(F.col("size"), F.col("h.other")) * p)
-        pairs = pairs.groupBy("node").agg(F.min("h").alias("h")).select(F.col("h.hub").alias("a"), F.col("node").alias("b"))
-        new = materialize(_verified(materialize(pairs), sets, p, q).filter("linked").select("a", "b"))
-        edges = new if edges is None else edges.unionByName(new)
-        comp = materialize(components(sized, edges))
-    # then the nodes of signatures that are not one component yet: pair by pair where a signature has few nodes, else in blocks
-    at = shared.join(comp, "node")
-    apart = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("sig", "m")
-    at = materialize(at.join(apart, "sig").select("sig", "node", "m").distinct())
-    few = materialize(_small_groups(at.filter(F.col("m") <= FEW).select("sig", "node"), comp.join(sized, "node").join(sets.select("node", "sketch"), "node"), p, q))
-    new = materialize(_verified(few, sets, p, q).filter("linked").select("a", "b"))
+    many = shared.groupBy("sig").agg(F.count("*").alias("m"), F.min("node").alias("hub"))
+    shared = materialize(shared.join(many, "sig"))
+    few = shared.filter(F.col("m") <= FEW).select("sig", "node")
+    pairs = materialize(_small_groups(few, nodes.select("node", "size", "sketch"), p, q))
+    large = shared.filter(F.col("m") > FEW).select("sig", "node", "hub")
+    # each node against one other, the smallest that it shares a signature with: what links is mostly one component then
+    first = pairs.unionByName(large.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).groupBy("b").agg(F.min("a").alias("a"))
+    first = materialize(first.select("a", "b"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+    wanted = materialize(nodes.select("node", "doc_id").join(wanted, "node", "left_semi"))
+    once = not members.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    sets = materialize(_sets(d, wanted, shingle, seed, once))
+    edges = materialize(_verified(first, sets, p, q).filter("linked").select("a", "b"))
+    comp = materialize(components(wanted, edges))
+    # pairs that are still apart
+    end = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select("a", "b")
+    new = materialize(_verified(materialize(rest), sets, p, q).filter("linked").select("a", "b"))
     if new.limit(1).count():
         edges = edges.unionByName(new)
-        comp = materialize(components(sized, edges))
-    at = at.filter(F.col("m") > FEW).join(comp, "node")
+        comp = materialize(components(wanted, edges))
+    # signatures of many nodes that are still apart
+    at = large.select("sig", "node").join(comp, "node")
     apart = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-    at = materialize(at.join(apart, "sig").select("sig", "node"))
+    at = materialize(at.join(apart, "sig").select("sig", "node").distinct())
     if at.limit(1).count():
         more = materialize(_links_in_blocks(at, comp, sets, p, q))
         if more.limit(1).count():
-            comp = materialize(components(sized, edges.unionByName(more)))
+            comp = materialize(components(wanted, edges.unionByName(more)))
     label = nodes.join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = label.select("node", "comp").join(least, "comp").select("node", "component_id")
+    named = label.select("node", "comp").join(least, "comp").select("node", "comp", "component_id")
     out = members.join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_words") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    worded = F.col("n_words") > 0
+    return out.select("doc_id", "n_shingles", F.when(worded, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(worded, F.col("comp")).alias("group"), "key")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, p=9, q=10)
+    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, p=9, q=10).select("doc_id", "n_shingles", "component_id")
