@@ -357,6 +357,53 @@ def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int
     return out
 
 
+def _blocked(units: DataFrame, block: int) -> DataFrame:
+    """(unit, kind, i, j, node, left): each unit's nodes dealt to blocks, and every pair of blocks i <= j; left: the node is of block i. units: (unit, kind, node)."""
+    sizes = units.groupBy("unit", "kind").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    d = units.join(sizes, ["unit", "kind"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return d.select("unit", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", (F.col("own") <= F.col("other")).alias("left"))
+
+
+def _promising(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
+    """(node): nodes that share a signature with another one of which neither size nor sketch rules a link out; at: (sig, node), info: (node, size, sketch).
+
+    Linked sets' sketches have equal lengths or one twice the other's. Bits that differ are counted by matrix products; nodes come out, no pairs.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        size, left = rows["size"].to_numpy(np.int64), rows["left"].to_numpy(bool)
+        width = np.array([len(x) for x in rows["sketch"]])
+        hit = np.zeros(len(rows), bool)
+        alone = bool(left.all())
+
+        def bits(which: np.ndarray, fold: bool) -> np.ndarray:
+            x = np.unpackbits(np.frombuffer(b"".join(rows["sketch"].iloc[which]), np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
+            return (x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] if fold else x).astype(np.float32)
+
+        for w in np.unique(width).tolist():
+            for wa, wb in ((w, w), (w, 2 * w), (2 * w, w)):
+                a = np.flatnonzero(left & (width == wa))
+                b = np.flatnonzero((left if alone else ~left) & (width == wb))
+                if not len(a) or not len(b):
+                    continue
+                x, y = bits(a, wa > w), bits(b, wb > w)
+                apart = x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T)
+                both = size[a][:, None] + size[b]
+                near = (apart * (q + p) <= (q - p) * both) & (np.minimum(size[a][:, None], size[b]) * q >= np.maximum(size[a][:, None], size[b]) * p) & (a[:, None] != b)
+                hit[a[near.any(1)]] = hit[b[near.any(0)]] = True
+        return pd.DataFrame({"node": rows["node"].to_numpy()[hit]})
+
+    units = at.select(F.col("sig").alias("unit"), F.lit(1).alias("kind"), "node")
+    d = _blocked(units, 2000).join(info, "node")
+    return d.groupBy("unit", "i", "j").applyInPandas(run, "node long").distinct()
+
+
+def _work(n: F.Column, block: int) -> F.Column:
+    """Cost of comparing n sets in blocks: moving a set weighs as much as some thousand comparisons."""
+    return n * n + 4000.0 * n * F.ceil(n / block)
+
+
 def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links that join all components which links join among nodes that share a signature; at: (sig, node).
 
@@ -365,16 +412,13 @@ def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q:
     """
     m = at.groupBy("sig").agg(F.count("*").cast("double").alias("m"), F.min("node").alias("least"))
     whole = _held_together(at)
-    of_sig = m.join(whole, m["least"] == whole["node"]).select("sig", F.col("comp").alias("unit"), (F.col("m") * F.col("m")).alias("cost"))
+    of_sig = m.join(whole, m["least"] == whole["node"]).select("sig", F.col("comp").alias("unit"), _work(F.col("m"), block).alias("cost"))
     cost = of_sig.groupBy("unit").agg(F.sum("cost").alias("apart")).join(whole.groupBy(F.col("comp").alias("unit")).agg(F.count("*").cast("double").alias("n")), "unit")
-    split = cost.filter("n * n > apart").select("unit")
+    split = cost.filter(_work(F.col("n"), block) > F.col("apart")).select("unit")
     units = whole.select("node", F.col("comp").alias("unit")).join(split, "unit", "left_anti").select("node", "unit", F.lit(0).alias("kind"))
     single = at.join(of_sig.join(split, "unit").select("sig"), "sig").select("node", F.col("sig").alias("unit"), F.lit(1).alias("kind")).distinct()
     units = materialize(units.unionByName(single))
-    sizes = units.groupBy("unit", "kind").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    d = units.join(sizes, ["unit", "kind"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    d = d.select("unit", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", (F.col("own") <= F.col("other")).alias("left"))
+    d = _blocked(units, block)
     d = sets.select("node", "found").join(_sent(materialize(d.join(comp, "node"))), "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -411,7 +455,10 @@ def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_i
     shared = materialize(shared.join(many, "sig"))
     few = shared.filter(F.col("m") <= FEW).select("sig", "node")
     pairs = materialize(_small_groups(few, nodes.select("node", "size", "sketch"), p, q))
-    large = shared.filter(F.col("m") > FEW).select("sig", "node", "hub")
+    large = materialize(shared.filter(F.col("m") > FEW).select("sig", "node", "hub").distinct())
+    hopeful = materialize(_promising(large.select("sig", "node"), nodes.select("node", "size", "sketch"), p, q))
+    large = large.select("sig", "node").join(hopeful, "node", "left_semi")
+    large = materialize(large.join(large.groupBy("sig").agg(F.min("node").alias("hub")), "sig"))
     # each node against one other, the smallest that it shares a signature with: what links is mostly one component then
     first = pairs.unionByName(large.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).groupBy("b").agg(F.min("a").alias("a"))
     first = materialize(first.select("a", "b"))
