@@ -32,7 +32,7 @@ def shard_rows(docs: DataFrame, link: Column, key: list[Column], shards: int = S
     if n == 0:
         return docs.withColumns({"__shard": F.lit(0), "__slot": F.lit(0).cast("long")}).limit(0)
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    part = max(1, n // (shards * PARTS))
+    part = max(8, n // (shards * PARTS))
     buckets = math.isqrt(n // shards) + 1  # as many as rows in each, so neither the sums nor the rows of a bucket get many
     d = docs.withColumn("__link", link).withColumn("__hash", F.xxhash64(*key, F.col("__link")))
     groups = d.groupBy("__link").agg(F.count("*").alias("__n"))
