@@ -8,7 +8,7 @@ linked pairs share one. What shares a signature is verified by its whole sets.
 
 Copies (equal word strings) are one node. Nodes that share a signature are first compared with one of them only; what links
 is one component, so a large group of near copies needs no more; each node is compared with one other at a time. Only nodes of signatures that are still apart are compared in all pairs:
-few by few with parity sketches, which rule out most, many in blocks, by matrix products that pass on no more than the links which join components. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
+parity sketches rule most of them out, few by few or in blocks by matrix products, and no more links are passed on than join components. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
 row of a signature at most, so no signature fills a bucket.
 
 Cases: null texts and texts without words have an empty set and link with nothing; a text of fewer words than a shingle has one shingle, the whole; null doc_ids
@@ -318,42 +318,53 @@ def _held_together(at: DataFrame) -> DataFrame:
             return labels
 
 
+def _close(sketches: list[bytes], size: np.ndarray, left: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, columns, near): sets with left against those without it (against all, if every set has it); near is false only where size or sketch rules a link out.
+
+    Linked sets' sketches have equal lengths or one twice the other's. Bits that differ are counted by matrix products.
+    """
+    width = np.array([len(x) for x in sketches])
+    others = left if left.all() else ~left
+
+    def bits(which: np.ndarray, fold: bool) -> np.ndarray:
+        x = np.unpackbits(np.frombuffer(b"".join(sketches[i] for i in which), np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
+        return (x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] if fold else x).astype(np.float32)
+
+    for w in np.unique(width).tolist():
+        for wa, wb in ((w, w), (w, 2 * w), (2 * w, w)):
+            rows, columns = np.flatnonzero(left & (width == wa)), np.flatnonzero(others & (width == wb))
+            if not len(rows) or not len(columns):
+                continue
+            y = bits(columns, wb > w)
+            for at in range(0, len(rows), 500):
+                a = rows[at : at + 500]
+                x = bits(a, wa > w)
+                apart = x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T)
+                m, n = size[a][:, None], size[columns]
+                yield a, columns, (apart * (q + p) <= (q - p) * (m + n)) & (np.minimum(m, n) * q >= np.maximum(m, n) * p) & (a[:, None] != columns)
+
+
 def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
     """Pairs (i, j) of linked sets of different components, i with left and j without it (or all, if every set has it), as many as join them.
 
-    Intersections are products of 0/1 matrices over the shingles that several sets have, a slice of shingles at a time.
+    Sketches rule most pairs out; the others' whole sets are intersected, some at a time, as long as their components are apart.
     """
-    size = np.array([len(x) for x in sets], np.int64)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    kinds, where, many = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.cumsum(many > 1) - 1
-    common = many[where] > 1
-    owner, column = owner[common], rank[where[common]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    rows, cols = np.flatnonzero(left), np.flatnonzero(~left) if not left.all() else np.arange(len(sets))
-    both = np.zeros((len(rows), len(cols)), np.float32)
-    width = 1024
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, z = np.searchsorted(column, [at, at + width])
-        x = np.zeros((len(sets), width), np.float32)
-        x[owner[a:z], column[a:z] - at] = 1
-        both += x[rows] @ x[cols].T
-    inter = np.rint(both).astype(np.int64)
-    linked = (inter * q >= (size[rows][:, None] + size[cols] - inter) * p) & (comp[rows][:, None] != comp[cols])
-    parent: dict[int, int] = {}
-
-    def root(c: int) -> int:
-        while parent.get(c, c) != c:
-            parent[c] = c = parent.get(parent[c], parent[c])
-        return c
-
+    sets = [np.sort(x.view(np.uint64)) for x in sets]
+    size, label = np.array([len(x) for x in sets], np.int64), comp.copy()
     out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        u, v = root(int(comp[rows[i]])), root(int(comp[cols[j]]))
-        if u != v:
-            parent[u] = v
-            out.append((int(rows[i]), int(cols[j])))
+    for rows, columns, near in _close([sketch(x, sketch_bits(len(x), p, q)) for x in sets], size, left, p, q):
+        for i, hopeful in zip(rows, near, strict=True):
+            todo = columns[hopeful]
+            while len(todo := todo[label[todo] != label[i]]):
+                some = max(1, int(np.searchsorted(np.cumsum(size[todo]), 200_000)))
+                now, todo = todo[:some], todo[some:]
+                flat = np.concatenate([sets[j] for j in now])
+                at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+                inter = np.add.reduceat((sets[i][at] == flat).astype(np.int64), np.cumsum(size[now]) - size[now])
+                for j in now[inter * q >= (size[i] + size[now] - inter) * p]:
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        out.append((int(i), int(j)))
     return out
 
 
@@ -368,30 +379,13 @@ def _blocked(units: DataFrame, block: int) -> DataFrame:
 def _promising(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
     """(node): nodes that share a signature with another one of which neither size nor sketch rules a link out; at: (sig, node), info: (node, size, sketch).
 
-    Linked sets' sketches have equal lengths or one twice the other's. Bits that differ are counted by matrix products; nodes come out, no pairs.
+    Nodes come out, no pairs.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        size, left = rows["size"].to_numpy(np.int64), rows["left"].to_numpy(bool)
-        width = np.array([len(x) for x in rows["sketch"]])
         hit = np.zeros(len(rows), bool)
-        alone = bool(left.all())
-
-        def bits(which: np.ndarray, fold: bool) -> np.ndarray:
-            x = np.unpackbits(np.frombuffer(b"".join(rows["sketch"].iloc[which]), np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
-            return (x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] if fold else x).astype(np.float32)
-
-        for w in np.unique(width).tolist():
-            for wa, wb in ((w, w), (w, 2 * w), (2 * w, w)):
-                a = np.flatnonzero(left & (width == wa))
-                b = np.flatnonzero((left if alone else ~left) & (width == wb))
-                if not len(a) or not len(b):
-                    continue
-                x, y = bits(a, wa > w), bits(b, wb > w)
-                apart = x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T)
-                both = size[a][:, None] + size[b]
-                near = (apart * (q + p) <= (q - p) * both) & (np.minimum(size[a][:, None], size[b]) * q >= np.maximum(size[a][:, None], size[b]) * p) & (a[:, None] != b)
-                hit[a[near.any(1)]] = hit[b[near.any(0)]] = True
+        for a, b, near in _close(list(rows["sketch"]), rows["size"].to_numpy(np.int64), rows["left"].to_numpy(bool), p, q):
+            hit[a[near.any(1)]] = hit[b[near.any(0)]] = True
         return pd.DataFrame({"node": rows["node"].to_numpy()[hit]})
 
     units = at.select(F.col("sig").alias("unit"), F.lit(1).alias("kind"), "node")
@@ -418,8 +412,9 @@ def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q:
     units = whole.select("node", F.col("comp").alias("unit")).join(split, "unit", "left_anti").select("node", "unit", F.lit(0).alias("kind"))
     single = at.join(of_sig.join(split, "unit").select("sig"), "sig").select("node", F.col("sig").alias("unit"), F.lit(1).alias("kind")).distinct()
     units = materialize(units.unionByName(single))
-    d = _blocked(units, block)
-    d = sets.select("node", "found").join(_sent(materialize(d.join(comp, "node"))), "node")
+    dealt = materialize(_blocked(units, block).join(comp, "node"))
+    tasks = max(4 * at.sparkSession.sparkContext.defaultParallelism, -(-dealt.count() // block))
+    d = sets.select("node", "found").join(_sent(dealt), "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         node = rows["node"].to_numpy()
@@ -427,7 +422,8 @@ def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q:
         found = _spanning([np.asarray(x, np.int64) for x in rows["found"]], rows["comp"].to_numpy(), left, p, q)
         return pd.DataFrame([(min(node[i], node[j]), max(node[i], node[j])) for i, j in found], columns=["a", "b"])
 
-    return d.groupBy("unit", "kind", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    by = ["unit", "kind", "i", "j"]  # a stated number of tasks: by bytes alone they would be put together to a few
+    return d.repartition(tasks, *by).groupBy(*by).applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -154,6 +154,35 @@ def test_near_groups_odd_rows(spark):
     assert near_dups.near_groups(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("p, q", [(4, 5), (9, 10)])
+def test_spanning_links(p, q):
+    """Links found in a block join the same components as all links do."""
+    rng = np.random.default_rng(3)
+    families = [rng.integers(0, 1 << 63, n, np.int64) for n in (1, 6, 60, 60, 300)]
+    sets = []
+    for base in families:
+        for _ in range(40):
+            keep = base[rng.random(len(base)) > 0.08] if len(base) > 1 else base
+            sets.append(np.unique(np.r_[keep, rng.integers(0, 1 << 63, rng.integers(0, max(1, len(base) // 12)), np.int64)].view(np.uint64)).view(np.int64))
+    sets = [x if len(x) else families[0] for x in sets]
+
+    def joined(links):
+        root = list(range(len(sets)))
+        for i, j in links:
+            root = [root[i] if r == root[j] else r for r in root]
+        return [root.index(r) for r in root]
+
+    for left in (np.ones(len(sets), bool), rng.random(len(sets)) > 0.5):
+        found = near_dups._spanning(sets, np.arange(len(sets)), left, p, q)
+        every = []
+        for i in range(len(sets)):
+            for j in range(len(sets)):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if left[i] and (not left[j] or left.all()) and i != j and both * q >= (len(sets[i]) + len(sets[j]) - both) * p:
+                    every.append((i, j))
+        assert set(found) <= set(every) and joined(found) == joined(every)
+
+
 def test_line_store_is_reversible(spark):
     docs = [(1, "shared line one\nshort\nonly here 1\nshared line one"), (2, " Shared LINE one\nonly here 2"), (3, "shared line one\nanother shared"), (4, "another shared\nx"), (5, None)]
     store = line_dedup.LineStore(spark, shard_keys=3).insert(frame(spark, docs[:3])).insert(frame(spark, docs[3:]))
