@@ -1,10 +1,10 @@
 """Main text of web pages: block structure, then nearest-URL page differencing.
 
 A page is cut into blocks. Blocks inside what markup names as menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments go. Of the rest, blocks inside the page's article (or main) element are its content; in a page without one
-all blocks are open to doubt. Pages are paired with their neighbour by URL path within the host, and their lines are
+scripts, styles or reader comments go. Of the rest, blocks inside the page's article (or main) element are its content; all others,
+in pages with an article too, are open to doubt. Pages are paired with their neighbour by URL path within the host, and their lines are
 aligned by a longest common subsequence: shared lines in doubt are template and go. Lines of an article stay even if shared: two articles may
-quote the same passage. Two pages that share four fifths or more of their lines in doubt are copies, not a common template; nothing is deleted then.
+quote the same passage. A page that shares four fifths or more of its lines, those of articles counted, is a copy, not a common template; nothing is deleted then.
 
 Cases: null and empty html give an empty text; a null url forms a host of its own; unclosed, nested and stray tags, broken character references and
 markup cut off at the end are read as browsers do; repeated rows are compared with pages of another address or not at all; extra columns are ignored.
@@ -66,7 +66,7 @@ def _leaves(tag: str, attrs: str, inside: bool) -> bool:
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """(kind, line) of the blocks that may be main text, in page order; kind is CONTENT or DOUBT, all DOUBT if the page has no article."""
+    """(kind, line) of the blocks that may be main text, in page order; kind is CONTENT in an article, DOUBT outside."""
     page = page or ""
     out: list[tuple[str, str]] = []
     text: list[str] = []
@@ -147,8 +147,6 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         stack.append((tag, left, art and not gone))
         gone, inner = gone + left, inner + (art and not gone)
     flush()
-    if any(kind == CONTENT for kind, _ in out):
-        return [x for x in out if x[0] == CONTENT]
     return out
 
 
@@ -193,8 +191,7 @@ def without_shared(page: list[tuple[str, str]], other: list[tuple[str, str]] | N
     if not other or not any(kind == DOUBT for kind, _ in page):
         return [line for _, line in page]
     shared = shared_lines([line for _, line in page], [line for _, line in other])
-    doubt = [s for s, (kind, _) in zip(shared, page, strict=True) if kind == DOUBT]
-    if sum(doubt) >= COPIES * len(doubt):
+    if sum(shared) >= COPIES * len(page):
         return [line for _, line in page]
     return [line for s, (kind, line) in zip(shared, page, strict=True) if kind == CONTENT or not s]
 

@@ -96,6 +96,13 @@ def test_html_differencing(spark):
     assert html_extract.extract(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_differencing_beside_articles(spark):
+    page = lambda title, text: f"<body><p>Welcome here<article><p>{text}<p>Quoted by both<p>{text} ends</article><p>{title}<p>All rights kept"
+    rows = [(1, "http://h.x/a/1", page("alpha notes", "alpha")), (2, "http://h.x/a/2", page("beta notes", "beta"))]
+    got = {r[0]: r[2].split("\n") for r in html_extract.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: [x, "Quoted by both", f"{x} ends", f"{x} notes"] for i, x in ((1, "alpha"), (2, "beta"))}
+
+
 def check_shards(d, rows, shards):
     counts = Counter(r["__shard"] for r in rows)
     assert len(rows) == d and max(counts.values()) - min(counts.get(s, 0) for s in range(shards)) <= 1
