@@ -8,6 +8,9 @@ hold the item: d edits leave at least m - q + 1 - q * d of the item's runs of q
 each other's, so a place with fewer in common with an item needs no window. Candidates are verified exactly: the smallest edit distance, in characters, between the item and any part of the text
 around the window (Myers' bit-vectors) must be at most (1 - similarity) of the item's length.
 
+Edits of single letters in many words leave few runs of words. So there is a second way to a candidate, whatever became of the words: an item and a place
+that have 1 / SEED_SHARE of the item's bytes as equal runs of RUN bytes, at distances within the edit bound of each other, are verified too.
+
 Cases: null and empty texts and items match nothing; items of equal text are one; texts shorter than an item may hold most of it and are still found;
 extra columns pass through unread; every document row gives an output row.
 """
@@ -32,6 +35,8 @@ REPEATS, BANDS, SAMPLE = 4, 24, 4
 SEED = 20_240_229
 #: Items that go to the executors at a time; more items take more passes over the documents.
 BLOCK = 20_000
+#: The second way: bytes of a run; runs that an item and a text have in common at about one distance, at least, and as a share of the item's bytes; bytes of a piece.
+RUN, LEAST_SEEDS, SEED_SHARE, LETTERS = 7, 4, 16, 1 << 21
 
 def embed(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, seed: int) -> np.ndarray:
     """CGK: the outputs (a row of `steps` for each window codes[start:end]); 0 after a window's end.
@@ -131,6 +136,17 @@ class ItemIndex:
         self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.begin = np.r_[begin, flat.shape[1]]
         self.item, self.at = flat[1].astype(np.int64), flat[2].astype(np.int64)
+        raw = [t.encode("utf-8", "replace") for t in self.joined]
+        self.letters = np.array([len(t) for t in raw], np.int64)
+        self.seeds = np.maximum(LEAST_SEEDS, self.letters // SEED_SHARE)
+        grams = [_letter_runs(t) for t in raw]
+        flat, of = np.concatenate([*grams, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(raw)), [len(g) for g in grams])
+        order = np.argsort(flat, kind="stable")
+        self.letter_runs, begin = np.unique(flat[order], return_index=True)
+        self.letter_begin = np.r_[begin, len(flat)]
+        self.letter_item, self.letter_at = of[order], np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])[order].astype(np.int64)
+        self.letter_maybe = np.zeros(1 << 20, bool)
+        self.letter_maybe[_slot(self.letter_runs)] = True
 
     def search(self, texts: list[bytes | str | None], memo: dict | None = None) -> list[list[tuple[int, int, int]]]:
         """For each text, (item id, first word of the window, edit distance in characters) of the items it holds, one window each."""
@@ -165,8 +181,6 @@ class ItemIndex:
         length = self.size[item[near]]
         start = np.maximum(start[near], begins[text[near]])
         windows = np.unique(np.stack([text[near], length, start]), axis=1)
-        if not windows.shape[1]:
-            return out
         candidates: set[tuple[int, int, int]] = set()
         for a in range(0, windows.shape[1], 8192):  # bounded memory for long texts
             of, n, at = windows[:, a : a + 8192]
@@ -192,10 +206,63 @@ class ItemIndex:
             distance = edit_within(item_text, around, int((1 - self.similarity) * len(item_text) + 1e-9))
             if distance is not None and ((t, i) not in found or distance < found[t, i][0]):
                 found[t, i] = (distance, at)
+        self._by_letters(texts, found)
         for (t, i), (distance, at) in sorted(found.items()):
             out[t].append((self.items[i][0], at, distance))
         return [sorted(x) for x in out]
 
+    def _by_letters(self, texts: list[bytes | str | None], found: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Adds to found the items that share enough runs of letters with a text, whatever became of their words; pieces of bounded size."""
+        if not len(self.letter_runs):
+            return
+        rows = [b" ".join((t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"").lower().split()) for t in texts]
+        buf = b"\0".join(rows)
+        begins = np.cumsum([0, *(len(t) + 1 for t in rows)])
+        longest = int(self.letters.max())
+        for a in range(0, len(buf), LETTERS):  # a piece reads on so far that an item which begins in it is whole
+            g = _letter_runs(buf[a : a + LETTERS + 2 * longest])
+            place = np.flatnonzero(self.letter_maybe[_slot(g)])
+            slot = np.minimum(np.searchsorted(self.letter_runs, g[place]), len(self.letter_runs) - 1)
+            place, slot = (x[self.letter_runs[slot] == g[place]] for x in (place, slot))
+            many = self.letter_begin[slot + 1] - self.letter_begin[slot]
+            flat = np.repeat(self.letter_begin[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            item, span, at = self.letter_item[flat], 4 * (len(g) + longest + 1), self.letter_at[flat]
+            key = np.sort((item * span + np.repeat(place, many) - at + longest) * 1024 + at % 1024)
+            key, at = key >> 10, key & 1023
+            item = key // span
+            upto = np.arange(len(key)) + self.seeds[item] - 1
+            far = 2 * ((1 - self.similarity) * self.letters[item]).astype(np.int64)
+            enough = np.flatnonzero((upto < len(key)) & (key[np.minimum(upto, len(key) - 1)] - key <= far)) if len(key) else []
+            ends = np.searchsorted(key, key[enough] + far[enough], side="right") if len(key) else []
+            last = None
+            for x, z in zip(enough, ends, strict=True):
+                i, start = int(item[x]), int(key[x] % span) - longest + a
+                size, slack = int(self.letters[i]), int(far[x])
+                if last and last[0] == i and start - last[1] <= slack:
+                    continue  # inside what the last window was verified with
+                if len(set(at[x:z].tolist())) < min(int(self.seeds[i]), 1024):
+                    continue  # the same few runs of the item again and again
+                last = (i, start)
+                t = int(np.searchsorted(begins, min(max(start + slack, 0) + size // 2, len(buf) - 1), side="right")) - 1
+                for t in {t, int(np.searchsorted(begins, max(start, 0), side="right")) - 1}:
+                    if (t, i) in found:
+                        continue
+                    low, high = max(int(begins[t]), start - slack), min(int(begins[t + 1]) - 1, start + size + 3 * slack)
+                    around = buf[low:high].decode("utf-8", "replace") if high > low else ""
+                    distance = edit_within(self.joined[i], around, int((1 - self.similarity) * len(self.joined[i]) + 1e-9))
+                    if distance is not None:
+                        found[t, i] = (distance, buf.count(b" ", int(begins[t]), max(int(begins[t]), start)))
+
+
+def _letter_runs(text: bytes) -> np.ndarray:
+    """The runs of RUN bytes of a text, each as a number."""
+    n = len(text) - RUN + 1
+    return np.ndarray((n,), "<u8", text + b"\0" * 8, strides=(1,)) & np.uint64((1 << 8 * RUN) - 1) if n > 0 else np.zeros(0, np.uint64)
+
+
+def _slot(runs: np.ndarray) -> np.ndarray:
+    return (runs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
 
 def find_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, out: str = "matches", block: int = BLOCK) -> DataFrame:
     """docs with an array of struct(item_id, at, distance): the items that each text holds. Map side only.

@@ -255,6 +255,22 @@ def test_decontamination():
     assert index.search([None, "", "foo bar " * 1000]) == [[], [], []]
 
 
+def test_decontamination_by_letters():
+    """One letter changed in many words: few words are intact, the distance in letters is small."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(15, 50)))) for i in range(40)]
+    index, texts = decontaminate.ItemIndex(items), []
+    for _, t in items:
+        w = t.split()
+        for j in rng.sample(range(len(w)), len(w) // 2):
+            w[j] = "#" + w[j][1:]
+        texts.append("foo  bar " * 20 + "\n".join(w).upper() + " baz" * 9)
+    for (i, t), found in zip(items, index.search(texts), strict=True):
+        assert [(x[0], x[2] <= 0.2 * len(t)) for x in found] == [(i, True)]
+    assert index.search([None, "", "foo bar " * 1000]) == [[], [], []]
+
+
 def test_pu_classifier(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["the", "river", "runs", "over", "stones.", "A", "house", "stands"]) for _ in range(80)) + "."
