@@ -120,6 +120,17 @@ def test_shards(spark):
     assert sharding.shard_rows(d.limit(0), F.col("text"), [F.col("doc_id")]).count() == 0
 
 
+def test_large_groups_stay_whole(spark):
+    """Groups far over rows / 256 that fit a shard stay in one; a larger one is cut no more than it must."""
+    rows = [(i, f"g{i // 60}") for i in range(600)] + [(1000 + i, "more than two shards") for i in range(250)] + [(2000 + i, f"single {i}") for i in range(750)]
+    got = sharding.shard_rows(frame(spark, rows), F.col("text"), [F.col("doc_id")]).collect()
+    check_shards(1600, got, 16)
+    shards = defaultdict(set)
+    for r in got:
+        shards[r["text"]].add(r["__shard"])
+    assert all(len(shards[f"g{i}"]) == 1 for i in range(10)) and 3 <= len(shards["more than two shards"]) <= 4
+
+
 def near_by_hand(rows, n, p, q):
     sets = {}
     for i, t in rows:
