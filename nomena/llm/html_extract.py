@@ -4,7 +4,8 @@ A page is cut into blocks. Blocks inside what markup names as menus, headers, fo
 scripts, styles or reader comments go. Of the rest, blocks inside the page's article (or main) element are its content; all others,
 in pages with an article too, are open to doubt. Pages are paired with their neighbour by URL path within the host, and their lines are
 aligned by a longest common subsequence: shared lines in doubt are template and go. Lines of an article stay even if shared: two articles may
-quote the same passage. A page that shares four fifths or more of its lines, those of articles counted, is a copy, not a common template; nothing is deleted then.
+quote the same passage. A neighbour that shares four fifths or more of all lines, those of articles counted, may be a copy: the next ones, up to NEAR, are asked. If all share as much, the one
+that shares least shows the template; if all are equal, nothing is deleted.
 
 Cases: null and empty html give an empty text; a null url forms a host of its own; unclosed, nested and stray tags, broken character references and
 markup cut off at the end are read as browsers do; repeated rows are compared with pages of another address or not at all; extra columns are ignored.
@@ -14,12 +15,15 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Batches, table
 
@@ -46,8 +50,10 @@ _SPACE = re.compile(r"\s+")
 
 CONTENT, DOUBT = "c", "d"
 COPIES = 0.8
-#: Pages of one comparison run, at most about; and hosts that may be listed as larger.
-RUN, LISTED = 64, 10_000
+#: Neighbours that are asked, at most.
+NEAR = 4
+#: Pages of one comparison run, about; and runs that large hosts may be cut into, about. A run begins at each MARKS-th of the paths that a digest picks.
+RUN, LISTED, MARKS = 64, 10_000, 8
 
 
 def _leaves(tag: str, attrs: str, inside: bool) -> bool:
@@ -186,22 +192,35 @@ def shared_lines(a: list[str], b: list[str]) -> list[bool]:
     return out
 
 
-def without_shared(page: list[tuple[str, str]], other: list[tuple[str, str]] | None) -> list[str]:
-    """The lines of a page less its lines in doubt that are aligned with equal ones of the other page."""
-    if not other or not any(kind == DOUBT for kind, _ in page):
-        return [line for _, line in page]
-    shared = shared_lines([line for _, line in page], [line for _, line in other])
-    if sum(shared) >= COPIES * len(page):
-        return [line for _, line in page]
-    return [line for s, (kind, line) in zip(shared, page, strict=True) if kind == CONTENT or not s]
+class Pairing:
+    """The choice of the neighbour that a page is compared with: the first that is no copy, or else the one that shares least."""
+
+    def __init__(self, row: tuple):
+        self.row, self.asked, self.least, self.shared = row, 0, 1.0, None
+        self.done = not any(kind == DOUBT for kind, _ in row[4])
+
+    def ask(self, other: tuple) -> None:
+        if self.done or not other[4]:
+            return
+        shared = shared_lines([line for _, line in self.row[4]], [line for _, line in other[4]])
+        share = sum(shared) / max(len(shared), len(other[4]))
+        self.asked += 1
+        if share < self.least:
+            self.least, self.shared = share, shared
+        self.done = share < COPIES or self.asked == NEAR
+
+    def lines(self) -> list[str]:
+        """The lines of the page less its lines in doubt that are aligned with equal ones of the chosen page."""
+        page = self.row[4]
+        return [line for s, (kind, line) in zip(self.shared or [False] * len(page), page, strict=True) if kind == CONTENT or not s]
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages.
 
-    Runs: a host's pages in order of path; a host with far more pages than RUN is dealt to several runs by a digest of the path, so no
-    task gets all of it. In a run a page is compared with the one before it, the first with the one after. Only the blocks go
-    through the shuffle, compressed.
+    Runs: a host's pages in order of path; a host with more pages than a run is cut into ranges of paths, so no task gets all of it, and each
+    run also gets a page of each of the last NEAR paths of the run before. A page is compared with the ones before it, then, at the start of a host,
+    with the ones after. Only the blocks go through the shuffle, compressed.
     """
     spark = pages.sparkSession
     Batches.small(spark, 256)
@@ -210,17 +229,35 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     hosts = d.groupBy("host").agg(F.count("*").alias("n"))
     n = d.count()
     limit = max(RUN, n // LISTED)
-    large = hosts.filter(F.col("n") > limit).select(F.col("host").alias("h"), F.ceil(F.col("n") / limit).alias("runs"))
-    d = d.join(F.broadcast(large), F.col("host") == F.col("h"), "left").drop("h")  # fewer than LISTED rows, or n / RUN where n is small
+    large = hosts.filter(F.col("n") > limit).select(F.col("host").alias("h"))
     path = F.regexp_replace(F.coalesce(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.col("url"), F.lit("")), "/+$", "")
-    d = d.withColumn("path", path).withColumn("run", F.pmod(F.xxhash64("path"), F.coalesce("runs", F.lit(1))))
+    d = d.withColumn("path", path)
+    long = d.drop("html").join(F.broadcast(large), F.col("host") == F.col("h"), "left_semi")  # fewer than LISTED hosts, or n / RUN where n is small
+    marks: dict[str, list[str]] = {}
+    for h, x in long.filter(F.pmod(F.xxhash64("path"), F.lit(max(1, limit // MARKS))) == 0).select("host", "path").distinct().collect():  # about MARKS * LISTED at most
+        marks.setdefault(h, []).append(x)
+    bounds = {h: sorted(x)[MARKS::MARKS] for h, x in marks.items()}
+
+    @F.pandas_udf("long")
+    def run_of(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds.get(h, ()), x) for h, x in zip(hosts, paths, strict=True)], dtype="int64")
+
+    ends = long.select("host", "path", "url", "page_id", run_of("host", "path").alias("run")).groupBy("host", "run", "path").agg(F.max(F.struct("url", "page_id")).alias("e"))
+    ends = ends.withColumn("r", F.row_number().over(Window.partitionBy("host", "run").orderBy(F.desc("path")))).filter(F.col("r") <= NEAR)
+    handed = {tuple(r) for r in ends.select("host", "path", "e.url", "e.page_id").collect()} if any(bounds.values()) else set()  # NEAR for each run of the large hosts
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield b.assign(blob=[pack.compress("\n".join(k + x for k, x in blocks(h)).encode("utf-8", "surrogatepass")) for h in b["html"]]).drop(columns="html")
-
-    d = d.select("page_id", "url", "host", "path", "run", "html").mapInPandas(cut, "page_id string, url string, host string, path string, run long, blob binary")
+            b = b.assign(run=[bisect_right(bounds.get(h, ()), x) for h, x in zip(b["host"], b["path"], strict=True)], own=True)
+            b = b.assign(blob=[pack.compress("\n".join(k + x for k, x in blocks(h)).encode("utf-8", "surrogatepass")) for h in b["html"]]).drop(columns="html")
+            yield b
+            last = [(h, x, u, i) in handed for h, x, u, i in zip(b["host"], b["path"], b["url"], b["page_id"], strict=True)] if handed else []
+            if any(last):
+                more = b[last]
+                yield more.assign(run=more["run"] + 1, own=False)
+
+    d = d.select("page_id", "url", "host", "path", "html").mapInPandas(cut, "page_id string, url string, host string, path string, run long, own boolean, blob binary")
     d = d.repartition("host", "run").sortWithinPartitions("host", "run", "path", "url", "page_id")
 
     def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,31 +265,50 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for r in zip(b["page_id"], b["url"], b["host"], b["run"], b["path"], b["blob"], strict=True):
+                for r in zip(b["page_id"], b["url"], b["host"], b["run"], b["path"], b["blob"], b["own"], strict=True):
                     text = unpack.decompress(r[5]).decode("utf-8", "surrogatepass")
-                    yield r[0], r[1], (r[2], r[3]), r[4], [(x[0], x[1:]) for x in text.split("\n")] if text else []
+                    yield r[0], r[1], (r[2], r[3]), r[4], [(x[0], x[1:]) for x in text.split("\n")] if text else [], r[6]
 
-        def done(row: tuple, other: tuple | None) -> tuple:
-            text = "\n".join(without_shared(row[4], other[4] if other else None))
-            return row[0], row[1], text, len(text)
+        def result(p: Pairing) -> tuple:
+            text = "\n".join(p.lines())
+            return p.row[0], p.row[1], text, len(text)
 
         def paired() -> Iterator[tuple]:
-            first: list[tuple] = []  # rows of the first path of a run, which wait for the next path
-            last = other = None
+            before: deque[tuple] = deque(maxlen=NEAR)  # the last page of each path before
+            waiting: list[Pairing] = []  # pages with fewer paths before them, which ask the ones after
+            last = None
+
+            def ended(row: tuple | None) -> Iterator[tuple]:
+                """All rows of a path have been read; row: the last."""
+                if row is None:
+                    return
+                before.append(row)
+                for p in waiting:
+                    if p.row[3] != row[3]:
+                        p.ask(row)
+                yield from (result(p) for p in waiting if p.done)
+                waiting[:] = [p for p in waiting if not p.done]
+
             for row in rows():
                 if last is None or last[2] != row[2]:
-                    yield from (done(x, None) for x in first)
-                    first, other = [row], None
-                elif first and first[0][3] == row[3]:
-                    first.append(row)
-                else:
-                    if first:
-                        yield from (done(x, row) for x in first)
-                        first = []
-                    other = last if last[3] != row[3] else other
-                    yield done(row, other)
+                    yield from ended(last)
+                    yield from (result(p) for p in waiting)
+                    waiting.clear()
+                    before.clear()
+                elif last[3] != row[3]:
+                    yield from ended(last)
                 last = row
-            yield from (done(x, None) for x in first)
+                if not row[5]:
+                    continue
+                p = Pairing(row)
+                for other in reversed(before):
+                    p.ask(other)
+                if p.done or len(before) == NEAR:
+                    yield result(p)
+                else:
+                    waiting.append(p)
+            yield from ended(last)
+            yield from (result(p) for p in waiting)
 
         out = []
         for x in paired():

@@ -103,6 +103,25 @@ def test_html_differencing_beside_articles(spark):
     assert got == {i: [x, "Quoted by both", f"{x} ends", f"{x} notes"] for i, x in ((1, "alpha"), (2, "beta"))}
 
 
+def test_html_neighbours_of_a_large_host(spark):
+    """The pages of a host that is cut into runs still meet the page before them."""
+    rows = [(3 * k + j, f"http://h.x/{k:03}/{j}", f"<p>Section {k}<p>Text {k} {j}<p>End of section {k}") for k in range(100) for j in range(3)]
+    got = {r[0]: r[2] for r in html_extract.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 300 and all(got[3 * k + j] == f"Text {k} {j}" for k in range(100) for j in (1, 2))
+
+
+def test_html_copies_and_long_templates(spark):
+    page = lambda *lines: "<p>".join(["", *(f"Template {i}" for i in range(8)), *lines])
+    text = [f"long text {i}" for i in range(20)]
+    rows = [(i, f"http://a.x/{i}", page(f"only {i}")) for i in range(3)]
+    rows += [(10, "http://b.x/0", page(*text, "printed today")), (11, "http://b.x/1", page(*text, "printed later")), (12, "http://b.x/2", page(*(f"other {x}" for x in text)))]
+    rows += [(20, "http://c.x/0", page("same")), (21, "http://c.x/1", page("same"))]
+    got = {r[0]: r[2].split("\n") for r in html_extract.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == [["only 0"], ["only 1"], ["only 2"]]
+    assert got[10] == [*text, "printed today"] and got[11] == [*text, "printed later"] and got[12] == [f"other {x}" for x in text]
+    assert len(got[20]) == len(got[21]) == 9
+
+
 def check_shards(d, rows, shards):
     counts = Counter(r["__shard"] for r in rows)
     assert len(rows) == d and max(counts.values()) - min(counts.get(s, 0) for s in range(shards)) <= 1
