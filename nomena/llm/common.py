@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 _OWN: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,25 +30,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests), an error on a cluster."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="nomena-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return _OWN[app]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors, is never recomputed."""
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for x in paths:
+        at = jvm.org.apache.hadoop.fs.Path(x)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What materialize writes inside is deleted at the end, but for what it was told to keep: that belongs to the scope around, if there is one."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        remove(spark, _SCOPES.pop())
+
+
+@contextmanager
+def leaving(paths: list[str]) -> Iterator[None]:
+    """What materialize writes inside is put on the list, for the caller to delete when it has read the result."""
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors, is never recomputed.
+
+    The shuffle files of the write go when it ends, the table with its scope; keep: it goes with the scope around this one.
+    """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/nomena-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    # shuffle files of finished steps are dropped once their plans are collected; on a small heap that may be long after
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    at = len(_SCOPES) - 1 - keep
+    if at >= 0:
+        _SCOPES[at].append(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -170,6 +215,15 @@ def run_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def numbered(docs: DataFrame, out: str = "__rid") -> DataFrame:
-    """docs, written once, with a number for each row: rows without a usable key can be joined back to."""
-    return materialize(docs.withColumn(out, F.monotonically_increasing_id()))
+def addressed(docs: DataFrame, out: str = "__rid") -> DataFrame:
+    """docs with an address of each row: rows without a usable key can be joined back to.
+
+    Rows of files are named by the file and their place in it, so nothing is copied; other frames are written once with a number for each row.
+    """
+    try:
+        at = docs.metadataColumn("_metadata")
+        found = docs.withColumn(out, F.concat_ws(":", F.xxhash64(at["file_path"]), at["file_name"], at["row_index"]))
+        found.schema  # noqa: B018
+        return found
+    except AnalysisException:
+        return materialize(docs.withColumn(out, F.monotonically_increasing_id().cast("string")))

@@ -6,9 +6,10 @@ to n1 parts of n2 subparts each, with 2 * n1 > K: in some part a linked pair dif
 subparts of it but one agree. Every subset of n2 - 1 subparts of each part gives a signature, a hash of the set's shingles there;
 linked pairs share one. What shares a signature is verified by its whole sets.
 
-Copies (equal word strings) are one node. Nodes that share a signature are first compared with one of them only; what links
-is one component, so a large group of near copies needs no more; each node is compared with one other at a time. Only nodes of signatures that are still apart are compared in all pairs:
-parity sketches rule most of them out, few by few or in blocks by matrix products, and no more links are passed on than join components. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
+Copies (equal word strings) are one node. Then come rounds in which each node is compared with one other at most: of another component than its own so far,
+and the one that it shares most signatures with, so a large group of near copies needs about as many comparisons as it has nodes. Only nodes of signatures that
+are still apart afterwards are compared in all pairs, with parity sketches first and whole sets in blocks where sketches rule nothing out; nodes and links that join components are passed on,
+never all pairs. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
 row of a signature at most, so no signature fills a bucket.
 
 Cases: null texts and texts without words have an empty set and link with nothing; a text of fewer words than a shingle has one shingle, the whole; null doc_ids
@@ -26,14 +27,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, Words, materialize, mix64, run_hashes, table
+from .common import Batches, Words, materialize, mix64, run_hashes, scratch, table
 
 #: Signature rows in a bucket, about: what one task sorts at a time.
 BUCKET_ROWS = 2_000_000
 #: Sets that are compared with each other at a time.
 BLOCK = 4000
-#: Nodes of a signature that are compared pair by pair, with sketches first.
+#: Nodes of a signature whose sketches are compared pair by pair in one pass over all signatures; those of more nodes go in blocks.
 FEW = 32
+#: Rounds of one comparison a node, at most; they end with the first that finds no link.
+ROUNDS = 4
+#: Copies of a join's small side where its key may be held by most rows of the other.
+SALTS = 16
 #: Most rows of a few numbers that are broadcast (some 30 MB); beyond it both sides are joined through a shuffle.
 SENT = 500_000
 #: Parts beyond those needed, so that empty subsets need no signature.
@@ -116,19 +121,19 @@ def _sent(rows: DataFrame) -> DataFrame:
 
 
 def _members(docs: DataFrame, n: int, p: int, q: int, seed: int) -> DataFrame:
-    """(doc_id, node, check, n_shingles, n_words, sketch, key) of each document; key: digest of the text as it is."""
+    """(doc_id, row, node, check, n_shingles, n_words, sketch) of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
         for b in batches:
             out, words = [], Words(list(b["text"]), memo)
-            for i, doc_id in enumerate(b["doc_id"]):
+            for i, (doc_id, row) in enumerate(zip(b["doc_id"], b["row"], strict=True)):
                 w = words.of(i)
                 found = shingles(w, n)
-                out.append((doc_id, *_node(w, seed), len(found), len(w), sketch(found, sketch_bits(len(found), p, q)), hashlib.md5(b["text"].iloc[i] or b"").hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "node", "check", "n_shingles", "n_words", "sketch", "key"])
+                out.append((doc_id, row, *_node(w, seed), len(found), len(w), sketch(found, sketch_bits(len(found), p, q))))
+            yield pd.DataFrame(out, columns=["doc_id", "row", "node", "check", "n_shingles", "n_words", "sketch"])
 
-    out = docs.mapInPandas(run, "doc_id string, node long, check long, n_shingles long, n_words long, sketch binary, key string")
+    out = docs.mapInPandas(run, "doc_id string, row string, node long, check long, n_shingles long, n_words long, sketch binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -228,34 +233,64 @@ def _near(x: int, nx: int, y: int, ny: int, p: int, q: int) -> bool:
     return (x ^ y).bit_count() * (q + p) <= (q - p) * (nx + ny)
 
 
-def _small_groups(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b), a < b: pairs that share a signature and whose sketches don't rule a link out; at: (sig, node), info: (node, size, sketch)."""
+def _stars(at: DataFrame, tried: DataFrame | None, info: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): for each node b one node a of another component that it shares signatures with, the most of those that are asked for; at: (sig, node, comp), tried: (a, b), info: (node, size, sketch).
+
+    Asked for are, of each signature, a node of its smallest and one of its largest component. Pairs that sketches rule out are left out.
+    """
+    ends = at.groupBy("sig").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi")).filter("lo.comp <> hi.comp")
+    pairs = at.join(ends, "sig").select(F.when(F.col("comp") == F.col("lo.comp"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("a"), F.col("node").alias("b"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    pairs = materialize(pairs)
+    end = lambda x: info.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
+    pairs = _salted(pairs, end("a"), "a", "b").join(end("b"), "b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            near = [_near(int.from_bytes(xa, "little"), na, int.from_bytes(xb, "little"), nb, p, q) for na, xa, nb, xb in zip(d["na"], d["xa"], d["nb"], d["xb"], strict=True)]
+            yield d.loc[np.array(near, bool), ["a", "b"]]
+
+    return pairs.mapInPandas(run, "a long, b long")
+
+
+def _salted(rows: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows, written, with the columns of `small`, which has one row for each key; most rows may have one key, so small is joined in SALTS copies, by the digest of `spread`."""
+    small = small.join(_sent(materialize(rows.select(key).distinct())), key, "left_semi")
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    copies = small.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("__salt", salt).join(copies, [key, "__salt"]).drop("__salt")
+
+
+def _hopeful_few(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
+    """(node): nodes that share a signature with one of another component, whose sketches don't rule a link out; at: (sig, node, comp), info: (node, size, sketch)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
         now, held = None, []
 
-        def pairs() -> None:
-            held.sort()
-            for i, (a, na, xa) in enumerate(held):
-                for b, nb, xb in held[i + 1 :]:
-                    if a != b and (a, b) not in seen and _near(xa, na, xb, nb, p, q):
-                        seen.add((a, b))
+        def compare() -> None:
+            for i, (a, ca, na, xa) in enumerate(held):
+                for b, cb, nb, xb in held[i + 1 :]:
+                    if ca != cb and not (a in seen and b in seen) and _near(xa, na, xb, nb, p, q):
+                        seen.update((a, b))
 
         for batch in batches:
-            for sig, *rest, bits in zip(batch["sig"], batch["node"], batch["size"], batch["sketch"], strict=True):
+            for sig, *rest, bits in zip(batch["sig"], batch["node"], batch["comp"], batch["size"], batch["sketch"], strict=True):
                 if sig != now:
-                    pairs()
+                    compare()
                     now, held = sig, []
                 held.append((*rest, int.from_bytes(bits, "little")))
-                if len(seen) > 50_000:
-                    yield pd.DataFrame(sorted(seen), columns=["a", "b"])
-                    seen.clear()
-        pairs()
-        yield pd.DataFrame(sorted(seen), columns=["a", "b"], dtype="int64")
+            if len(seen) > 50_000:
+                yield pd.DataFrame({"node": sorted(seen)})
+                seen.clear()
+        compare()
+        yield pd.DataFrame({"node": np.array(sorted(seen), np.int64)})
 
-    d = at.join(info, "node").select("sig", "node", "size", "sketch")
-    return d.repartition("sig").sortWithinPartitions("sig").mapInPandas(run, "a long, b long").distinct()
+    d = at.join(info, "node").select("sig", "node", "comp", "size", "sketch")
+    return d.repartition("sig").sortWithinPartitions("sig").mapInPandas(run, "node long").distinct()
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int, once: bool) -> DataFrame:
@@ -280,12 +315,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int, once: bool) -> D
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """pairs (a, b), written rows, with `linked`: their whole sets meet the threshold. Many b may have one a."""
-    own = sets.select(F.col("node").alias("b"), F.col("found").alias("__y"))
-    others = sets.join(_sent(materialize(pairs.select(F.col("a").alias("node")).distinct())), "node", "left_semi").select(F.col("node").alias("a"), F.col("found").alias("__x"))
+    """Of pairs (a, b), written rows, those whose whole sets meet the threshold. Many b may have one a."""
+    own = sets.select(F.col("node").alias("b"), F.col("found").alias("__y")).join(_sent(pairs), "b")
+    others = sets.select(F.col("node").alias("a"), F.col("found").alias("__x"))
+    others = others.join(_sent(materialize(pairs.select("a").distinct())), "a", "left_semi")
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    often = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > 8 * SALTS).select("a", F.lit(SALTS).alias("copies")))
+    others = others.join(_sent(often), "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    own = own.join(_sent(often), "a", "left").withColumn("salt", F.when(F.col("copies").isNotNull(), salt).otherwise(0)).drop("copies")
     both = F.size(F.array_intersect("__x", "__y"))
     linked = both * q >= (F.size("__x") + F.size("__y") - both) * p
-    return own.join(_sent(pairs), "b").join(others, "a").select("a", "b", linked.alias("linked"))
+    return own.join(others, ["a", "salt"]).filter(linked).select("a", "b")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -295,10 +335,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     labels = materialize(touched)
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("comp").alias("low")).withColumnRenamed("a", "node")
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        step = step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
-        step = materialize(step)
+        step = materialize(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("comp")))
+        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))  # every comp is a node with a label
+        step = materialize(_salted(step, jump, "comp", "node").select("node", "old", F.least("comp", "further").alias("comp")))
         moved = step.filter("old <> comp").limit(1).count()
         labels = step.drop("old")
         if not moved:
@@ -310,21 +349,20 @@ def _held_together(at: DataFrame) -> DataFrame:
     labels = at.select("node").distinct().withColumn("comp", F.col("node"))
     while True:
         low = at.join(labels, "node").groupBy("sig").agg(F.min("comp").alias("low"))
-        step = at.join(low, "sig").groupBy("node").agg(F.min("low").alias("low")).join(labels.withColumnRenamed("comp", "old"), "node")
+        step = materialize(at.join(low, "sig").groupBy("node").agg(F.min("low").alias("low")).join(labels.withColumnRenamed("comp", "old"), "node"))
         jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("further"))
-        step = materialize(step.join(jump, "low", "left").select("node", "old", F.least("low", F.coalesce("further", "low")).alias("comp")))
+        step = materialize(_salted(step, jump, "low", "node").select("node", "old", F.least("low", "further").alias("comp")))
         labels = step.drop("old")
         if not step.filter("old <> comp").limit(1).count():
             return labels
 
 
-def _close(sketches: list[bytes], size: np.ndarray, left: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, columns, near): sets with left against those without it (against all, if every set has it); near is false only where size or sketch rules a link out.
+def _close(sketches: list[bytes], size: np.ndarray, comp: np.ndarray, left: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, columns, near): sets with left against those without it; near is false only where size or sketch rules a link out, or the components are one.
 
     Linked sets' sketches have equal lengths or one twice the other's. Bits that differ are counted by matrix products.
     """
     width = np.array([len(x) for x in sketches])
-    others = left if left.all() else ~left
 
     def bits(which: np.ndarray, fold: bool) -> np.ndarray:
         x = np.unpackbits(np.frombuffer(b"".join(sketches[i] for i in which), np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
@@ -332,7 +370,7 @@ def _close(sketches: list[bytes], size: np.ndarray, left: np.ndarray, p: int, q:
 
     for w in np.unique(width).tolist():
         for wa, wb in ((w, w), (w, 2 * w), (2 * w, w)):
-            rows, columns = np.flatnonzero(left & (width == wa)), np.flatnonzero(others & (width == wb))
+            rows, columns = np.flatnonzero(left & (width == wa)), np.flatnonzero(~left & (width == wb))
             if not len(rows) or not len(columns):
                 continue
             y = bits(columns, wb > w)
@@ -341,18 +379,18 @@ def _close(sketches: list[bytes], size: np.ndarray, left: np.ndarray, p: int, q:
                 x = bits(a, wa > w)
                 apart = x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T)
                 m, n = size[a][:, None], size[columns]
-                yield a, columns, (apart * (q + p) <= (q - p) * (m + n)) & (np.minimum(m, n) * q >= np.maximum(m, n) * p) & (a[:, None] != columns)
+                yield a, columns, (apart * (q + p) <= (q - p) * (m + n)) & (np.minimum(m, n) * q >= np.maximum(m, n) * p) & (comp[a][:, None] != comp[columns])
 
 
 def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) of linked sets of different components, i with left and j without it (or all, if every set has it), as many as join them.
+    """Pairs (i, j) of linked sets of different components, i with left and j without it, as many as join them.
 
     Sketches rule most pairs out; the others' whole sets are intersected, some at a time, as long as their components are apart.
     """
     sets = [np.sort(x.view(np.uint64)) for x in sets]
     size, label = np.array([len(x) for x in sets], np.int64), comp.copy()
     out = []
-    for rows, columns, near in _close([sketch(x, sketch_bits(len(x), p, q)) for x in sets], size, left, p, q):
+    for rows, columns, near in _close([sketch(x, sketch_bits(len(x), p, q)) for x in sets], size, comp, left, p, q):
         for i, hopeful in zip(rows, near, strict=True):
             todo = columns[hopeful]
             while len(todo := todo[label[todo] != label[i]]):
@@ -369,26 +407,30 @@ def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int
 
 
 def _blocked(units: DataFrame, block: int) -> DataFrame:
-    """(unit, kind, i, j, node, left): each unit's nodes dealt to blocks, and every pair of blocks i <= j; left: the node is of block i. units: (unit, kind, node)."""
-    sizes = units.groupBy("unit", "kind").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
-    d = units.join(sizes, ["unit", "kind"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return d.select("unit", "kind", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", (F.col("own") <= F.col("other")).alias("left"))
+    """(unit, kind, i, j, node, comp, left): the nodes outside a unit's largest component, left, dealt to blocks i, against all of its nodes, dealt to blocks j; units: (unit, kind, node, comp).
 
+    Of two nodes of different components one is outside the largest, so all pairs meet.
+    """
+    of = units.groupBy("unit", "kind", "comp").agg(F.count("*").alias("n")).groupBy("unit", "kind").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most"))
+    sizes = of.select("unit", "kind", F.ceil(F.col("all") / block).cast("long").alias("js"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.n")) / block)).cast("long").alias("is"), F.col("most.comp").alias("most"))
+    d = units.join(sizes, ["unit", "kind"])
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    left = d.filter("comp <> most").withColumn("i", dealt("is")).withColumn("j", upto("js")).withColumn("left", F.lit(True))
+    right = d.withColumn("j", dealt("js")).withColumn("i", upto("is")).withColumn("left", F.lit(False))
+    return left.select("unit", "kind", "i", "j", "node", "comp", "left").unionByName(right.select("unit", "kind", "i", "j", "node", "comp", "left"))
 
-def _promising(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
-    """(node): nodes that share a signature with another one of which neither size nor sketch rules a link out; at: (sig, node), info: (node, size, sketch).
 
-    Nodes come out, no pairs.
-    """
+def _hopeful_many(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
+    """As _hopeful_few, by matrix products: for signatures of many nodes."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         hit = np.zeros(len(rows), bool)
-        for a, b, near in _close(list(rows["sketch"]), rows["size"].to_numpy(np.int64), rows["left"].to_numpy(bool), p, q):
+        for a, b, near in _close(list(rows["sketch"]), rows["size"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["left"].to_numpy(bool), p, q):
             hit[a[near.any(1)]] = hit[b[near.any(0)]] = True
         return pd.DataFrame({"node": rows["node"].to_numpy()[hit]})
 
-    units = at.select(F.col("sig").alias("unit"), F.lit(1).alias("kind"), "node")
+    units = at.select(F.col("sig").alias("unit"), F.lit(1).alias("kind"), "node", "comp")
     d = _blocked(units, 2000).join(info, "node")
     return d.groupBy("unit", "i", "j").applyInPandas(run, "node long").distinct()
 
@@ -398,21 +440,22 @@ def _work(n: F.Column, block: int) -> F.Column:
     return n * n + 4000.0 * n * F.ceil(n / block)
 
 
-def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join all components which links join among nodes that share a signature; at: (sig, node).
+def _links_in_blocks(at: DataFrame, sets: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that join all components which links join among nodes that share a signature; at: (sig, node, comp).
 
     Nodes are compared in units: what signatures hold together if that is fewer comparisons, else signature by signature. A unit
     of more than `block` nodes is dealt to blocks, and each pair of blocks is one task, so no task holds more than two blocks.
     """
     m = at.groupBy("sig").agg(F.count("*").cast("double").alias("m"), F.min("node").alias("least"))
-    whole = _held_together(at)
+    whole = _held_together(at.select("sig", "node"))
     of_sig = m.join(whole, m["least"] == whole["node"]).select("sig", F.col("comp").alias("unit"), _work(F.col("m"), block).alias("cost"))
     cost = of_sig.groupBy("unit").agg(F.sum("cost").alias("apart")).join(whole.groupBy(F.col("comp").alias("unit")).agg(F.count("*").cast("double").alias("n")), "unit")
     split = cost.filter(_work(F.col("n"), block) > F.col("apart")).select("unit")
-    units = whole.select("node", F.col("comp").alias("unit")).join(split, "unit", "left_anti").select("node", "unit", F.lit(0).alias("kind"))
-    single = at.join(of_sig.join(split, "unit").select("sig"), "sig").select("node", F.col("sig").alias("unit"), F.lit(1).alias("kind")).distinct()
+    label = at.select("node", "comp").distinct()
+    units = whole.select("node", F.col("comp").alias("unit")).join(split, "unit", "left_anti").join(label, "node").select("node", "comp", "unit", F.lit(0).alias("kind"))
+    single = at.join(of_sig.join(split, "unit").select("sig"), "sig").select("node", "comp", F.col("sig").alias("unit"), F.lit(1).alias("kind")).distinct()
     units = materialize(units.unionByName(single))
-    dealt = materialize(_blocked(units, block).join(comp, "node"))
+    dealt = materialize(_blocked(units, block))
     tasks = max(4 * at.sparkSession.sparkContext.defaultParallelism, -(-dealt.count() // block))
     d = sets.select("node", "found").join(_sent(dealt), "node")
 
@@ -426,15 +469,37 @@ def _links_in_blocks(at: DataFrame, comp: DataFrame, sets: DataFrame, p: int, q:
     return d.repartition(tasks, *by).groupBy(*by).applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, group, key) for each row of docs; p / q is the least similarity of a link.
+class _Wanted:
+    """The sets of the nodes asked for so far: each text is read and cut once, whichever round wants it."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, seed: int, once: bool):
+        self.docs, self.nodes, self.how, self.have, self.sets = docs, nodes, (n, seed, once), None, None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(node, found); wanted: (node), distinct."""
+        new = wanted if self.have is None else wanted.join(self.have, "node", "left_anti")
+        new = materialize(self.nodes.select("node", "doc_id").join(new, "node", "left_semi"))
+        if self.have is None or new.limit(1).count():
+            sets = materialize(_sets(self.docs, new, *self.how))
+            self.have = new.select("node") if self.have is None else self.have.unionByName(new.select("node"))
+            self.sets = sets if self.sets is None else self.sets.unionByName(sets)
+        return self.sets
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, group, node, row) for each row of docs; p / q is the least similarity of a link.
 
-    group tells components apart, null for texts without words; key is the MD5 digest of the text as it is.
+    group tells components apart, node word strings, both null for texts without words; row is a column of docs that names its rows, passed on (null without one).
     """
+    with scratch(docs.sparkSession):
+        return materialize(_grouped(docs, shingle, p, q, doc_id, text, row), keep=True)
+
+
+def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: str, row: str | None) -> DataFrame:
     spark = docs.sparkSession
     Batches.small(spark)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    as_text = d.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), (F.col(row) if row else F.lit(None)).cast("string").alias("row"))
+    as_text = d.select(F.col("doc_id").cast("string").alias("doc_id"), "row", "text")
     seed = 0
     while True:  # a node is 63 bits of a digest; should two word strings share them, another seed parts them
         members = materialize(_members(as_text, shingle, p, q, seed))
@@ -446,45 +511,43 @@ def near_groups(docs: DataFrame, shingle: int = 5, p: int = 4, q: int = 5, doc_i
     words = nodes.agg(F.sum("size")).first()[0] or 0
     rows = int(words * 3.5 * (q - p) * 2 / (q + p)) + nodes.count()
     buckets = max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
-    shared = materialize(_shared_signatures(d, shingle, p, q, seed, buckets))
-    many = shared.groupBy("sig").agg(F.count("*").alias("m"), F.min("node").alias("hub"))
-    shared = materialize(shared.join(many, "sig"))
-    few = shared.filter(F.col("m") <= FEW).select("sig", "node")
-    pairs = materialize(_small_groups(few, nodes.select("node", "size", "sketch"), p, q))
-    large = materialize(shared.filter(F.col("m") > FEW).select("sig", "node", "hub").distinct())
-    hopeful = materialize(_promising(large.select("sig", "node"), nodes.select("node", "size", "sketch"), p, q))
-    large = large.select("sig", "node").join(hopeful, "node", "left_semi")
-    large = materialize(large.join(large.groupBy("sig").agg(F.min("node").alias("hub")), "sig"))
-    # each node against one other, the smallest that it shares a signature with: what links is mostly one component then
-    first = pairs.unionByName(large.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))).groupBy("b").agg(F.min("a").alias("a"))
-    first = materialize(first.select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
-    wanted = materialize(nodes.select("node", "doc_id").join(wanted, "node", "left_semi"))
+    shared = materialize(_shared_signatures(d, shingle, p, q, seed, buckets).distinct())
+    info = nodes.select("node", "size", "sketch")
     once = not members.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    sets = materialize(_sets(d, wanted, shingle, seed, once))
-    edges = materialize(_verified(first, sets, p, q).filter("linked").select("a", "b"))
-    comp = materialize(components(wanted, edges))
-    # pairs that are still apart
-    end = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select("a", "b")
-    new = materialize(_verified(materialize(rest), sets, p, q).filter("linked").select("a", "b"))
-    if new.limit(1).count():
-        edges = edges.unionByName(new)
-        comp = materialize(components(wanted, edges))
-    # signatures of many nodes that are still apart
-    at = large.select("sig", "node").join(comp, "node")
-    apart = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig")
-    at = materialize(at.join(apart, "sig").select("sig", "node").distinct())
-    if at.limit(1).count():
-        more = materialize(_links_in_blocks(at, comp, sets, p, q))
+    wanted = _Wanted(d, nodes, shingle, seed, once)
+    all_nodes = materialize(shared.select("node").distinct())
+    edges = tried = None
+    at = shared.withColumn("comp", F.col("node"))
+    for _ in range(ROUNDS):
+        pairs = materialize(_stars(at, tried, info, p, q))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        sets = wanted.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        new = materialize(_verified(pairs, sets, p, q))
+        if not new.limit(1).count():
+            break
+        edges = new if edges is None else edges.unionByName(new)
+        comp = materialize(components(all_nodes, edges))
+        at = materialize(_apart(shared, comp))
+    # signatures that are still apart
+    sizes = at.groupBy("sig").agg(F.count("*").alias("m"))
+    hopeful = materialize(_hopeful_few(at.join(sizes.filter(F.col("m") <= FEW), "sig"), info, p, q).union(_hopeful_many(at.join(sizes.filter(F.col("m") > FEW), "sig"), info, p, q)).distinct())
+    label = all_nodes.withColumn("comp", F.col("node")) if edges is None else comp
+    if hopeful.limit(1).count():
+        at = materialize(_apart(at.select("sig", "node").join(hopeful, "node", "left_semi"), label))
+        more = materialize(_links_in_blocks(at, wanted.of(hopeful), p, q))
         if more.limit(1).count():
-            comp = materialize(components(wanted, edges.unionByName(more)))
-    label = nodes.join(comp, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+            label = components(all_nodes, more if edges is None else edges.unionByName(more))
+    label = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = label.select("node", "comp").join(least, "comp").select("node", "comp", "component_id")
-    out = members.join(named, "node", "left")
-    worded = F.col("n_words") > 0
-    return out.select("doc_id", "n_shingles", F.when(worded, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(worded, F.col("comp")).alias("group"), "key")
+    named = materialize(label.select("node", "comp").join(least, "comp").select("node", "comp", "component_id"))
+    out = members.select("doc_id", "row", "n_shingles", F.when(F.col("n_words") > 0, F.col("node")).alias("node")).join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"), F.col("comp").alias("group"), "node", "row")
+
+
+def _apart(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(sig, node, comp) of the signatures that hold more than one component; shared: (sig, node), comp: (node, comp)."""
+    at = shared.join(comp, "node").select("sig", "node", "comp")
+    return at.join(at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig"), "sig", "left_semi")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_mix": mixing.op10_mix,
 }
 
-ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE_OP6, "op7_chat_format": chat_format.ORACLE_OP7}
+ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE_OP6, "op7_chat_format": chat_format.ORACLE_OP7, "op10_mix": mixing.ORACLE_OP10}

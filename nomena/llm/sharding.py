@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, running, table
+from .common import materialize, running, scratch, table
 
 SHARDS = 16
 #: A group of more than rows / (shards * PARTS) is dealt out in parts of about that many, so no task holds it; only such groups' counts go to the driver.
@@ -29,6 +29,11 @@ def shard_rows(docs: DataFrame, link: Column, key: list[Column], shards: int = S
     as many rows as its quota leaves beside the linked rows that stay, the ones with most neighbours first. Unlinked rows cut no edge wherever
     they are, so they fill what is left of the quotas. docs should be a written table.
     """
+    with scratch(docs.sparkSession):
+        return materialize(_sharded(docs, link, key, shards, rounds), keep=True)
+
+
+def _sharded(docs: DataFrame, link: Column, key: list[Column], shards: int, rounds: int) -> DataFrame:
     n = docs.count()
     if n == 0:
         return docs.withColumns({"__shard": F.lit(0), "__slot": F.lit(0).cast("long")}).limit(0)
@@ -112,5 +117,6 @@ def _place(d: DataFrame, quota: list[int], buckets: int, full: Column) -> DataFr
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     d = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("link"))
-    out = shard_rows(materialize(d), F.col("link"), [F.col("doc_id"), F.col("size")])
+    with scratch(spark):
+        out = materialize(shard_rows(materialize(d), F.col("link"), [F.col("doc_id"), F.col("size")]), keep=True)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

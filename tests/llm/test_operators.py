@@ -210,8 +210,13 @@ def test_spanning_links(p, q):
             root = [root[i] if r == root[j] else r for r in root]
         return [root.index(r) for r in root]
 
-    for left in (np.ones(len(sets), bool), rng.random(len(sets)) > 0.5):
-        found = near_dups._spanning(sets, np.arange(len(sets)), left, p, q)
+    n = len(sets)
+    for left in (None, rng.random(n) > 0.5):
+        if left is None:  # all against all
+            left = np.ones(n, bool)
+            found = [(i, j - n) for i, j in near_dups._spanning(sets * 2, np.tile(np.arange(n), 2), np.arange(2 * n) < n, p, q)]
+        else:
+            found = near_dups._spanning(sets, np.arange(n), left, p, q)
         every = []
         for i in range(len(sets)):
             for j in range(len(sets)):
@@ -318,8 +323,9 @@ def test_pu_classifier(spark):
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(1500)] + [(None, None, "z")]
-    d = frame(spark, rows, "doc_id long, text string, source string")
-    got = mixing.mix(d, F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")), [F.col("doc_id")]).collect()
+    d = frame(spark, rows, "doc_id long, text string, source string").withColumns({"n_docs": F.lit(1), "target": F.lit("x"), "size": F.lit(None)})
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""))
+    got = mixing.mix(d, words, [F.col("doc_id")], "doc_id").collect()
     assert len(got) == len(rows)
     size, taken, target = Counter(), Counter(), {}
     for r in got:
@@ -340,4 +346,31 @@ def test_mix(spark):
         left, open_ = left - sum(want[s] for s in over), open_ - over
     want |= {s: level * weight[s] for s in open_}
     for s in order:
-        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - target[s]) <= 30
+        assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - target[s]) <= max(60, 0.01 * target[s])
+
+
+def test_mix_inclusion(spark):
+    """Over many seeds each document is drawn as often as its probability says, and a class's number is one of the two around its expected one."""
+    rows = [(i, 40 + i % 9, "abcd"[i % 4]) for i in range(160)]
+    d = frame(spark, rows, "doc_id long, words long, source string").cache()
+    n, drawn, p, size = 60, Counter(), {}, {}
+    for seed in range(n):
+        for r in mixing.mix(d, F.col("words"), [F.col("doc_id")], "doc_id", weights=(5.0, 3.0, 2.0, 1.0), seed=f"s{seed}").collect():
+            drawn[r["doc_id"]] += r["__copies"] - int(r["__target"] / r["__source_size"])
+            p[r["doc_id"]], size[r["doc_id"]] = r["__p"], r["__size"]
+    assert len({round(x, 6) for x in p.values()}) > 8  # unequal
+    assert abs(sum(drawn[i] / n - p[i] for i in p)) < 0.02 * len(p)
+    off = [(drawn[i] - n * p[i]) / math.sqrt(n * p[i] * (1 - p[i])) for i in p if 0 < p[i] < 1]
+    assert max(map(abs, off)) < 4.5 and 0.6 < np.std(off) < 1.2
+
+
+def test_mix_repeated_rows(spark):
+    """Equal rows have one rank: a cut through them takes just as many as are left."""
+    rows = [(1, 10, "a")] * 500 + [(None, 10, None)] * 300 + [(i, 10, "b") for i in range(2, 400)]
+    d = frame(spark, rows, "doc_id long, words long, source string").withColumn("row", F.monotonically_increasing_id())
+    got = mixing.mix(d, F.col("words"), [F.col("doc_id")], "row").collect()
+    assert len(got) == len(rows)
+    for s in ("a", "b", None):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["__copies"] * 10 for r in mine) - mine[0]["__target"]) <= 10
+    assert mixing.mix(d.limit(0), F.col("words"), [F.col("doc_id")], "row").count() == 0
