@@ -1,26 +1,23 @@
 """Benchmark decontamination by edit distance: CGK embedding, bit-sampling LSH over item-sized windows, exact verification.
 
-Text and items become words (A-Z lower-cased, cut at white space). The CGK embedding reads a word string with a pointer that
-a shared random function moves on or not at each of 3n steps, and writes the word it stands on; strings at a small edit distance run in step again after
-each edit, so their outputs are at a small Hamming distance. LSH samples SAMPLE places of the output per band; strings that agree on a band are candidates.
-REPEATS functions with BANDS bands each bring the recall up. Windows: one of the item's length at every place where the text could
-hold the item: d edits leave at least m - q + 1 - q * d of the item's runs of q words untouched (q-gram lemma), at starts within d of
-each other's, so a place with fewer in common with an item needs no window. Candidates are verified exactly: the smallest edit distance, in characters, between the item and any part of the text
+Texts and items become bytes: A-Z lower-cased, white space one blank. Places where a text may hold an item come first: of the item's runs of RUN bytes a share
+of 1 / SHARE must stand in the text at distances within the edit bound of each other. At random edits of a fifth of all characters some 13 % of such runs stay whole, three times as many.
+Items so short that this might fail get the run length at which, by the q-gram lemma, one run always stays whole.
+Each place gives item-sized windows at the ends and quartiles of the starts that its runs tell. The CGK embedding walks a window with a pointer that a
+shared random function of step and byte moves on or not, and writes the byte it stands on; strings at a small edit distance run in step again after
+each edit, so their outputs are at a small Hamming distance. LSH samples SAMPLE places of the output per band; a window that agrees with its item on a band is a candidate.
+REPEATS functions with BANDS bands each bring the recall up. Candidates are verified exactly: the smallest edit distance, in characters, between the item and any part of the text
 around the window (Myers' bit-vectors) must be at most (1 - similarity) of the item's length.
 
-Edits of single letters in many words leave few runs of words. So there is a second way to a candidate, whatever became of the words: an item and a place
-that have 1 / SEED_SHARE of the item's bytes as equal runs of RUN bytes, at distances within the edit bound of each other, are verified too.
-
 Cases: null and empty texts and items match nothing; items of equal text are one; texts shorter than an item may hold most of it and are still found;
-extra columns pass through unread; every document row gives an output row.
+a match across the end of a text doesn't count; extra columns pass through unread; every document row gives an output row; without items every row gets an empty array.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,45 +25,44 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, Words, mix64, run_hashes, table
+from .common import Batches, addressed, materialize, table
 
 SIMILARITY = 0.8
-REPEATS, BANDS, SAMPLE = 4, 24, 4
+#: Bytes of a run; of an item's runs 1 / SHARE must be found, LEAST at least; shorter items than SHORT get shorter runs.
+RUN, SHARE, LEAST, SHORT = 9, 24, 3, 64
+REPEATS, BANDS, SAMPLE = 6, 48, 3
 SEED = 20_240_229
 #: Items that go to the executors at a time; more items take more passes over the documents.
 BLOCK = 20_000
-#: The second way: bytes of a run; runs that an item and a text have in common at about one distance, at least, and as a share of the item's bytes; bytes of a piece.
-RUN, LEAST_SEEDS, SEED_SHARE, LETTERS = 7, 4, 16, 1 << 21
+#: Bytes of texts that are searched at a time.
+PIECE = 1 << 21
+
 
-def embed(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK: the outputs (a row of `steps` for each window codes[start:end]); 0 after a window's end.
+def embed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """CGK: the outputs, a row for each step of moves and a column for each window data[start:end]; 0 after a window's end.
 
-    All windows are walked at once. Whether a pointer moves on at step j depends on j, the seed and the word it reads, alike for all strings.
+    All windows are walked at once. moves[j, byte]: whether a pointer that stands on the byte at step j moves on, alike for all strings.
     """
-    out = np.zeros((len(starts), steps), np.uint64)
+    out = np.zeros((len(moves), len(starts)), np.uint8)
     at = starts.copy()
-    for j in range(steps):
+    for j, move in enumerate(moves):
         live = at < ends
-        read = np.where(live, codes[np.minimum(at, len(codes) - 1)], np.uint64(0))
-        out[:, j] = read
-        move = (mix64(read ^ np.uint64((seed * 1_000_003 + j) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(17)) & np.uint64(1)
-        at = at + (move.astype(np.int64) & live)
+        read = np.where(live, data[np.minimum(at, len(data) - 1)], 0)
+        out[j] = read
+        at += move[read] & live
     return out
 
 
-def _places(length: int, seed: int, bands: int, sample: int) -> np.ndarray:
-    """bands x sample places of the output of a string of `length` words."""
-    rng = np.random.default_rng([seed, length])
-    return np.stack([rng.choice(3 * length, size=min(sample, 3 * length), replace=False) for _ in range(bands)])
-
-
 def band_keys(outputs: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """A key per window and band: the words at the band's sampled places."""
-    words = outputs[:, places]
-    h = np.broadcast_to(np.arange(1, len(places) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95), words.shape[:2])
-    for x in range(words.shape[2]):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[:, :, x]
-    return mix64(h)
+    """A key for each band and window: the bytes at the band's sampled places. places: bands x SAMPLE, or windows x bands x SAMPLE."""
+    if places.ndim == 2:
+        picked = outputs[places]  # bands x SAMPLE x windows
+    else:
+        picked = np.moveaxis(outputs[places, np.arange(outputs.shape[1])[:, None, None]], 0, 2)
+    key = np.zeros((picked.shape[0], picked.shape[2]), np.uint64)
+    for x in range(picked.shape[1]):
+        key = key << np.uint64(8) | picked[:, x].astype(np.uint64)
+    return key
 
 
 def edit_within(pattern: str, text: str, most: int) -> int | None:
@@ -94,202 +90,195 @@ def edit_within(pattern: str, text: str, most: int) -> int | None:
     return best if best <= most else None
 
 
+def _plain(text: bytes | str | None) -> bytes:
+    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return b" ".join(raw.lower().split())
+
+
+def _runs(text: bytes, n: int) -> np.ndarray:
+    """The runs of n bytes of a text, each as a number: the bytes themselves up to 8, else mixed."""
+    m = len(text) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    first = np.ndarray((m,), "<u8", text + b"\0" * 8, strides=(1,))
+    if n <= 8:
+        return first & np.uint64((1 << 8 * n) - 1)
+    return first * np.uint64(0x9E3779B97F4A7C15) + np.ndarray((m,), "<u8", text[n - 8 :] + b"\0" * 8, strides=(1,))
+
+
+def _slot(runs: np.ndarray) -> np.ndarray:
+    return (runs * np.uint64(0xD1342543DE82EF95) >> np.uint64(44)).astype(np.int64)
+
+
+class _Places:
+    """Where texts may hold some of the items, by runs of one length."""
+
+    WIDTH = 4096  # offsets in an item are told apart by their rest to this
+
+    def __init__(self, of: np.ndarray, texts: list[bytes], run: int, edits: np.ndarray, need: np.ndarray):
+        self.run, self.edits, self.need = run, edits, need
+        grams = [_runs(t, run) for t in texts]
+        flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.known, begin = np.unique(flat[order], return_index=True)
+        self.begin = np.r_[begin, len(flat)]
+        self.item = np.repeat(of, [len(g) for g in grams])[order]
+        self.at = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])[order].astype(np.int64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[_slot(self.known)] = True
+        self.longest = max(map(len, texts))
+
+    def find(self, data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, starts that the runs at a place tell, in order)."""
+        g = _runs(data, self.run)
+        place = np.flatnonzero(self.maybe[_slot(g)])
+        slot = np.minimum(np.searchsorted(self.known, g[place]), len(self.known) - 1)
+        same = self.known[slot] == g[place]
+        place, slot = place[same], slot[same]
+        many = self.begin[slot + 1] - self.begin[slot]
+        flat = np.repeat(self.begin[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        if not len(flat):
+            return
+        span, at = len(data) + 2 * self.longest + 2, self.at[flat]
+        key = np.sort((self.item[flat] * span + np.repeat(place, many) - at + self.longest) * self.WIDTH + at % self.WIDTH)
+        key, at = key // self.WIDTH, key % self.WIDTH
+        item = key // span
+        upto = np.searchsorted(key, key + self.edits[item], side="right")
+        dense = upto - np.arange(len(key))
+        hit = np.flatnonzero(dense >= self.need[item])
+        a = 0
+        while a < len(hit):  # hits whose starts lie within the edit bound of the first are one place, told by the densest
+            first = hit[a]
+            z = int(np.searchsorted(hit, upto[first]))
+            best = hit[a + int(np.argmax(dense[hit[a:z]]))]
+            inside = slice(int(best), int(upto[best]))
+            i = int(item[first])
+            if len(np.unique(at[inside])) >= min(int(self.need[i]), self.WIDTH):  # not the same few runs of the item again and again
+                yield i, key[inside] - i * span - self.longest
+            a = max(z, int(np.searchsorted(hit, upto[best])))
+
+
 @dataclass
 class ItemIndex:
-    """The items' band keys by length, and their short runs. Bounded by the number of items it is made of."""
+    """The items' runs and the band keys of their embeddings. Bounded by the number of items it is made of."""
 
     items: list[tuple[int, str]]
     similarity: float = SIMILARITY
     repeats: int = REPEATS
     bands: int = BANDS
     sample: int = SAMPLE
-    joined: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        words = Words([t for _, t in self.items])
-        self.joined = [words.between(a, a + n) for a, n in zip(words.first, words.counts, strict=True)]
-        size = words.counts.astype(np.int64)
-        edits = np.floor((1 - self.similarity) * size + 1e-9).astype(np.int64)
-        intact = -(-(size - edits) // (edits + 1))
-        self.run = int(max(1, min([3, *intact[size > 0].tolist()])))
-        self.size, self.edits = size, edits
-        self.least = np.maximum(1, size - self.run + 1 - self.run * edits)  # runs that d edits leave, by the q-gram lemma
-        self.tables: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.places = {(n, r): _places(n, SEED + r, self.bands, self.sample) for n in set(size[size > 0].tolist()) for r in range(self.repeats)}
-        runs = []
-        for i in range(len(self.items)):
-            codes = words.of(i)
-            n = len(codes)
-            if not n:
-                continue
-            for r in range(self.repeats):
-                out = embed(codes, np.zeros(1, np.int64), np.array([n]), 3 * n, SEED + r)
-                for k in band_keys(out, self.places[n, r])[0].tolist():
-                    self.tables[n][k].append(i)
-            h = run_hashes(codes, self.run)
-            runs.append(np.stack([h, np.full(len(h), i, np.uint64), np.arange(len(h), dtype=np.uint64)]))
-        self.tables = {n: dict(x) for n, x in self.tables.items()}
-        flat = np.concatenate(runs, axis=1) if runs else np.zeros((3, 0), np.uint64)
-        flat = flat[:, np.argsort(flat[0], kind="stable")]
-        self.known, begin = np.unique(flat[0], return_index=True)
-        self.maybe = np.zeros(1 << 20, bool)  # by the first bits of a hash: most runs are ruled out without a search
-        self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
-        self.begin = np.r_[begin, flat.shape[1]]
-        self.item, self.at = flat[1].astype(np.int64), flat[2].astype(np.int64)
-        raw = [t.encode("utf-8", "replace") for t in self.joined]
-        self.letters = np.array([len(t) for t in raw], np.int64)
-        self.seeds = np.maximum(LEAST_SEEDS, self.letters // SEED_SHARE)
-        grams = [_letter_runs(t) for t in raw]
-        flat, of = np.concatenate([*grams, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(raw)), [len(g) for g in grams])
-        order = np.argsort(flat, kind="stable")
-        self.letter_runs, begin = np.unique(flat[order], return_index=True)
-        self.letter_begin = np.r_[begin, len(flat)]
-        self.letter_item, self.letter_at = of[order], np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])[order].astype(np.int64)
-        self.letter_maybe = np.zeros(1 << 20, bool)
-        self.letter_maybe[_slot(self.letter_runs)] = True
-
-    def search(self, texts: list[bytes | str | None], memo: dict | None = None) -> list[list[tuple[int, int, int]]]:
-        """For each text, (item id, first word of the window, edit distance in characters) of the items it holds, one window each."""
+        self.raw = [_plain(t) for _, t in self.items]
+        self.text = [t.decode("utf-8", "replace") for t in self.raw]
+        self.size = np.array([len(t) for t in self.raw], np.int64)
+        self.most = [int((1 - self.similarity) * len(t) + 1e-9) for t in self.text]
+        edits = np.floor((1 - self.similarity) * self.size + 1e-9).astype(np.int64)
+        self.edits = edits
+        self.places = []
+        whole = np.maximum(1, (self.size - edits) // (edits + 1))  # a run of this length always stays whole
+        run = np.where(self.size < SHORT, np.minimum(RUN, whole), np.minimum(RUN, self.size))
+        need = np.where((self.size < SHORT) | (run < RUN), 1, np.maximum(LEAST, self.size // SHARE))
+        for n in np.unique(run[self.size > 0]).tolist():
+            of = np.flatnonzero((run == n) & (self.size > 0))
+            self.places.append(_Places(of, [self.raw[i] for i in of], n, edits, need))
+        rng = np.random.default_rng(SEED)
+        longest = int(self.size.max(initial=1))
+        self.moves = [rng.integers(0, 2, (longest, 256), np.int64) for _ in range(self.repeats)]
+        self.spots = rng.random((self.repeats, self.bands, self.sample))  # of an item's length
+        data, ends = np.frombuffer(b"".join(self.raw) or b"\0", np.uint8), np.cumsum(self.size)
+        self.keys = [band_keys(embed(data, ends - self.size, ends, m), self._sampled(r, self.size)) for r, m in enumerate(self.moves)]
+
+    def _sampled(self, r: int, size: np.ndarray) -> np.ndarray:
+        return (self.spots[r] * np.maximum(1, size)[:, None, None]).astype(np.int64)
+
+    def near(self, data: np.ndarray, item: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which windows agree with their item on a band."""
+        out = np.zeros(len(item), bool)
+        for r, moves in enumerate(self.moves):
+            todo = np.flatnonzero(~out)
+            if len(todo):
+                size = self.size[item[todo]]
+                walked = embed(data, starts[todo], ends[todo], moves[: int(size.max())])
+                out[todo] = (band_keys(walked, self._sampled(r, size)) == self.keys[r][:, item[todo]]).any(0)
+        return out
+
+    def search(self, texts: list[bytes | str | None]) -> list[list[tuple[int, int, int]]]:
+        """For each text, (item id, words before the window, edit distance in characters) of the items it holds, one window each."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        words = Words(texts, memo)
-        if not len(self.known) or not len(words.codes):
+        rows = [_plain(t) for t in texts]
+        buf = b"\0".join(rows)
+        if not self.places or not buf:
             return out
-        ends = np.cumsum(words.counts + 1) - 1
-        begins = ends - words.counts
-        inside = np.ones(int(ends[-1]) + 1, bool)
-        inside[ends] = False
-        codes = np.zeros(len(inside), np.uint64)  # a 0 stands after each text
-        codes[inside] = words.codes
-        h = run_hashes(codes, self.run)
-        place = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-        slot = np.minimum(np.searchsorted(self.known, h[place]), len(self.known) - 1)
-        place, slot = (x[self.known[slot] == h[place]] for x in (place, slot))
-        many = self.begin[slot + 1] - self.begin[slot]
-        flat = np.repeat(self.begin[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item, start = self.item[flat], np.repeat(place, many) - self.at[flat]
-        text = np.searchsorted(ends, np.repeat(place, many))
-        # runs of the same text and item whose starts lie within 2 * edits of each other, where there are enough of them
-        order = np.lexsort((start, item, text))
-        item, start, text = item[order], start[order], text[order]
-        group = (text * len(self.items) + item) * (len(codes) * 4) + start + len(codes)
-        upto = np.searchsorted(group, group + 2 * self.edits[item], side="right")
-        enough = upto - np.arange(len(group)) >= self.least[item]
-        edge = np.zeros(len(group) + 1, np.int64)
-        np.add.at(edge, np.flatnonzero(enough), 1)
-        np.add.at(edge, upto[enough], -1)
-        near = np.cumsum(edge[:-1]) > 0
-        length = self.size[item[near]]
-        start = np.maximum(start[near], begins[text[near]])
-        windows = np.unique(np.stack([text[near], length, start]), axis=1)
-        candidates: set[tuple[int, int, int]] = set()
-        for a in range(0, windows.shape[1], 8192):  # bounded memory for long texts
-            of, n, at = windows[:, a : a + 8192]
-            for r in range(self.repeats):
-                walked = embed(codes, at, np.minimum(at + n, ends[of]), 3 * int(n.max()), SEED + r)
-                for length in np.unique(n).tolist():
-                    rows = np.flatnonzero(n == length)
-                    keys = band_keys(walked[rows], self.places[length, r])
-                    table_ = self.tables[length]
-                    for x, b in zip(*np.nonzero(np.isin(keys, np.fromiter(table_, np.uint64, len(table_)))), strict=True):
-                        y = rows[x]
-                        candidates.update((int(of[y]), i, int(at[y])) for i in table_[int(keys[x, b])])
+        data = np.frombuffer(buf, np.uint8)
+        begins = np.cumsum([0, *(len(t) + 1 for t in rows)])
+        windows: list[tuple[int, int, int, int]] = []  # item, text, start, end
+        for a in range(0, len(buf), PIECE):
+            for by in self.places:  # a piece reads on so far that an item which begins in it is whole
+                for i, starts in by.find(buf[a : a + PIECE + 2 * by.longest]):
+                    size = int(self.size[i])
+                    for s in {int(starts[x * (len(starts) - 1) // 4]) for x in range(5)}:  # inserts shift starts to the last, deletes to the first
+                        s += a
+                        t = int(np.searchsorted(begins, min(max(s + size // 2, 0), len(buf) - 1), side="right")) - 1
+                        ts = {t} if 0 <= s >= begins[t] and s + size < begins[t + 1] else {t - 1, t, t + 1}  # texts meet here
+                        for t in ts:
+                            if 0 <= t < len(rows) and (low := max(s, int(begins[t]))) < (high := min(s + size, int(begins[t + 1]) - 1)):
+                                windows.append((i, t, low, high))
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        seen: tuple[int, int, int] = (-1, -1, 0)
-        for t, i, at in sorted(candidates):
-            n, slack, at = int(self.size[i]), int(self.edits[i]) + 2, at - int(begins[t])
-            if found.get((t, i), (1, 0))[0] == 0 or seen[:2] == (t, i) and at - seen[2] <= slack:
-                continue  # found as it is, or inside the words that the last window was verified with
-            seen = (t, i, at)
-            a, z = int(words.first[t]), int(words.first[t] + words.counts[t])
-            around = words.between(max(a, a + at - slack), min(z, a + at + n + 2 * slack))
-            item_text = self.joined[i]
-            distance = edit_within(item_text, around, int((1 - self.similarity) * len(item_text) + 1e-9))
-            if distance is not None and ((t, i) not in found or distance < found[t, i][0]):
-                found[t, i] = (distance, at)
-        self._by_letters(texts, found)
+        windows = sorted(set(windows), key=lambda w: (w[1], w[0], w[2]))
+        for b in range(0, len(windows), 4096):
+            some = np.array(windows[b : b + 4096], np.int64)
+            hits = some[self.near(data, some[:, 0], some[:, 2], some[:, 3])]
+            seen = (-1, -1, 0)
+            for i, t, low, high in hits.tolist():
+                slack = int(self.edits[i]) + 4
+                if found.get((t, i), (1, 0))[0] == 0 or seen[:2] == (t, i) and low - seen[2] <= slack // 2:
+                    continue  # found as it is, or within what the last window was verified with
+                seen = (t, i, low)
+                begin, end = int(begins[t]), int(begins[t + 1]) - 1
+                around = buf[max(begin, low - 2 * slack) : min(end, low + int(self.size[i]) + 3 * slack)].decode("utf-8", "replace")
+                distance = edit_within(self.text[i], around, self.most[i])
+                if distance is not None and ((t, i) not in found or distance < found[t, i][0]):
+                    found[t, i] = (distance, buf.count(b" ", begin, low))
         for (t, i), (distance, at) in sorted(found.items()):
             out[t].append((self.items[i][0], at, distance))
         return [sorted(x) for x in out]
 
-    def _by_letters(self, texts: list[bytes | str | None], found: dict[tuple[int, int], tuple[int, int]]) -> None:
-        """Adds to found the items that share enough runs of letters with a text, whatever became of their words; pieces of bounded size."""
-        if not len(self.letter_runs):
-            return
-        rows = [b" ".join((t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"").lower().split()) for t in texts]
-        buf = b"\0".join(rows)
-        begins = np.cumsum([0, *(len(t) + 1 for t in rows)])
-        longest = int(self.letters.max())
-        for a in range(0, len(buf), LETTERS):  # a piece reads on so far that an item which begins in it is whole
-            g = _letter_runs(buf[a : a + LETTERS + 2 * longest])
-            place = np.flatnonzero(self.letter_maybe[_slot(g)])
-            slot = np.minimum(np.searchsorted(self.letter_runs, g[place]), len(self.letter_runs) - 1)
-            place, slot = (x[self.letter_runs[slot] == g[place]] for x in (place, slot))
-            many = self.letter_begin[slot + 1] - self.letter_begin[slot]
-            flat = np.repeat(self.letter_begin[slot], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            item, span, at = self.letter_item[flat], 4 * (len(g) + longest + 1), self.letter_at[flat]
-            key = np.sort((item * span + np.repeat(place, many) - at + longest) * 1024 + at % 1024)
-            key, at = key >> 10, key & 1023
-            item = key // span
-            upto = np.arange(len(key)) + self.seeds[item] - 1
-            far = 2 * ((1 - self.similarity) * self.letters[item]).astype(np.int64)
-            enough = np.flatnonzero((upto < len(key)) & (key[np.minimum(upto, len(key) - 1)] - key <= far)) if len(key) else []
-            ends = np.searchsorted(key, key[enough] + far[enough], side="right") if len(key) else []
-            last = None
-            for x, z in zip(enough, ends, strict=True):
-                i, start = int(item[x]), int(key[x] % span) - longest + a
-                size, slack = int(self.letters[i]), int(far[x])
-                if last and last[0] == i and start - last[1] <= slack:
-                    continue  # inside what the last window was verified with
-                if len(set(at[x:z].tolist())) < min(int(self.seeds[i]), 1024):
-                    continue  # the same few runs of the item again and again
-                last = (i, start)
-                t = int(np.searchsorted(begins, min(max(start + slack, 0) + size // 2, len(buf) - 1), side="right")) - 1
-                for t in {t, int(np.searchsorted(begins, max(start, 0), side="right")) - 1}:
-                    if (t, i) in found:
-                        continue
-                    low, high = max(int(begins[t]), start - slack), min(int(begins[t + 1]) - 1, start + size + 3 * slack)
-                    around = buf[low:high].decode("utf-8", "replace") if high > low else ""
-                    distance = edit_within(self.joined[i], around, int((1 - self.similarity) * len(self.joined[i]) + 1e-9))
-                    if distance is not None:
-                        found[t, i] = (distance, buf.count(b" ", int(begins[t]), max(int(begins[t]), start)))
-
-
-def _letter_runs(text: bytes) -> np.ndarray:
-    """The runs of RUN bytes of a text, each as a number."""
-    n = len(text) - RUN + 1
-    return np.ndarray((n,), "<u8", text + b"\0" * 8, strides=(1,)) & np.uint64((1 << 8 * RUN) - 1) if n > 0 else np.zeros(0, np.uint64)
-
-
-def _slot(runs: np.ndarray) -> np.ndarray:
-    return (runs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-
 
 def find_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, out: str = "matches", block: int = BLOCK) -> DataFrame:
-    """docs with an array of struct(item_id, at, distance): the items that each text holds. Map side only.
+    """docs with an array of struct(item_id, at, distance): the items that each text holds.
 
-    The items are the stated query set: they go to the executors in blocks of at most `block` rows, one pass each.
+    The items are the stated query set: they go to the executors in blocks of at most about `block` rows. One block is a map over the documents; more are one pass each, one
+    after another, whose matches are written by row and joined back.
     """
     spark = docs.sparkSession
     Batches.small(spark)
     listed = items.filter(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("text")).agg(F.min(item_id).alias("item_id")).select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "text")
-    n = listed.count()
-    blocks = max(1, -(-n // block))
-    result, columns = docs, []
+    blocks = max(1, -(-listed.count() // block))
+    d, parts = docs if blocks == 1 else addressed(docs), []
     for b in range(blocks):
         part = listed if blocks == 1 else listed.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
         rows = [(int(r[0]), r[1]) for r in part.orderBy("item_id").toLocalIterator()]  # about `block` rows
-        columns.append(f"__m{b}")
-        result = result.withColumn(columns[-1], _searcher(spark.sparkContext.broadcast(cloudpickle.dumps(ItemIndex(rows, similarity))))(F.col(text).cast("binary")))
-    found = F.array_sort(F.concat(*columns)) if blocks > 1 else F.col(columns[0])
-    return result.withColumn(out, found).drop(*columns)
+        sent = spark.sparkContext.broadcast(cloudpickle.dumps(ItemIndex(rows, similarity)))
+        found = _searcher(sent)(F.col(text).cast("binary"))
+        if blocks == 1:
+            return docs.select(*[c for c in docs.columns if c != out], found.alias(out))
+        parts.append(materialize(d.select("__rid", found.alias("__found")).filter(F.size("__found") > 0), keep=True))
+        sent.unpersist()
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    every = every.groupBy("__rid").agg(F.array_sort(F.flatten(F.collect_list("__found"))).alias("__found"))
+    empty = F.array().cast("array<struct<item_id:bigint,at:bigint,distance:bigint>>")
+    return d.join(every, "__rid", "left").withColumn(out, F.coalesce("__found", empty)).select(*[c for c in docs.columns if c != out], out)
 
 
 def _searcher(sent):
     @F.pandas_udf("array<struct<item_id:long,at:long,distance:long>>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index, memo = pickle.loads(sent.value), {}
+        index = pickle.loads(sent.value)
         for texts in batches:
-            yield pd.Series([[{"item_id": a, "at": b, "distance": c} for a, b, c in found] for found in index.search(list(texts), memo)])
+            yield pd.Series([[{"item_id": a, "at": b, "distance": c} for a, b, c in found] for found in index.search(list(texts))])
 
     return search
 

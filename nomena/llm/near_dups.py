@@ -36,7 +36,7 @@ BLOCK = 4000
 #: Nodes of a signature whose sketches are compared pair by pair in one pass over all signatures; those of more nodes go in blocks.
 FEW = 32
 #: Rounds of one comparison a node, at most; they end with the first that finds no link.
-ROUNDS = 4
+ROUNDS = 2
 #: Copies of a join's small side where its key may be held by most rows of the other.
 SALTS = 16
 #: Most rows of a few numbers that are broadcast (some 30 MB); beyond it both sides are joined through a shuffle.

@@ -306,6 +306,49 @@ def test_decontamination_by_letters():
     assert index.search([None, "", "foo bar " * 1000]) == [[], [], []]
 
 
+def edited(text, rate, kind, rng):
+    """The text after rate * its length edits of letters (0 substitute, 1 insert, 2 delete) or of words (3 to 5)."""
+    letters, left, t = "abcdefghijklmnopqrstuvwxyz", int(rate * len(text)), list(text) if kind < 3 else text.split(" ")
+    while True:
+        i = rng.randrange(len(t))
+        new = "".join(rng.choice(letters) for _ in range(1 if kind < 3 else 4))
+        left -= 1 if kind < 3 else (max(4, len(t[i])), 5, len(t[i]) + 1)[kind - 3]
+        if left < 0:
+            return "".join(t) if kind < 3 else " ".join(t)
+        t[i : i + 1] = ([new], [t[i], new], [])[kind % 3]
+
+
+@pytest.mark.parametrize("kind", range(6))
+def test_decontamination_recall(kind):
+    """Items edited within a fifth of their letters are found, as exact search over the text finds them."""
+    rng = random.Random(kind)
+    part = ["the", "on", "re", "in", "an", "ed", "tion", "st", "er", "ou", "le", "ha"]
+    words = lambda n: " ".join("".join(rng.choice(part) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    items = [(i, words(rng.randint(14, 60))) for i in range(40)]
+    index = decontaminate.ItemIndex(items)
+    for rate in (0.02, 0.05, 0.1, 0.15, 0.19):
+        texts = [f"{words(60)} {edited(t, rate, kind, rng)} {words(60)}" for _, t in items]
+        due = [{i for i, t in items if decontaminate.edit_within(t, x, int(0.2 * len(t))) is not None} for x in texts]
+        found = [{m[0] for m in ms} for ms in index.search(texts)]
+        assert all(f <= d for f, d in zip(found, due, strict=True)) and sum(map(len, due)) >= len(items)
+        assert sum(map(len, found)) >= 0.95 * sum(map(len, due))
+
+
+def test_find_items_frames(spark):
+    """Several blocks find what one does; nulls, empty texts and items, repeated rows, clashing names, no items."""
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(20))) for i in range(30)] + [(90, None), (91, ""), (92, "  ")]
+    rows = [(i, f"x y z {t} x y z") for i, t in items[:30]] + [(3, f"{items[3][1]} {items[4][1]}")] * 2 + [(None, None), (50, ""), (51, "w1 w2 " * 30000)]
+    docs = frame(spark, rows).withColumns({"matches": F.lit(1), "item_id": F.lit("x"), "at": F.lit(None)})
+    bench = frame(spark, items, "item_id long, text string")
+    one = decontaminate.find_items(docs, bench).collect()
+    more = decontaminate.find_items(docs, bench, block=7).collect()
+    assert sorted(map(str, one)) == sorted(map(str, more)) and len(one) == len(rows)
+    assert sorted([m["item_id"] for m in r["matches"]] for r in one if r["matches"]) == sorted([[i] for i in range(30)] + [[3, 4]] * 2)
+    assert all(r["matches"] == [] for r in decontaminate.find_items(docs, bench.limit(0)).collect())
+    assert decontaminate.find_items(docs.limit(0), bench).count() == 0
+
+
 def test_pu_classifier(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["the", "river", "runs", "over", "stones.", "A", "house", "stands"]) for _ in range(80)) + "."
