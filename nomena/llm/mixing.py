@@ -121,7 +121,8 @@ def mix(docs: DataFrame, size: Column, key: list[Column], row: str, weights: tup
     row: a column that tells rows of equal keys apart. Rows are decided where they are, by what class_plan says of their class; only rows of equal rank at a cut that
     takes some of them are numbered. docs is read several times, but no row of it is moved or written.
     """
-    d = docs.withColumns({"__source": F.col(source), "__size": size.cast("long"), "__u": unit(F.lit(seed), *key)}).withColumn("__cls", size_class(F.col("__size")))
+    once = lambda x: F.when(F.monotonically_increasing_id() >= 0, x)  # noqa: E731  # or filters that are pushed down would count the words again
+    d = docs.withColumns({"__source": F.col(source), "__size": once(size.cast("long")), "__u": once(unit(F.lit(seed), *key))}).withColumn("__cls", size_class(F.col("__size")))
     with scratch(docs.sparkSession):
         slim = materialize(d.select("__source", "__cls", "__size", "__u"))
         plan = materialize(class_plan(slim, weights, most, seed), keep=True)

@@ -37,6 +37,8 @@ BLOCK = 4000
 FEW = 32
 #: Rounds of one comparison a node, at most; they end with the first that finds no link.
 ROUNDS = 2
+#: Nodes that a node is compared with in a round, at most: those it shares most signatures with.
+TRIES = 4
 #: Copies of a join's small side where its key may be held by most rows of the other.
 SALTS = 16
 #: Most rows of a few numbers that are broadcast (some 30 MB); beyond it both sides are joined through a shuffle.
@@ -233,27 +235,29 @@ def _near(x: int, nx: int, y: int, ny: int, p: int, q: int) -> bool:
     return (x ^ y).bit_count() * (q + p) <= (q - p) * (nx + ny)
 
 
-def _stars(at: DataFrame, tried: DataFrame | None, info: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b): for each node b one node a of another component that it shares signatures with, the most of those that are asked for; at: (sig, node, comp), tried: (a, b), info: (node, size, sketch).
+def _stars(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b, n): for each node b of a signature one node a of another component, unless size or sketch rules a link out; n: signatures they share so; at: (sig, node, comp, lo, hi), info: (node, size, sketch).
 
-    Asked for are, of each signature, a node of its smallest and one of its largest component. Pairs that sketches rule out are left out.
+    a is a node of the signature's smallest component, or of its largest one: two a signature, so there are at most as many pairs as rows.
     """
-    ends = at.groupBy("sig").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi")).filter("lo.comp <> hi.comp")
-    pairs = at.join(ends, "sig").select(F.when(F.col("comp") == F.col("lo.comp"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("a"), F.col("node").alias("b"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    pairs = pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    pairs = materialize(pairs)
+    pairs = at.select(F.when(F.col("comp") == F.col("lo.comp"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("a"), F.col("node").alias("b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("n")))
     end = lambda x: info.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
     pairs = _salted(pairs, end("a"), "a", "b").join(end("b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             near = [_near(int.from_bytes(xa, "little"), na, int.from_bytes(xb, "little"), nb, p, q) for na, xa, nb, xb in zip(d["na"], d["xa"], d["nb"], d["xb"], strict=True)]
-            yield d.loc[np.array(near, bool), ["a", "b"]]
+            yield d.loc[np.array(near, bool), ["a", "b", "n"]]
+
+    return pairs.mapInPandas(run, "a long, b long, n long")
+
 
-    return pairs.mapInPandas(run, "a long, b long")
+def _best(near: DataFrame) -> DataFrame:
+    """(a, b): of each b the TRIES pairs with most shared signatures."""
+    top = F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("a")).alias("a"))), asc=False), 1, TRIES)
+    return near.groupBy("b").agg(top.alias("ts")).select("b", F.explode("ts").alias("t")).select((-F.col("t.a")).alias("a"), "b")
 
 
 def _salted(rows: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
@@ -422,12 +426,12 @@ def _blocked(units: DataFrame, block: int) -> DataFrame:
 
 
 def _hopeful_many(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
-    """As _hopeful_few, by matrix products: for signatures of many nodes."""
+    """(node): nodes outside a signature's largest component for which neither size nor sketch rules out a link with one of another component; for signatures of many nodes, by matrix products."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         hit = np.zeros(len(rows), bool)
-        for a, b, near in _close(list(rows["sketch"]), rows["size"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["left"].to_numpy(bool), p, q):
-            hit[a[near.any(1)]] = hit[b[near.any(0)]] = True
+        for a, _, near in _close(list(rows["sketch"]), rows["size"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["left"].to_numpy(bool), p, q):
+            hit[a[near.any(1)]] = True
         return pd.DataFrame({"node": rows["node"].to_numpy()[hit]})
 
     units = at.select(F.col("sig").alias("unit"), F.lit(1).alias("kind"), "node", "comp")
@@ -511,30 +515,46 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
     words = nodes.agg(F.sum("size")).first()[0] or 0
     rows = int(words * 3.5 * (q - p) * 2 / (q + p)) + nodes.count()
     buckets = max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
-    shared = materialize(_shared_signatures(d, shingle, p, q, seed, buckets).distinct())
+    shared = materialize(_shared_signatures(d, shingle, p, q, seed, buckets))  # a row may come twice
     info = nodes.select("node", "size", "sketch")
     once = not members.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     wanted = _Wanted(d, nodes, shingle, seed, once)
     all_nodes = materialize(shared.select("node").distinct())
-    edges = tried = None
-    at = shared.withColumn("comp", F.col("node"))
-    for _ in range(ROUNDS):
-        pairs = materialize(_stars(at, tried, info, p, q))
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    edges = tried = open_ = None
+    label = all_nodes.withColumn("comp", F.col("node"))
+    at = materialize(_apart(shared.withColumn("comp", F.col("node"))))
+    for turn in range(ROUNDS):
+        near = _stars(at, info, p, q)
+        near = materialize(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
+        pairs = materialize(_best(near))
         sets = wanted.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         new = materialize(_verified(pairs, sets, p, q))
-        if not new.limit(1).count():
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        linked = bool(new.limit(1).count())
+        if linked:
+            edges = new if edges is None else edges.unionByName(new)
+            label = materialize(components(all_nodes, edges))
+        if turn == 0:  # two nodes of a signature that have nothing else in it are settled, unless they are near and their turn didn't come
+            open_ = near.select("a", "b").join(pairs, ["a", "b"], "left_anti")
+            two = at.groupBy("sig").agg(F.count_distinct("node").alias("m")).filter("m = 2").select("sig")
+            at = at.join(two, "sig", "left_anti")
+        at = materialize(_apart(at.select("sig", "node").join(_sent(label), "node")))
+        if not linked:
             break
-        edges = new if edges is None else edges.unionByName(new)
-        comp = materialize(components(all_nodes, edges))
-        at = materialize(_apart(shared, comp))
     # signatures that are still apart
-    sizes = at.groupBy("sig").agg(F.count("*").alias("m"))
-    hopeful = materialize(_hopeful_few(at.join(sizes.filter(F.col("m") <= FEW), "sig"), info, p, q).union(_hopeful_many(at.join(sizes.filter(F.col("m") > FEW), "sig"), info, p, q)).distinct())
-    label = all_nodes.withColumn("comp", F.col("node")) if edges is None else comp
-    if hopeful.limit(1).count():
-        at = materialize(_apart(at.select("sig", "node").join(hopeful, "node", "left_semi"), label))
-        more = materialize(_links_in_blocks(at, wanted.of(hopeful), p, q))
+    rows = at.select("sig", "node", "comp").distinct()
+    sizes = rows.groupBy("sig").agg(F.count("*").alias("m"))
+    few = rows.join(sizes.filter(F.col("m") <= FEW).select("sig"), "sig", "left_semi")
+    many = materialize(rows.join(sizes.filter(F.col("m") > FEW).select("sig"), "sig", "left_semi"))
+    close = few.join(materialize(_hopeful_few(few, info, p, q)), "node", "left_semi")
+    outside = materialize(_hopeful_many(many, info, p, q))
+    wide = many.join(many.join(outside, "node", "left_semi").select("sig").distinct(), "sig", "left_semi")
+    end = lambda x: label.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    open_ = open_.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").withColumn("sig", -1 - F.abs(F.xxhash64("a", "b") % (1 << 62)))
+    left = open_.select("sig", F.col("a").alias("node"), F.col("ca").alias("comp")).union(open_.select("sig", "b", "cb"))
+    at = materialize(_apart(close.unionByName(wide).select("sig", "node", "comp").union(left).distinct()).select("sig", "node", "comp"))
+    if at.limit(1).count():
+        more = materialize(_links_in_blocks(at, wanted.of(at.select("node").distinct()), p, q))
         if more.limit(1).count():
             label = components(all_nodes, more if edges is None else edges.unionByName(more))
     label = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
@@ -544,10 +564,10 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", F.when(F.col("node").isNull(), F.col("doc_id"))).alias("component_id"), F.col("comp").alias("group"), "node", "row")
 
 
-def _apart(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """(sig, node, comp) of the signatures that hold more than one component; shared: (sig, node), comp: (node, comp)."""
-    at = shared.join(comp, "node").select("sig", "node", "comp")
-    return at.join(at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("sig"), "sig", "left_semi")
+def _apart(at: DataFrame) -> DataFrame:
+    """at: (sig, node, comp), of the signatures that hold more than one component; lo and hi: (comp, node) of the smallest and the largest one."""
+    ends = at.groupBy("sig").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi")).filter("lo.comp <> hi.comp")
+    return at.select("sig", "node", "comp").join(ends, "sig")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
