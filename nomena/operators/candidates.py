@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,12 +78,79 @@ def gather(keys: DataFrame, entities: DataFrame, periods: DataFrame, k: int | No
     return top_k(pool, ["surface", "year"], [F.desc("score"), "route", "pos"], k)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank) by dot product; the queries are a stated, bounded set, so every vector meets each once."""
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    d = vectors.join(q, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(dot, 5).alias("score"))
-    return top_k(d, ["query_id"], [F.desc("score"), "vec_id"], k)
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, vec_id, score, rank) by dot product, rounded to five places; a vector is no neighbour of itself.
+
+    The queries are a stated set. They go in blocks of at most about `block`, one pass over the vectors each: a batch of vectors is one matrix product, and a partition keeps the best k of each query, so what is shuffled does not grow with the vectors.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    sc = queries.sparkSession.sparkContext
+    best = None
+    for i in range(blocks):
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)
+        rows = part.select("vec_id", "embedding").toPandas()  # about `block` rows
+        sent = sc.broadcast((rows["vec_id"].to_numpy(np.int64), np.stack(rows["embedding"].to_list()).astype(np.float64) if len(rows) else np.zeros((0, 1))))
+        found = vectors.select("vec_id", "embedding").mapInPandas(_nearest(sent, k), "query_id long, vec_id long, score double")
+        best = found if best is None else best.unionByName(found)
+    return top_k(best, ["query_id"], [F.desc("score"), "vec_id"], k)
+
+
+def _nearest(sent, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = sent.value
+        score, vec = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        for b in batches:
+            if not len(b) or not len(ids):
+                continue
+            at = b["vec_id"].to_numpy(np.int64)
+            s = np.round(q @ np.stack(b["embedding"].to_list()).astype(np.float64).T, 5) + 0.0
+            s[ids[:, None] == at] = -np.inf
+            score, vec = np.hstack([score, s]), np.hstack([vec, np.broadcast_to(at, s.shape)])
+            order = np.lexsort((vec, -score))[:, :k]
+            score, vec = np.take_along_axis(score, order, 1), np.take_along_axis(vec, order, 1)
+        keep = np.isfinite(score)
+        yield pd.DataFrame({"query_id": np.repeat(ids, keep.sum(1)), "vec_id": vec[keep], "score": score[keep]})
+
+    return run
+
+
+def within_edits(d: DataFrame, text: str, k: int) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of distinct texts within k edits.
+
+    Of k + 1 pieces of the shorter text (the smaller one at equal lengths) one stands whole in the other, moved by k places at most: pairs meet on (length, piece number, piece), a few hundred rows for a text whatever the
+    number of texts, and are then measured. Texts shorter than k + 1 have empty pieces and meet all of about their length.
+    """
+    n, pieces = F.length(text), k + 1
+    size = lambda length, i: F.floor((length + i) / pieces).cast("int")
+    begin = lambda length, i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0), lambda s, j: s + F.when(j < i, size(length, j)).otherwise(0))
+    own = d.select(F.col(text).alias("s"), n.alias("len"), F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i"))
+    own = own.select("s", "len", "i", F.expr("s").substr(begin(F.col("len"), F.col("i")) + 1, size(F.col("len"), F.col("i"))).alias("piece"))
+    other = d.select(F.col(text).alias("t"), n.alias("n"), F.explode(F.sequence(F.greatest(F.lit(0), n - k), n)).alias("len")).select("t", "n", "len", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("i"))
+    other = other.withColumn("at", F.explode(F.sequence(F.lit(-k), F.lit(k)))).withColumn("from", begin(F.col("len"), F.col("i")) + F.col("at")).filter((F.col("from") >= 0) & (F.col("from") + size(F.col("len"), F.col("i")) <= F.col("n")))
+    other = other.select("t", "len", "i", F.col("t").substr(F.col("from") + 1, size(F.col("len"), F.col("i"))).alias("piece"))
+    pairs = own.join(other, ["len", "i", "piece"]).filter((F.length("s") < F.length("t")) | ((F.length("s") == F.length("t")) & (F.col("s") < F.col("t")))).select("s", "t").distinct()
+    return pairs.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), F.levenshtein("s", "t").alias("distance")).filter(F.col("distance") <= k)
+
+
+def containing(docs: DataFrame, items: DataFrame, run: int = 3, sent: int = 200_000) -> DataFrame:
+    """(doc_id, item_id) where a document's text holds the item verbatim. docs: (doc_id, text), items: (item_id, item).
+
+    An item's words but the first and the last are whole words of such a document, so the two meet on its second to fourth word; only those pairs are searched. Items of fewer words meet on their longest part between blanks.
+    The items' keys are broadcast while they are few, else joined by the key.
+    """
+    words = lambda c: F.split(c, " ", -1)
+    key = items.withColumn("w", words("item")).withColumn("key", F.when(F.size("w") >= run + 2, F.array_join(F.slice("w", 2, run), " ")))
+    long, short = key.filter("key IS NOT NULL").select("item_id", "item", "key"), key.filter("key IS NULL AND item IS NOT NULL").select("item_id", "item")
+    few = F.broadcast if long.count() <= sent else (lambda x: x)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - run, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, F.lit(run)), " ")))
+    d = docs.withColumn("w", words("text")).select("doc_id", "text", F.explode(runs).alias("key"))
+    out = d.join(few(long), "key").filter(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+    if not short.limit(1).count():
+        return out
+    if short.count() > 1000:
+        raise ValueError("more than 1000 items of fewer than five words")
+    return out.unionByName(docs.join(F.broadcast(short), F.col("text").contains(F.col("item"))).select("doc_id", "item_id"))
 
 
 def prior(mentions: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample_idx needs a total order over all mentions; it is made where rows are read in file order, here from the sort key."""
-    d = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    d = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return d.select(key.alias("sample_key"), F.col("p_name").alias("surface"), F.year("l_shipdate").alias("year"), F.col("l_partkey").alias("gold_id"), F.col("p_type").alias("type"), F.col("p_brand").alias("book"))
 
@@ -43,4 +43,4 @@ entities AS (SELECT p_partkey AS entity_id, p_name AS title, p_type AS category,
 periods AS (SELECT p_partkey AS entity_id, l_returnflag AS seg, CASE WHEN l_returnflag = 'R' THEN p_brand || ' ' || p_type ELSE p_name END AS name, start_year, end_year
   FROM (SELECT l_partkey, l_returnflag, min(y) AS start_year, max(y) AS end_year FROM thin GROUP BY 1, 2) JOIN part ON p_partkey = l_partkey),
 mentions AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sample_key, p_name AS surface, CAST(year(l_shipdate) AS INT) AS year, l_partkey AS gold_id, p_type AS type, p_brand AS book
-  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45)"""
+  FROM lineitem JOIN part ON p_partkey = l_partkey)"""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, years
-from ..operators import candidates, canon, ranking
+from ..operators import candidates, canon, ranking, tokens
 from . import fixtures as fx
 from .fixtures import table
 
@@ -73,12 +73,11 @@ def substring_search(spark, sf):
     return candidates.by_substring(m.select(F.substring_index("surface", " ", 1).alias("surface")), e.select("title"))
 
 
-@query("WITH s AS (SELECT DISTINCT title FROM entities) SELECT a.title AS a, b.title AS b, CAST(levenshtein(a.title, b.title) AS INT) AS distance FROM s a JOIN s b ON string_split(a.title, ' ')[1] = string_split(b.title, ' ')[1] AND a.title <> b.title WHERE levenshtein(a.title, b.title) <= 6")
+@query("WITH s AS (SELECT DISTINCT title FROM entities) SELECT a.title AS a, b.title AS b, CAST(levenshtein(a.title, b.title) AS INT) AS distance FROM s a JOIN s b ON a.title <> b.title WHERE levenshtein(a.title, b.title) <= 6")
 def levenshtein_candidates(spark, sf):
-    """Titles that share their first word and lie within six edits: the block key keeps it from all pairs."""
-    t = fx.entities(spark, sf).select("title").distinct().withColumn("w", F.substring_index("title", " ", 1))
-    d = t.alias("a").join(t.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.title") != F.col("b.title")))
-    return d.select(F.col("a.title").alias("a"), F.col("b.title").alias("b"), F.levenshtein("a.title", "b.title").alias("distance")).filter("distance <= 6")
+    """All pairs of titles within six edits, both ways."""
+    d = candidates.within_edits(fx.entities(spark, sf).select("title").distinct(), "title", 6)
+    return d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
 
 
 @query("SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * v.embedding[i])), 5) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * v.embedding[i])), 5) DESC, v.vec_id) AS INT) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 10", linked=False)
@@ -170,7 +169,7 @@ def evidence_periods(spark, sf):
     return p.groupBy("entity_id").agg(F.array_join(F.transform(listed, lambda x: x["s"]), ", ").alias("names"))
 
 
-@query("SELECT entity_id, coalesce(CAST(birth_year AS VARCHAR), '?') || '-' || coalesce(CAST(death_year AS VARCHAR), '?') AS span FROM entities")
+@query("SELECT entity_id, CASE WHEN birth_year IS NULL AND death_year IS NULL THEN '?' ELSE coalesce(CAST(birth_year AS VARCHAR), '?') || '–' || coalesce(CAST(death_year AS VARCHAR), '?') END AS span FROM entities")
 def evidence_spans(spark, sf):
     return fx.entities(spark, sf).select("entity_id", years.span(F.col("birth_year"), F.col("death_year")).alias("span"))
 
@@ -221,14 +220,24 @@ def _split(key: str, least: str) -> str:
 SELECT k AS split_key, CASE WHEN r <= {least} THEN 'test' WHEN r <= 2 * {least} THEN 'valid' ELSE 'train' END AS split FROM r"""
 
 
+def _nth(d: DataFrame, n: int) -> Column:
+    """Whether (h, split_key) is among the n smallest. Digests are counted by their first letters, then one such slice is sorted as far as it is needed."""
+    if n <= 0:
+        return F.lit(False)
+    left = n
+    for prefix, count in sorted((r["p"], r["count"]) for r in d.groupBy(F.left("h", F.lit(4)).alias("p")).count().collect()):  # 65,536 at most
+        if count >= left:
+            break
+        left -= count
+    cut = d.filter(F.left("h", F.lit(4)) == prefix).orderBy("h", "split_key").limit(left).agg(F.max(F.struct("h", "split_key")).alias("m")).first()["m"]
+    return F.struct("h", "split_key") <= F.struct(F.lit(cut["h"]), F.lit(cut["split_key"]))
+
+
 def _hash_split(keys: DataFrame, least: int) -> DataFrame:
-    """First int(n / 10) keys by seeded digest are test, the next valid, the rest train. Only the two cut-off digests go to the driver."""
+    """First int(n / 10) keys by seeded digest are test, the next valid, the rest train."""
     d = keys.distinct().withColumn("h", F.md5(F.concat(F.lit("42:"), F.col("split_key")).cast("binary")))
     n = max(least, int(d.count() * 0.1))
-    cut = [(r[0], r[1]) for r in d.orderBy("h", "split_key").limit(2 * n).filter(F.lit(True)).groupBy().agg(F.max(F.struct("h", "split_key")).alias("m")).select("m.h", "m.split_key").collect()] if n else []
-    first = [(r[0], r[1]) for r in d.orderBy("h", "split_key").limit(n).groupBy().agg(F.max(F.struct("h", "split_key")).alias("m")).select("m.h", "m.split_key").collect()] if n else []
-    at = lambda c: F.struct("h", "split_key") <= F.struct(F.lit(c[0][0]), F.lit(c[0][1])) if c else F.lit(False)
-    return d.select("split_key", F.when(at(first), "test").when(at(cut), "valid").otherwise("train").alias("split"))
+    return d.select("split_key", F.when(_nth(d, n), "test").when(_nth(d, 2 * n), "valid").otherwise("train").alias("split"))
 
 
 @query(_split("surface || '|' || gold_id", "CAST(floor(n * 0.1) AS BIGINT)"))
@@ -302,9 +311,13 @@ def year_token(spark, sf):
     return fx.mentions(spark, sf).select("sample_key", text.year_token(F.col("year"), F.col("book")).alias("token"))
 
 
-@query(f"SELECT doc_id, translate(CASE WHEN lang = 'de' THEN replace(t, 'ß', 'ss') ELSE t END, '{text.WITH_DIACRITICS}', '{text.WITHOUT}') AS norm FROM (SELECT doc_id, lang, regexp_replace(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), '^[ .,;:!?]+|[ .,;:!?]+$', '', 'g') AS t FROM documents)", linked=False)
+_ENDS = text.ENDS.replace("'", "''")
+
+
+@query(f"WITH t AS (SELECT doc_id, left(lower(coalesce(lang, '')), 2) AS l, text FROM documents), n AS (SELECT doc_id, l, trim(trim(regexp_replace(CASE WHEN l = 'sa' THEN coalesce(text, '') ELSE lower(coalesce(text, '')) END, '\\s+', ' ', 'g')), '{_ENDS}') AS t FROM t) SELECT doc_id, CASE WHEN l IN ('fi', 'sa') THEN t ELSE translate(CASE WHEN l = 'de' THEN replace(t, 'ß', 'ss') ELSE t END, '{text.WITH_DIACRITICS}', '{text.WITHOUT}') END AS norm FROM n", linked=False)
 def normalize_generic(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.normalize_generic("text", "lang").alias("norm"))
+    """Whole texts by their language, in the JVM: letters beyond the table keep their marks here."""
+    return table(spark, sf, "documents").select("doc_id", text.normalize_generic("text", "lang", text.fold_known).alias("norm"))
 
 
 @query("SELECT entity_id, translate(title, ' ', '') AS norm, title AS base FROM entities")
@@ -337,18 +350,18 @@ def token_offsets(spark, sf):
     return d.select("doc_id", "tok_idx", "tok", F.coalesce(F.sum(F.length("tok") + 1).over(w), F.lit(0)).cast("long").alias("start"))
 
 
-_BIO = """WITH e AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
-g AS (SELECT *, sum(CASE WHEN before = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS span FROM e)
-SELECT user_id, CAST(span AS BIGINT) AS span, any_value(event_type) AS kind, count(*) AS n FROM g GROUP BY user_id, span"""
+_BIO = """WITH t AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'B-' WHEN event_id % 7 = 0 THEN 'O-' ELSE 'I-' END || event_type AS label FROM events),
+o AS (SELECT *, sum(CASE WHEN label LIKE 'B-%' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS span FROM t),
+k AS (SELECT *, first_value(substr(label, 3)) OVER (PARTITION BY user_id, span ORDER BY event_id) AS type FROM o WHERE span > 0),
+b AS (SELECT *, max(CASE WHEN label LIKE 'B-%' OR label = 'I-' || type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, span ORDER BY event_id) AS broken FROM k)
+SELECT user_id, CAST(span AS BIGINT) AS span, any_value(type) AS type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM b WHERE broken = 0 GROUP BY user_id, span"""
 
 
 @query(_BIO, linked=False)
 def bio_spans(spark, sf):
-    """Runs of equal labels, as spans of a tagged sequence are found: a new span begins where the label changes."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type").withColumn("before", F.lag("event_type").over(w))
-    new = F.when(F.col("before") == F.col("event_type"), 0).otherwise(1)
-    return e.withColumn("span", F.sum(new).over(w)).groupBy("user_id", "span").agg(F.first("event_type").alias("kind"), F.count("*").alias("n"))
+    """Spans of a tagged sequence: a user's events with labels made from their ids, so that all ways to begin, go on and break occur."""
+    label = F.concat(F.when(F.col("event_id") % 3 == 0, "B-").when(F.col("event_id") % 7 == 0, "O-").otherwise("I-"), "event_type")
+    return tokens.spans(table(spark, sf, "events").select("user_id", "event_id", label.alias("label")), ["user_id"], ["event_id"])
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS BIGINT) AS n_links, coalesce(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)[1], '') AS first_link FROM pages", linked=False)
@@ -385,12 +398,12 @@ def summary_pivot(spark, sf):
     return d.select("method", *[F.coalesce(x, F.lit(0)).cast("long").alias(x.lower()) for x in ("F", "O", "P")])
 
 
-@query("SELECT p.entity_id, seg FROM periods p JOIN entities e USING (entity_id) WHERE NOT (end_year < birth_year OR start_year > death_year - 1)")
+@query("SELECT p.entity_id, seg FROM periods p JOIN entities e USING (entity_id) WHERE NOT (end_year < birth_year + 3 - 10 OR start_year > death_year - 3 + 10) OR birth_year IS NULL")
 def period_life_filter(spark, sf):
-    """Periods that do not lie wholly outside the lifetime (here less its last year)."""
+    """Periods that do not lie wholly outside the lifetime (here three years shorter at each end) by more than ten years."""
     _, e, p = _all(spark, sf)
-    outside = (F.col("end_year") < F.col("birth_year")) | (F.col("start_year") > F.col("death_year") - 1)
-    return p.join(e.select("entity_id", "birth_year", "death_year"), "entity_id").filter(~outside).select("entity_id", "seg")
+    own = years.own_periods(F.array(F.struct("start_year", "end_year")), F.col("birth_year") + 3, F.col("death_year") - 3)
+    return p.join(e.select("entity_id", "birth_year", "death_year"), "entity_id").filter(F.size(own) > 0).select("entity_id", "seg")
 
 
 @query("SELECT e.entity_id, least(min(start_year), any_value(birth_year)) AS lo, greatest(max(end_year), any_value(death_year)) AS hi FROM entities e LEFT JOIN periods p USING (entity_id) GROUP BY 1")
@@ -422,7 +435,6 @@ def field_coverage(spark, sf):
 
 @query("WITH c AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT item_id, count(DISTINCT doc_id) AS n FROM c GROUP BY item_id", linked=False)
 def leak_containment(spark, sf):
-    """Documents that hold an item verbatim: the items are a stated query set and are broadcast; every document meets each once."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
-    d = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(items), F.col("text").contains(F.col("item")))
+    """Documents that hold an item verbatim."""
+    d = candidates.containing(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")))
     return d.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
