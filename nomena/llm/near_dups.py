@@ -31,8 +31,10 @@ from .common import Batches, Words, materialize, mix64, run_hashes, scratch, tab
 
 #: Signature rows in a bucket, about: what one task sorts at a time.
 BUCKET_ROWS = 2_000_000
-#: Sets that are compared with each other at a time.
-BLOCK = 4000
+#: Sets that are compared with each other at a time, and their shingles: a task holds two such blocks at most.
+BLOCK, BLOCK_SHINGLES = 2000, 1_000_000
+#: Numbers of a matrix of sketches at a time.
+CELLS = 1 << 22
 #: Nodes of a signature whose sketches are compared pair by pair in one pass over all signatures; those of more nodes go in blocks.
 FEW = 32
 #: Rounds of one comparison a node, at most; they end with the first that finds no link.
@@ -377,13 +379,16 @@ def _close(sketches: list[bytes], size: np.ndarray, comp: np.ndarray, left: np.n
             rows, columns = np.flatnonzero(left & (width == wa)), np.flatnonzero(~left & (width == wb))
             if not len(rows) or not len(columns):
                 continue
-            y = bits(columns, wb > w)
-            for at in range(0, len(rows), 500):
-                a = rows[at : at + 500]
-                x = bits(a, wa > w)
-                apart = x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T)
-                m, n = size[a][:, None], size[columns]
-                yield a, columns, (apart * (q + p) <= (q - p) * (m + n)) & (np.minimum(m, n) * q >= np.maximum(m, n) * p) & (comp[a][:, None] != comp[columns])
+            some = max(1, min(2000, CELLS // (8 * w)))
+            for to in range(0, len(columns), some):
+                b = columns[to : to + some]
+                y = bits(b, wb > w)
+                for at in range(0, len(rows), some):
+                    a = rows[at : at + some]
+                    x = bits(a, wa > w)
+                    apart = x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T)
+                    m, n = size[a][:, None], size[b]
+                    yield a, b, (apart * (q + p) <= (q - p) * (m + n)) & (np.minimum(m, n) * q >= np.maximum(m, n) * p) & (comp[a][:, None] != comp[b])
 
 
 def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
@@ -411,12 +416,13 @@ def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int
 
 
 def _blocked(units: DataFrame, block: int) -> DataFrame:
-    """(unit, kind, i, j, node, comp, left): the nodes outside a unit's largest component, left, dealt to blocks i, against all of its nodes, dealt to blocks j; units: (unit, kind, node, comp).
+    """(unit, kind, i, j, node, comp, left): the nodes outside a unit's largest component, left, dealt to blocks i, against all of its nodes, dealt to blocks j; units: (unit, kind, node, comp, size).
 
     Of two nodes of different components one is outside the largest, so all pairs meet.
     """
-    of = units.groupBy("unit", "kind", "comp").agg(F.count("*").alias("n")).groupBy("unit", "kind").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most"))
-    sizes = of.select("unit", "kind", F.ceil(F.col("all") / block).cast("long").alias("js"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most.n")) / block)).cast("long").alias("is"), F.col("most.comp").alias("most"))
+    cost = F.sum(F.col("size") + BLOCK_SHINGLES // block) / BLOCK_SHINGLES / 2  # at least as many blocks as sets or shingles ask for
+    of = units.groupBy("unit", "kind", "comp").agg(cost.alias("n")).groupBy("unit", "kind").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most"))
+    sizes = of.select("unit", "kind", F.greatest(F.lit(1), F.ceil("all")).cast("long").alias("js"), F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("most.n"))).cast("long").alias("is"), F.col("most.comp").alias("most"))
     d = units.join(sizes, ["unit", "kind"])
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
@@ -434,8 +440,8 @@ def _hopeful_many(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
             hit[a[near.any(1)]] = True
         return pd.DataFrame({"node": rows["node"].to_numpy()[hit]})
 
-    units = at.select(F.col("sig").alias("unit"), F.lit(1).alias("kind"), "node", "comp")
-    d = _blocked(units, 2000).join(info, "node")
+    units = at.join(info.select("node", "size"), "node").select(F.col("sig").alias("unit"), F.lit(1).alias("kind"), "node", "comp", "size")
+    d = _blocked(units, BLOCK).join(info, "node")
     return d.groupBy("unit", "i", "j").applyInPandas(run, "node long").distinct()
 
 
@@ -444,7 +450,7 @@ def _work(n: F.Column, block: int) -> F.Column:
     return n * n + 4000.0 * n * F.ceil(n / block)
 
 
-def _links_in_blocks(at: DataFrame, sets: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
+def _links_in_blocks(at: DataFrame, info: DataFrame, sets: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links that join all components which links join among nodes that share a signature; at: (sig, node, comp).
 
     Nodes are compared in units: what signatures hold together if that is fewer comparisons, else signature by signature. A unit
@@ -458,7 +464,7 @@ def _links_in_blocks(at: DataFrame, sets: DataFrame, p: int, q: int, block: int
     label = at.select("node", "comp").distinct()
     units = whole.select("node", F.col("comp").alias("unit")).join(split, "unit", "left_anti").join(label, "node").select("node", "comp", "unit", F.lit(0).alias("kind"))
     single = at.join(of_sig.join(split, "unit").select("sig"), "sig").select("node", "comp", F.col("sig").alias("unit"), F.lit(1).alias("kind")).distinct()
-    units = materialize(units.unionByName(single))
+    units = materialize(units.unionByName(single).join(info.select("node", "size"), "node"))
     dealt = materialize(_blocked(units, block))
     tasks = max(4 * at.sparkSession.sparkContext.defaultParallelism, -(-dealt.count() // block))
     d = sets.select("node", "found").join(_sent(dealt), "node")
@@ -554,7 +560,7 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
     left = open_.select("sig", F.col("a").alias("node"), F.col("ca").alias("comp")).union(open_.select("sig", "b", "cb"))
     at = materialize(_apart(close.unionByName(wide).select("sig", "node", "comp").union(left).distinct()).select("sig", "node", "comp"))
     if at.limit(1).count():
-        more = materialize(_links_in_blocks(at, wanted.of(at.select("node").distinct()), p, q))
+        more = materialize(_links_in_blocks(at, info, wanted.of(at.select("node").distinct()), p, q))
         if more.limit(1).count():
             label = components(all_nodes, more if edges is None else edges.unionByName(more))
     label = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
