@@ -271,32 +271,36 @@ def _salted(rows: DataFrame, small: DataFrame, key: str, spread: str) -> DataFra
 
 
 def _hopeful_few(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
-    """(node): nodes that share a signature with one of another component, whose sketches don't rule a link out; at: (sig, node, comp), info: (node, size, sketch)."""
+    """(node, unit): of pairs of one signature and two components whose sketches don't rule a link out, the node of the larger label and the other's component; at: (sig, node, comp), info: (node, size, sketch)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         now, held = None, []
 
         def compare() -> None:
-            for i, (a, ca, na, xa) in enumerate(held):
-                for b, cb, nb, xb in held[i + 1 :]:
-                    if ca != cb and not (a in seen and b in seen) and _near(xa, na, xb, nb, p, q):
-                        seen.update((a, b))
+            held.sort()  # by component
+            for i, (ca, _, na, xa) in enumerate(held):
+                for cb, b, nb, xb in held[i + 1 :]:
+                    if ca != cb and (b, ca) not in seen and _near(xa, na, xb, nb, p, q):
+                        seen.add((b, ca))
+
+        def give() -> pd.DataFrame:
+            return pd.DataFrame(sorted(seen), columns=["node", "unit"], dtype="int64")
 
         for batch in batches:
-            for sig, *rest, bits in zip(batch["sig"], batch["node"], batch["comp"], batch["size"], batch["sketch"], strict=True):
+            for sig, node, comp, size, bits in zip(batch["sig"], batch["node"], batch["comp"], batch["size"], batch["sketch"], strict=True):
                 if sig != now:
                     compare()
                     now, held = sig, []
-                held.append((*rest, int.from_bytes(bits, "little")))
+                held.append((comp, node, size, int.from_bytes(bits, "little")))
             if len(seen) > 50_000:
-                yield pd.DataFrame({"node": sorted(seen)})
+                yield give()
                 seen.clear()
         compare()
-        yield pd.DataFrame({"node": np.array(sorted(seen), np.int64)})
+        yield give()
 
     d = at.join(info, "node").select("sig", "node", "comp", "size", "sketch")
-    return d.repartition("sig").sortWithinPartitions("sig").mapInPandas(run, "node long").distinct()
+    return d.repartition("sig").sortWithinPartitions("sig").mapInPandas(run, "node long, unit long").distinct()
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int, once: bool) -> DataFrame:
@@ -350,19 +354,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def _held_together(at: DataFrame) -> DataFrame:
-    """(node, comp): comp is the smallest node that signatures lead to; at: (sig, node). No pair of nodes is ever made."""
-    labels = at.select("node").distinct().withColumn("comp", F.col("node"))
-    while True:
-        low = at.join(labels, "node").groupBy("sig").agg(F.min("comp").alias("low"))
-        step = materialize(at.join(low, "sig").groupBy("node").agg(F.min("low").alias("low")).join(labels.withColumnRenamed("comp", "old"), "node"))
-        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("further"))
-        step = materialize(_salted(step, jump, "low", "node").select("node", "old", F.least("low", "further").alias("comp")))
-        labels = step.drop("old")
-        if not step.filter("old <> comp").limit(1).count():
-            return labels
-
-
 def _close(sketches: list[bytes], size: np.ndarray, comp: np.ndarray, left: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, columns, near): sets with left against those without it; near is false only where size or sketch rules a link out, or the components are one.
 
@@ -415,58 +406,48 @@ def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int
     return out
 
 
-def _blocked(units: DataFrame, block: int) -> DataFrame:
-    """(unit, kind, i, j, node, comp, left): the nodes outside a unit's largest component, left, dealt to blocks i, against all of its nodes, dealt to blocks j; units: (unit, kind, node, comp, size).
+def _blocked(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(unit, i, j, node, comp, left): a unit's left nodes dealt to blocks i, against its right ones, dealt to blocks j; so many blocks as their sets and shingles ask for. left, right: (unit, node, comp, size)."""
 
-    Of two nodes of different components one is outside the largest, so all pairs meet.
-    """
-    cost = F.sum(F.col("size") + BLOCK_SHINGLES // block) / BLOCK_SHINGLES / 2  # at least as many blocks as sets or shingles ask for
-    of = units.groupBy("unit", "kind", "comp").agg(cost.alias("n")).groupBy("unit", "kind").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most"))
-    sizes = of.select("unit", "kind", F.greatest(F.lit(1), F.ceil("all")).cast("long").alias("js"), F.greatest(F.lit(1), F.ceil(F.col("all") - F.col("most.n"))).cast("long").alias("is"), F.col("most.comp").alias("most"))
-    d = units.join(sizes, ["unit", "kind"])
+    def sizes(d: DataFrame, out: str) -> DataFrame:
+        return d.groupBy("unit").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") + BLOCK_SHINGLES // BLOCK) / BLOCK_SHINGLES / 2)).cast("long").alias(out))
+
+    many = sizes(left, "is").join(sizes(right, "js"), "unit")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    left = d.filter("comp <> most").withColumn("i", dealt("is")).withColumn("j", upto("js")).withColumn("left", F.lit(True))
-    right = d.withColumn("j", dealt("js")).withColumn("i", upto("is")).withColumn("left", F.lit(False))
-    return left.select("unit", "kind", "i", "j", "node", "comp", "left").unionByName(right.select("unit", "kind", "i", "j", "node", "comp", "left"))
+    columns = ["unit", "i", "j", "node", "comp", "left"]
+    a = left.join(many, "unit").withColumn("i", dealt("is")).withColumn("j", upto("js")).withColumn("left", F.lit(True))
+    b = right.join(many, "unit").withColumn("j", dealt("js")).withColumn("i", upto("is")).withColumn("left", F.lit(False))
+    return a.select(*columns).unionByName(b.select(*columns))
 
 
 def _hopeful_many(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
-    """(node): nodes outside a signature's largest component for which neither size nor sketch rules out a link with one of another component; for signatures of many nodes, by matrix products."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        hit = np.zeros(len(rows), bool)
-        for a, _, near in _close(list(rows["sketch"]), rows["size"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["left"].to_numpy(bool), p, q):
-            hit[a[near.any(1)]] = True
-        return pd.DataFrame({"node": rows["node"].to_numpy()[hit]})
-
-    units = at.join(info.select("node", "size"), "node").select(F.col("sig").alias("unit"), F.lit(1).alias("kind"), "node", "comp", "size")
-    d = _blocked(units, BLOCK).join(info, "node")
-    return d.groupBy("unit", "i", "j").applyInPandas(run, "node long").distinct()
-
-
-def _work(n: F.Column, block: int) -> F.Column:
-    """Cost of comparing n sets in blocks: moving a set weighs as much as some thousand comparisons."""
-    return n * n + 4000.0 * n * F.ceil(n / block)
+    """(node, unit) as _hopeful_few, for signatures of many nodes, by matrix products: nodes outside a signature's largest component, and components of others that neither size nor sketch rules out.
 
-
-def _links_in_blocks(at: DataFrame, info: DataFrame, sets: DataFrame, p: int, q: int, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join all components which links join among nodes that share a signature; at: (sig, node, comp).
-
-    Nodes are compared in units: what signatures hold together if that is fewer comparisons, else signature by signature. A unit
-    of more than `block` nodes is dealt to blocks, and each pair of blocks is one task, so no task holds more than two blocks.
+    Of two nodes of different components one is outside the largest, so all pairs meet, and no more rows come out than such nodes have components around them.
     """
-    m = at.groupBy("sig").agg(F.count("*").cast("double").alias("m"), F.min("node").alias("least"))
-    whole = _held_together(at.select("sig", "node"))
-    of_sig = m.join(whole, m["least"] == whole["node"]).select("sig", F.col("comp").alias("unit"), _work(F.col("m"), block).alias("cost"))
-    cost = of_sig.groupBy("unit").agg(F.sum("cost").alias("apart")).join(whole.groupBy(F.col("comp").alias("unit")).agg(F.count("*").cast("double").alias("n")), "unit")
-    split = cost.filter(_work(F.col("n"), block) > F.col("apart")).select("unit")
-    label = at.select("node", "comp").distinct()
-    units = whole.select("node", F.col("comp").alias("unit")).join(split, "unit", "left_anti").join(label, "node").select("node", "comp", "unit", F.lit(0).alias("kind"))
-    single = at.join(of_sig.join(split, "unit").select("sig"), "sig").select("node", "comp", F.col("sig").alias("unit"), F.lit(1).alias("kind")).distinct()
-    units = materialize(units.unionByName(single).join(info.select("node", "size"), "node"))
-    dealt = materialize(_blocked(units, block))
-    tasks = max(4 * at.sparkSession.sparkContext.defaultParallelism, -(-dealt.count() // block))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        node, comp, out = rows["node"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), []
+        for a, b, near in _close(list(rows["sketch"]), rows["size"].to_numpy(np.int64), comp, rows["left"].to_numpy(bool), p, q):
+            i, j = np.nonzero(near)
+            out.append(np.unique(np.stack([node[a[i]], comp[b[j]]]), axis=1))
+        found = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=1)
+        return pd.DataFrame({"node": found[0], "unit": found[1]})
+
+    d = at.join(info.select("node", "size"), "node").select(F.col("sig").alias("unit"), "node", "comp", "size")
+    most = d.groupBy("unit", "comp").agg(F.count("*").alias("n")).groupBy("unit").agg(F.max(F.struct("n", "comp"))["comp"].alias("most"))
+    outside = d.join(most, "unit").filter("comp <> most").drop("most")
+    return _blocked(outside, d).join(info, "node").groupBy("unit", "i", "j").applyInPandas(run, "node long, unit long").distinct()
+
+
+def _links_in_blocks(asked: DataFrame, label: DataFrame, info: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): of each asked node and component (node, unit) the links that join them, if there are any; label: (node, comp). A pair of blocks of a component and of its asked nodes is one task, which holds no more."""
+    size = info.select("node", "size")
+    left = asked.join(label, "node").join(size, "node")
+    right = label.join(asked.select(F.col("unit").alias("comp")).distinct(), "comp", "left_semi").join(size, "node").withColumn("unit", F.col("comp"))
+    dealt = materialize(_blocked(left, right))
+    tasks = max(4 * asked.sparkSession.sparkContext.defaultParallelism, -(-dealt.count() // BLOCK))
     d = sets.select("node", "found").join(_sent(dealt), "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -475,7 +456,7 @@ def _links_in_blocks(at: DataFrame, info: DataFrame, sets: DataFrame, p: int, q:
         found = _spanning([np.asarray(x, np.int64) for x in rows["found"]], rows["comp"].to_numpy(), left, p, q)
         return pd.DataFrame([(min(node[i], node[j]), max(node[i], node[j])) for i, j in found], columns=["a", "b"])
 
-    by = ["unit", "kind", "i", "j"]  # a stated number of tasks: by bytes alone they would be put together to a few
+    by = ["unit", "i", "j"]  # a stated number of tasks: by bytes alone they would be put together to a few
     return d.repartition(tasks, *by).groupBy(*by).applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -552,15 +533,13 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
     sizes = rows.groupBy("sig").agg(F.count("*").alias("m"))
     few = rows.join(sizes.filter(F.col("m") <= FEW).select("sig"), "sig", "left_semi")
     many = materialize(rows.join(sizes.filter(F.col("m") > FEW).select("sig"), "sig", "left_semi"))
-    close = few.join(materialize(_hopeful_few(few, info, p, q)), "node", "left_semi")
-    outside = materialize(_hopeful_many(many, info, p, q))
-    wide = many.join(many.join(outside, "node", "left_semi").select("sig").distinct(), "sig", "left_semi")
     end = lambda x: label.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
-    open_ = open_.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").withColumn("sig", -1 - F.abs(F.xxhash64("a", "b") % (1 << 62)))
-    left = open_.select("sig", F.col("a").alias("node"), F.col("ca").alias("comp")).union(open_.select("sig", "b", "cb"))
-    at = materialize(_apart(close.unionByName(wide).select("sig", "node", "comp").union(left).distinct()).select("sig", "node", "comp"))
-    if at.limit(1).count():
-        more = materialize(_links_in_blocks(at, info, wanted.of(at.select("node").distinct()), p, q))
+    open_ = open_.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb")
+    open_ = open_.select(F.when(F.col("ca") > F.col("cb"), F.col("a")).otherwise(F.col("b")).alias("node"), F.least("ca", "cb").alias("unit"))
+    asked = materialize(_hopeful_few(few, info, p, q).unionByName(_hopeful_many(many, info, p, q)).unionByName(open_).distinct())
+    if asked.limit(1).count():
+        members_of = label.join(asked.select(F.col("unit").alias("comp")).distinct(), "comp", "left_semi").select("node")
+        more = materialize(_links_in_blocks(asked, label, info, wanted.of(asked.select("node").union(members_of).distinct()), p, q))
         if more.limit(1).count():
             label = components(all_nodes, more if edges is None else edges.unionByName(more))
     label = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
