@@ -148,7 +148,7 @@ class Words:
     character is white space or a letter A-Z. Long inputs go in pieces of PIECE bytes, cut between words.
     """
 
-    PIECE = 1 << 21
+    PIECE = 1 << 20
     BASES = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
 
     def __init__(self, texts: list[bytes | str | None], memo: dict | None = None):

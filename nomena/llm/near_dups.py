@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from .common import Batches, Words, materialize, mix64, run_hashes, scratch, table
 
 #: Signature rows in a bucket, about: what one task sorts at a time.
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 1_000_000
 #: Sets that are compared with each other at a time, and their shingles: a task holds two such blocks at most.
 BLOCK, BLOCK_SHINGLES = 2000, 1_000_000
 #: Numbers of a matrix of sketches at a time.
-CELLS = 1 << 22
+CELLS = 1 << 21
 #: Nodes of a signature whose sketches are compared pair by pair in one pass over all signatures; those of more nodes go in blocks.
 FEW = 32
 #: Rounds of one comparison a node, at most; they end with the first that finds no link.
@@ -370,7 +370,7 @@ def _close(sketches: list[bytes], size: np.ndarray, comp: np.ndarray, left: np.n
             rows, columns = np.flatnonzero(left & (width == wa)), np.flatnonzero(~left & (width == wb))
             if not len(rows) or not len(columns):
                 continue
-            some = max(1, min(2000, CELLS // (8 * w)))
+            some = max(1, min(500, CELLS // (4 * w)))
             for to in range(0, len(columns), some):
                 b = columns[to : to + some]
                 y = bits(b, wb > w)
@@ -410,7 +410,7 @@ def _blocked(left: DataFrame, right: DataFrame) -> DataFrame:
     """(unit, i, j, node, comp, left): a unit's left nodes dealt to blocks i, against its right ones, dealt to blocks j; so many blocks as their sets and shingles ask for. left, right: (unit, node, comp, size)."""
 
     def sizes(d: DataFrame, out: str) -> DataFrame:
-        return d.groupBy("unit").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") + BLOCK_SHINGLES // BLOCK) / BLOCK_SHINGLES / 2)).cast("long").alias(out))
+        return d.groupBy("unit").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") + BLOCK_SHINGLES // BLOCK) / BLOCK_SHINGLES * 2)).cast("long").alias(out))
 
     many = sizes(left, "is").join(sizes(right, "js"), "unit")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
