@@ -35,8 +35,10 @@ BUCKET_ROWS = 1_000_000
 BLOCK, BLOCK_SHINGLES = 2000, 1_000_000
 #: Numbers of a matrix of sketches at a time.
 CELLS = 1 << 21
-#: Nodes of a signature whose sketches are compared pair by pair in one pass over all signatures; those of more nodes go in blocks.
-FEW = 32
+#: Nodes of a signature whose sketches are compared in one pass over all signatures; those of more nodes go in blocks.
+FEW = 1000
+#: Passes over the texts for signatures, each for an equal part of them: what is shuffled at a time is that much less.
+PASSES = 2
 #: Rounds of one comparison a node, at most; they end with the first that finds no link.
 ROUNDS = 2
 #: Nodes that a node is compared with in a round, at most: those it shares most signatures with.
@@ -141,8 +143,8 @@ def _members(docs: DataFrame, n: int, p: int, q: int, seed: int) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, buckets: int) -> DataFrame:
-    """(sig, node) of all signatures that two nodes or more have; a row may come twice."""
+def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, buckets: int, turn: int, turns: int) -> DataFrame:
+    """(sig, node) of all signatures of this turn that two nodes or more have; a row may come twice."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
@@ -159,6 +161,10 @@ def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, bucke
             # 40 bits and the bucket are left of a signature: a chance collision adds a candidate, it loses none
             sig = (sig % np.uint64(buckets)) << np.uint64(40) | sig >> np.uint64(24)
             node = np.repeat(np.fromiter(nodes, np.int64, len(nodes)), [len(x) for x in nodes.values()])
+            mine = (sig >> np.uint64(40)) % np.uint64(turns) == turn
+            sig, node = sig[mine], node[mine]
+            if not len(sig):
+                continue
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             fresh = np.r_[True, sig[1:] != sig[:-1]]
@@ -208,7 +214,7 @@ def _shared_signatures(docs: DataFrame, n: int, p: int, q: int, seed: int, bucke
         yield from bucket(held)
 
     packed = docs.select("text").mapInPandas(cut, "bucket int, known boolean, blob binary")
-    by = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    by = packed.repartition(-(-buckets // turns), "bucket").sortWithinPartitions("bucket")
     return by.mapInPandas(match, "sig long, node long")
 
 
@@ -279,9 +285,20 @@ def _hopeful_few(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
 
         def compare() -> None:
             held.sort()  # by component
+            if len(held) > 12:
+                comp, node, size = (np.array([h[x] for h in held], np.int64) for x in range(3))
+                kinds, many = np.unique(comp, return_counts=True)
+                left = comp != kinds[np.argmax(many)]
+                twice = lambda x: np.concatenate([x[left], x])
+                k, bits = int(left.sum()), [h[3] for h in held]
+                bits = [bits[i] for i in np.flatnonzero(left)] + bits
+                for a, b, near in _close(bits, twice(size), twice(comp), np.arange(len(bits)) < k, p, q):
+                    i, j = np.nonzero(near)
+                    seen.update(zip(twice(node)[a[i]].tolist(), twice(comp)[b[j]].tolist(), strict=True))
+                return
             for i, (ca, _, na, xa) in enumerate(held):
                 for cb, b, nb, xb in held[i + 1 :]:
-                    if ca != cb and (b, ca) not in seen and _near(xa, na, xb, nb, p, q):
+                    if ca != cb and (b, ca) not in seen and _near(int.from_bytes(xa, "little"), na, int.from_bytes(xb, "little"), nb, p, q):
                         seen.add((b, ca))
 
         def give() -> pd.DataFrame:
@@ -292,7 +309,7 @@ def _hopeful_few(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
                 if sig != now:
                     compare()
                     now, held = sig, []
-                held.append((comp, node, size, int.from_bytes(bits, "little")))
+                held.append((comp, node, size, bits))
             if len(seen) > 50_000:
                 yield give()
                 seen.clear()
@@ -502,7 +519,10 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
     words = nodes.agg(F.sum("size")).first()[0] or 0
     rows = int(words * 3.5 * (q - p) * 2 / (q + p)) + nodes.count()
     buckets = max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
-    shared = materialize(_shared_signatures(d, shingle, p, q, seed, buckets))  # a row may come twice
+    shared = None
+    for turn in range(PASSES):
+        part = materialize(_shared_signatures(d, shingle, p, q, seed, buckets, turn, PASSES))
+        shared = part if shared is None else shared.unionByName(part)
     info = nodes.select("node", "size", "sketch")
     once = not members.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     wanted = _Wanted(d, nodes, shingle, seed, once)
