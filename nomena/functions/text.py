@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Marks deleted from a name.
 MARKS = "☆★○●◎◇◆□■▽▼△▲"
@@ -77,7 +78,7 @@ def fold_known(c: Column | str) -> Column:
     return F.translate(_text(c), WITH_DIACRITICS, WITHOUT)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))

@@ -83,8 +83,9 @@ def own_periods(periods: Column, birth: Column, death: Column, margin: int = 10)
 
 def active_window(periods: Column, birth: Column, death: Column) -> Column:
     """struct(low, high) over all known years of the person's own periods, birth and death; null if there are none."""
-    own = F.coalesce(own_periods(periods, birth, death), F.array().cast("array<struct<start_year:int,end_year:int>>"))
-    years = F.array_compact(F.concat(F.transform(own, lambda p: known(p["start_year"]).cast("int")), F.transform(own, lambda p: known(p["end_year"]).cast("int")), F.array(known(birth).cast("int"), known(death).cast("int"))))
+    own = own_periods(periods, birth, death)
+    bounds = lambda f: F.coalesce(F.transform(own, lambda p: known(p[f]).cast("int")), F.array().cast("array<int>"))
+    years = F.array_compact(F.concat(bounds("start_year"), bounds("end_year"), F.array(known(birth).cast("int"), known(death).cast("int"))))
     return F.when(F.size(years) > 0, F.struct(F.array_min(years).alias("low"), F.array_max(years).alias("high")))
 
 

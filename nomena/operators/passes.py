@@ -214,15 +214,18 @@ def resolved(mentions: DataFrame, entities: DataFrame, canon: DataFrame) -> Data
     readers = e.filter("person").groupBy("rd").agg(F.min("canon_id").alias("reader"), F.max("canon_id").alias("z")).filter("reader = z AND rd <> ''").drop("z")
     gold = e.select(F.col("entity_id").alias("label_id"), F.col("canon_id").alias("gold_canon"), F.col("person").alias("gold_person"), "base", "rd", "kind").join(bearers, "base", "left").join(readers, "rd", "left")
     d = mentions.withColumns({"yr": years.context_year(F.lit(None).cast("int"), F.col("context_left")), "mb": text.base_name("mention")})
-    asked = d.select("label_id", "mb", "yr").distinct().join(gold, "label_id")
-    life = e.select(F.col("entity_id").alias("id"), years.active_window(F.array().cast("array<struct<start_year:int,end_year:int>>"), F.col("birth_year"), F.col("death_year")).alias("life"), "periods")
-    bounds = F.array_compact(F.concat(F.transform(F.coalesce("periods", F.array().cast("array<struct<name:string,reading:string,daime:string,start_year:int,end_year:int,name_type:string>>")), lambda p: years.known(p["start_year"])), F.transform(F.coalesce("periods", F.array().cast("array<struct<name:string,reading:string,daime:string,start_year:int,end_year:int,name_type:string>>")), lambda p: years.known(p["end_year"])), F.array("life.low", "life.high")))
-    life = life.withColumn("all", bounds).select("id", F.array_min("all").alias("low"), F.array_max("all").alias("high"), "periods")
-    one = asked.filter("ids IS NOT NULL AND reader IS NULL AND yr IS NOT NULL").select("label_id", "mb", "yr", F.explode("ids").alias("id")).join(life, "id").filter("yr BETWEEN low - 5 AND high + 5")
+    d = d.withColumn("k", F.struct("label_id", "mb", F.coalesce("yr", F.lit(-1)).alias("yr")))
+    asked = d.select("k", "label_id", "mb", "yr").distinct().join(gold, "label_id")
+    none = F.array().cast("array<int>")
+    bounds = lambda f: F.coalesce(F.transform("periods", lambda p: years.known(p[f])), none)
+    life = e.select(F.col("entity_id").alias("id"), "periods", F.array_compact(F.concat(bounds("start_year"), bounds("end_year"), F.array(years.known(F.col("birth_year")), years.known(F.col("death_year"))))).alias("all"))
+    life = life.select("id", F.array_min("all").alias("low"), F.array_max("all").alias("high"), "periods")
+    one = asked.filter("ids IS NOT NULL AND reader IS NULL AND yr IS NOT NULL").select("k", "mb", "yr", F.explode("ids").alias("id")).join(life, "id").filter("yr BETWEEN low - 5 AND high + 5")
     held = F.get(F.filter("periods", lambda p: years.covers(p["start_year"], p["end_year"], F.col("yr"))), F.lit(0))["name"]
-    one = one.groupBy("label_id", "mb", "yr").agg(F.count("*").alias("active"), F.min("id").alias("only"), F.count_if(text.base_name(held) == F.col("mb")).alias("named"), F.min(F.when(text.base_name(held) == F.col("mb"), F.col("id"))).alias("name_only"))
-    a = asked.join(one, [asked["label_id"] == one["label_id"], asked["mb"] == one["mb"], asked["yr"].eqNullSafe(one["yr"])], "left").select(asked["label_id"], asked["mb"], asked["yr"], "gold_canon", "gold_person", "kind", "ids", "reader", "active", "only", "named", "name_only")
-    d = d.join(a, [d["label_id"] == a["label_id"], d["mb"] == a["mb"], d["yr"].eqNullSafe(a["yr"])], "left").select(*[d[c] for c in mentions.columns], "gold_canon", "gold_person", "kind", "ids", "reader", "active", "only", "named", "name_only")
+    same = held.isNotNull() & (text.base_name(held) == F.col("mb"))
+    one = one.groupBy("k").agg(F.count("*").alias("active"), F.min("id").alias("only"), F.count_if(same).alias("named"), F.min(F.when(same, F.col("id"))).alias("name_only"))
+    a = asked.join(one, "k", "left").select("k", "gold_canon", "gold_person", "kind", "ids", "reader", "active", "only", "named", "name_only")
+    d = d.join(a, "k", "left")
     outcome = (
         F.when(F.coalesce("type", F.lit("")) != ACTOR, "drop_non_actor")
         .when(F.col("gold_canon").isNull(), "drop_missing")
