@@ -288,7 +288,7 @@ def match_flags(spark, sf):
     return e.select("entity_id", years.shown_bits(f).alias("flags"))
 
 
-@query("WITH c AS (SELECT m.sample_key, count(*) AS n, sum(CASE WHEN m.year BETWEEN birth_year - 5 AND death_year + 5 THEN 1 ELSE 0 END) AS active FROM mentions m JOIN entities e ON title = surface GROUP BY 1) SELECT CASE WHEN n = 1 THEN 'unique' WHEN active = 1 THEN 'active' WHEN active = 0 THEN 'unresolved' ELSE 'ambiguous' END AS outcome, count(*) AS n FROM c GROUP BY 1")
+@query("WITH k AS (SELECT DISTINCT surface, year FROM mentions), c AS (SELECT surface, year, count(*) AS n, sum(CASE WHEN year BETWEEN birth_year - 5 AND death_year + 5 THEN 1 ELSE 0 END) AS active FROM k JOIN entities e ON title = surface GROUP BY 1, 2) SELECT CASE WHEN n = 1 THEN 'unique' WHEN active = 1 THEN 'active' WHEN active = 0 THEN 'unresolved' ELSE 'ambiguous' END AS outcome, count(*) AS n FROM mentions JOIN c USING (surface, year) GROUP BY 1")
 def resolve_ladder(spark, sf):
     """Candidates are counted once per (surface, year), not per mention."""
     m, e, _ = _all(spark, sf)
