@@ -215,15 +215,26 @@ def run_hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def _file_rows(plan) -> bool:
+    """Whether each row of an analyzed plan is a row of a file, once at most: files under projections and filters, whose results are the same each time."""
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def addressed(docs: DataFrame, out: str = "__rid") -> DataFrame:
     """docs with an address of each row: rows without a usable key can be joined back to.
 
-    Rows of files are named by the file and their place in it, so nothing is copied; other frames are written once with a number for each row.
+    Rows of files are named by the file and their place in it, so nothing is copied; other frames (a join or an explode may repeat a file's row) are
+    written once with a number for each row.
     """
-    try:
-        at = docs.metadataColumn("_metadata")
-        found = docs.withColumn(out, F.concat_ws(":", F.xxhash64(at["file_path"]), at["file_name"], at["row_index"]))
-        found.schema  # noqa: B018
-        return found
-    except AnalysisException:
-        return materialize(docs.withColumn(out, F.monotonically_increasing_id().cast("string")))
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.deterministic() and _file_rows(plan):
+        try:
+            at = docs.metadataColumn("_metadata")
+            found = docs.withColumn(out, F.concat_ws(":", F.xxhash64(at["file_path"]), at["file_name"], at["row_index"]))
+            found.schema  # noqa: B018
+            return found
+        except AnalysisException:
+            pass
+    return materialize(docs.withColumn(out, F.monotonically_increasing_id().cast("string")))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nomena.llm import chat_format, decontaminate, html_extract, line_dedup, mixing, near_dups, pu_quality, quality_rules, secret_scan, sharding
+from nomena.llm import chat_format, common, decontaminate, html_extract, line_dedup, mixing, near_dups, pu_quality, quality_rules, secret_scan, sharding
 
 WORD = re.compile(r"[^ \t-\r]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -417,3 +417,11 @@ def test_mix_repeated_rows(spark):
         mine = [r for r in got if r["source"] == s]
         assert abs(sum(r["__copies"] * 10 for r in mine) - mine[0]["__target"]) <= 10
     assert mixing.mix(d.limit(0), F.col("words"), [F.col("doc_id")], "row").count() == 0
+
+
+def test_addresses_tell_rows_apart(spark):
+    """Rows of files are named in place; what may repeat a file's row is numbered."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    thrice = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    for x in (d, d.filter("doc_id > 5").select("doc_id"), thrice, d.unionByName(d), d.join(thrice.select("doc_id"), "doc_id"), d.filter(F.rand() < 2), d.limit(0), frame(spark, ODD)):
+        assert common.addressed(x).select("__rid").distinct().count() == x.count()
