@@ -8,8 +8,8 @@ linked pairs share one. What shares a signature is verified by its whole sets.
 
 Copies (equal word strings) are one node. Then come rounds in which each node is compared with one other at most: of another component than its own so far,
 and the one that it shares most signatures with, so a large group of near copies needs about as many comparisons as it has nodes. Only nodes of signatures that
-are still apart afterwards are compared in all pairs, with parity sketches first and whole sets in blocks where sketches rule nothing out; nodes and links that join components are passed on,
-never all pairs. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
+are still apart afterwards are compared in all pairs, by parity sketches first. Nodes that sketches leave together make clusters, of which only joining edges are passed on; inside a
+cluster's blocks whole sets are compared where sketches rule nothing out. So nodes and links that join components are passed on, never pairs of a group. Signatures are matched in packed buckets whose number grows with the data; a batch of documents passes on one
 row of a signature at most, so no signature fills a bucket.
 
 Cases: null texts and texts without words have an empty set and link with nothing; a text of fewer words than a shingle has one shingle, the whole; null doc_ids
@@ -276,12 +276,38 @@ def _salted(rows: DataFrame, small: DataFrame, key: str, spread: str) -> DataFra
     return rows.withColumn("__salt", salt).join(copies, [key, "__salt"]).drop("__salt")
 
 
+class _Forest:
+    """Clusters of nodes, with the edges that made them: at most one a node."""
+
+    def __init__(self) -> None:
+        self.over: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def top(self, x: int) -> int:
+        over = self.over
+        while (up := over.setdefault(x, x)) != x:
+            over[x] = over[up]
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self.top(a), self.top(b)
+        if x != y:
+            self.over[max(x, y)] = min(x, y)
+            self.edges.append((a, b))
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame(self.edges, columns=["a", "b"], dtype="int64")
+
+
 def _hopeful_few(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
-    """(node, unit): of pairs of one signature and two components whose sketches don't rule a link out, the node of the larger label and the other's component; at: (sig, node, comp), info: (node, size, sketch)."""
+    """(a, b): edges that put the nodes of every pair of one signature and two components, whose sketches don't rule a link out, in one cluster; at: (sig, node, comp), info: (node, size, sketch).
+
+    A task passes on fewer edges than it has nodes, however many pairs there are.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[int, int]] = set()
-        now, held = None, []
+        forest, now, held = _Forest(), None, []
 
         def compare() -> None:
             held.sort()  # by component
@@ -292,17 +318,14 @@ def _hopeful_few(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
                 twice = lambda x: np.concatenate([x[left], x])
                 k, bits = int(left.sum()), [h[3] for h in held]
                 bits = [bits[i] for i in np.flatnonzero(left)] + bits
+                name = twice(node)
                 for a, b, near in _close(bits, twice(size), twice(comp), np.arange(len(bits)) < k, p, q):
-                    i, j = np.nonzero(near)
-                    seen.update(zip(twice(node)[a[i]].tolist(), twice(comp)[b[j]].tolist(), strict=True))
+                    _join_near(forest, name[a], name[b], near)
                 return
-            for i, (ca, _, na, xa) in enumerate(held):
+            for i, (ca, a, na, xa) in enumerate(held):
                 for cb, b, nb, xb in held[i + 1 :]:
-                    if ca != cb and (b, ca) not in seen and _near(int.from_bytes(xa, "little"), na, int.from_bytes(xb, "little"), nb, p, q):
-                        seen.add((b, ca))
-
-        def give() -> pd.DataFrame:
-            return pd.DataFrame(sorted(seen), columns=["node", "unit"], dtype="int64")
+                    if ca != cb and forest.top(a) != forest.top(b) and _near(int.from_bytes(xa, "little"), na, int.from_bytes(xb, "little"), nb, p, q):
+                        forest.join(a, b)
 
         for batch in batches:
             for sig, node, comp, size, bits in zip(batch["sig"], batch["node"], batch["comp"], batch["size"], batch["sketch"], strict=True):
@@ -310,14 +333,25 @@ def _hopeful_few(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
                     compare()
                     now, held = sig, []
                 held.append((comp, node, size, bits))
-            if len(seen) > 50_000:
-                yield give()
-                seen.clear()
+            if len(forest.over) > 500_000:
+                yield forest.frame()
+                forest = _Forest()
         compare()
-        yield give()
+        yield forest.frame()
 
     d = at.join(info, "node").select("sig", "node", "comp", "size", "sketch")
-    return d.repartition("sig").sortWithinPartitions("sig").mapInPandas(run, "node long, unit long").distinct()
+    return d.repartition("sig").sortWithinPartitions("sig").mapInPandas(run, "a long, b long")
+
+
+def _join_near(forest: _Forest, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> None:
+    """Joins a[i] and b[j] wherever near[i, j]: a row's columns with the row's first one, so each takes part once a row."""
+    top = np.array([forest.top(x) for x in b.tolist()], np.int64)
+    for i in np.flatnonzero(near.any(1)).tolist():
+        x = int(a[i])
+        own = forest.top(x)
+        for j in np.flatnonzero(near[i] & (top != own)).tolist():
+            forest.join(x, int(b[j]))
+            top[j] = own = forest.top(x)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n: int, seed: int, once: bool) -> DataFrame:
@@ -399,8 +433,8 @@ def _close(sketches: list[bytes], size: np.ndarray, comp: np.ndarray, left: np.n
                     yield a, b, (apart * (q + p) <= (q - p) * (m + n)) & (np.minimum(m, n) * q >= np.maximum(m, n) * p) & (comp[a][:, None] != comp[b])
 
 
-def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) of linked sets of different components, i with left and j without it, as many as join them.
+def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int, q: int, once: bool = False) -> list[tuple[int, int]]:
+    """Pairs (i, j) of linked sets of different components, i with left and j without it, as many as join them. once: each set stands on both sides, so each pair is met twice, and looked at once.
 
     Sketches rule most pairs out; the others' whole sets are intersected, some at a time, as long as their components are apart.
     """
@@ -408,6 +442,8 @@ def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int
     size, label = np.array([len(x) for x in sets], np.int64), comp.copy()
     out = []
     for rows, columns, near in _close([sketch(x, sketch_bits(len(x), p, q)) for x in sets], size, comp, left, p, q):
+        if once:
+            near &= comp[rows][:, None] < comp[columns]
         for i, hopeful in zip(rows, near, strict=True):
             todo = columns[hopeful]
             while len(todo := todo[label[todo] != label[i]]):
@@ -423,54 +459,38 @@ def _spanning(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, p: int
     return out
 
 
-def _blocked(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(unit, i, j, node, comp, left): a unit's left nodes dealt to blocks i, against its right ones, dealt to blocks j; so many blocks as their sets and shingles ask for. left, right: (unit, node, comp, size)."""
-
-    def sizes(d: DataFrame, out: str) -> DataFrame:
-        return d.groupBy("unit").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") + BLOCK_SHINGLES // BLOCK) / BLOCK_SHINGLES * 2)).cast("long").alias(out))
-
-    many = sizes(left, "is").join(sizes(right, "js"), "unit")
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+def _blocked(d: DataFrame) -> DataFrame:
+    """(unit, i, j, node, comp, left): a unit's nodes dealt to blocks, as many as their sets and shingles ask for; each two blocks i <= j meet, i left. d: (unit, node, comp, size)."""
+    many = d.groupBy("unit").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.col("size") + BLOCK_SHINGLES // BLOCK) / BLOCK_SHINGLES * 2)).cast("long").alias("many"))
+    d = d.join(many, "unit").withColumn("own", F.pmod(F.xxhash64("node"), F.col("many")))
     columns = ["unit", "i", "j", "node", "comp", "left"]
-    a = left.join(many, "unit").withColumn("i", dealt("is")).withColumn("j", upto("js")).withColumn("left", F.lit(True))
-    b = right.join(many, "unit").withColumn("j", dealt("js")).withColumn("i", upto("is")).withColumn("left", F.lit(False))
+    a = d.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("many") - 1))).withColumn("left", F.lit(True))
+    b = d.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), "own"))).withColumn("left", F.lit(False))
     return a.select(*columns).unionByName(b.select(*columns))
 
 
 def _hopeful_many(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
-    """(node, unit) as _hopeful_few, for signatures of many nodes, by matrix products: nodes outside a signature's largest component, and components of others that neither size nor sketch rules out.
-
-    Of two nodes of different components one is outside the largest, so all pairs meet, and no more rows come out than such nodes have components around them.
-    """
+    """(a, b) as _hopeful_few, for signatures of many nodes, block by block: a pair of blocks passes on fewer edges than it has nodes."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        node, comp, out = rows["node"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), []
-        for a, b, near in _close(list(rows["sketch"]), rows["size"].to_numpy(np.int64), comp, rows["left"].to_numpy(bool), p, q):
-            i, j = np.nonzero(near)
-            out.append(np.unique(np.stack([node[a[i]], comp[b[j]]]), axis=1))
-        found = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=1)
-        return pd.DataFrame({"node": found[0], "unit": found[1]})
+        node, forest = rows["node"].to_numpy(np.int64), _Forest()
+        for a, b, near in _close(list(rows["sketch"]), rows["size"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64), rows["left"].to_numpy(bool), p, q):
+            _join_near(forest, node[a], node[b], near)
+        return forest.frame()
 
     d = at.join(info.select("node", "size"), "node").select(F.col("sig").alias("unit"), "node", "comp", "size")
-    most = d.groupBy("unit", "comp").agg(F.count("*").alias("n")).groupBy("unit").agg(F.max(F.struct("n", "comp"))["comp"].alias("most"))
-    outside = d.join(most, "unit").filter("comp <> most").drop("most")
-    return _blocked(outside, d).join(info, "node").groupBy("unit", "i", "j").applyInPandas(run, "node long, unit long").distinct()
-
-
-def _links_in_blocks(asked: DataFrame, label: DataFrame, info: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b): of each asked node and component (node, unit) the links that join them, if there are any; label: (node, comp). A pair of blocks of a component and of its asked nodes is one task, which holds no more."""
-    size = info.select("node", "size")
-    left = asked.join(label, "node").join(size, "node")
-    right = label.join(asked.select(F.col("unit").alias("comp")).distinct(), "comp", "left_semi").join(size, "node").withColumn("unit", F.col("comp"))
-    dealt = materialize(_blocked(left, right))
-    tasks = max(4 * asked.sparkSession.sparkContext.defaultParallelism, -(-dealt.count() // BLOCK))
+    return _blocked(d).join(info, "node").groupBy("unit", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def _links_in_blocks(cluster: DataFrame, label: DataFrame, info: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b): links that join the components of each cluster's nodes as all of its links do; cluster: (node, unit), label: (node, comp). A pair of a cluster's blocks is one task, which holds no more."""
+    dealt = materialize(_blocked(cluster.join(label, "node").join(info.select("node", "size"), "node")))
+    tasks = max(4 * cluster.sparkSession.sparkContext.defaultParallelism, -(-dealt.count() // BLOCK))
     d = sets.select("node", "found").join(_sent(dealt), "node")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        node = rows["node"].to_numpy()
-        left = rows["left"].to_numpy(bool)
-        found = _spanning([np.asarray(x, np.int64) for x in rows["found"]], rows["comp"].to_numpy(), left, p, q)
+        node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy(np.int64)
+        found = _spanning([np.asarray(x, np.int64) for x in rows["found"]], comp, rows["left"].to_numpy(bool), p, q, once=bool(rows["i"].iloc[0] == rows["j"].iloc[0]))
         return pd.DataFrame([(min(node[i], node[j]), max(node[i], node[j])) for i, j in found], columns=["a", "b"])
 
     by = ["unit", "i", "j"]  # a stated number of tasks: by bytes alone they would be put together to a few
@@ -554,12 +574,12 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
     few = rows.join(sizes.filter(F.col("m") <= FEW).select("sig"), "sig", "left_semi")
     many = materialize(rows.join(sizes.filter(F.col("m") > FEW).select("sig"), "sig", "left_semi"))
     end = lambda x: label.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
-    open_ = open_.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb")
-    open_ = open_.select(F.when(F.col("ca") > F.col("cb"), F.col("a")).otherwise(F.col("b")).alias("node"), F.least("ca", "cb").alias("unit"))
-    asked = materialize(_hopeful_few(few, info, p, q).unionByName(_hopeful_many(many, info, p, q)).unionByName(open_).distinct())
-    if asked.limit(1).count():
-        members_of = label.join(asked.select(F.col("unit").alias("comp")).distinct(), "comp", "left_semi").select("node")
-        more = materialize(_links_in_blocks(asked, label, info, wanted.of(asked.select("node").union(members_of).distinct()), p, q))
+    open_ = open_.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select("a", "b")
+    hopeful = materialize(_hopeful_few(few, info, p, q).unionByName(_hopeful_many(many, info, p, q)).unionByName(open_).distinct())
+    if hopeful.limit(1).count():
+        met = materialize(hopeful.select(F.col("a").alias("node")).union(hopeful.select("b")).distinct())
+        cluster = materialize(components(met, hopeful).withColumnRenamed("comp", "unit"))
+        more = materialize(_links_in_blocks(cluster, label, info, wanted.of(met), p, q))
         if more.limit(1).count():
             label = components(all_nodes, more if edges is None else edges.unionByName(more))
     label = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))

@@ -192,6 +192,37 @@ def test_near_groups_odd_rows(spark):
     assert near_dups.near_groups(frame(spark, [])).count() == 0
 
 
+def test_near_groups_in_blocks(spark, monkeypatch):
+    """Signatures of many nodes and clusters of several blocks lose no link, and a group of alike but unlinked texts passes on no pairs."""
+    monkeypatch.setattr(near_dups, "FEW", 5)
+    monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", 3000)
+    monkeypatch.setattr(near_dups, "ROUNDS", 1)
+    asked, links = [], near_dups._links_in_blocks
+    monkeypatch.setattr(near_dups, "_links_in_blocks", lambda cluster, *rest: (asked.append(cluster.count()), links(cluster, *rest))[1])
+    rng, rows, n = random.Random(5), [], 3
+    base = [f"w{i}" for i in range(200)]
+    for k in range(60):
+        w = list(base)
+        for _ in range(rng.choice([1, 4, 5])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    got = {r[0]: (r[1], r[2]) for r in near_dups.near_groups(frame(spark, rows), n, 9, 10).collect()}
+    assert got == near_by_hand(rows, n, 9, 10) and asked and asked[0] <= len(rows)
+
+
+def test_forest_joins_what_is_near():
+    rng = np.random.default_rng(4)
+    for share in (0.0, 0.02, 0.2, 1.0):
+        name, near = rng.permutation(80).astype(np.int64), rng.random((30, 50)) < share
+        forest, slow = near_dups._Forest(), list(range(80))
+        near_dups._join_near(forest, name[:30], name[30:], near)
+        for i, j in zip(*np.nonzero(near), strict=True):
+            a, b = slow[name[i]], slow[name[30 + j]]
+            slow = [a if x == b else x for x in slow]
+        assert all((forest.top(a) == forest.top(b)) == (slow[a] == slow[b]) for a in range(80) for b in range(80))
+        assert len(forest.edges) < 80
+
+
 @pytest.mark.parametrize("p, q", [(4, 5), (9, 10)])
 def test_spanning_links(p, q):
     """Links found in a block join the same components as all links do."""
@@ -214,7 +245,7 @@ def test_spanning_links(p, q):
     for left in (None, rng.random(n) > 0.5):
         if left is None:  # all against all
             left = np.ones(n, bool)
-            found = [(i, j - n) for i, j in near_dups._spanning(sets * 2, np.tile(np.arange(n), 2), np.arange(2 * n) < n, p, q)]
+            found = [(i, j - n) for i, j in near_dups._spanning(sets * 2, np.tile(np.arange(n), 2), np.arange(2 * n) < n, p, q, once=True)]
         else:
             found = near_dups._spanning(sets, np.arange(n), left, p, q)
         every = []
