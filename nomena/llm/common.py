@@ -9,8 +9,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 _OWN: dict[str, str] = {}
-_SCOPES: list[list[str]] = []
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("nomena_scopes", default=())  # each thread has its own
+_LEFT: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -51,36 +54,47 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """What materialize writes inside is deleted at the end, but for what it was told to keep: that belongs to the scope around, if there is one."""
-    _SCOPES.append([])
-    try:
-        yield _SCOPES[-1]
-    finally:
-        remove(spark, _SCOPES.pop())
+@atexit.register
+def _sweep() -> None:
+    """Tables that belong to no scope go with the program: results read them until then. The gateway to the JVM closes later than this runs."""
+    if _LEFT and SparkContext._jvm is not None:
+        conf = SparkContext._jvm.org.apache.hadoop.conf.Configuration()
+        for x in _LEFT:
+            at = SparkContext._jvm.org.apache.hadoop.fs.Path(x)
+            at.getFileSystem(conf).delete(at, True)
 
 
 @contextmanager
 def leaving(paths: list[str]) -> Iterator[None]:
     """What materialize writes inside is put on the list, for the caller to delete when it has read the result."""
-    _SCOPES.append(paths)
+    token = _SCOPES.set((*_SCOPES.get(), paths))
     try:
         yield
     finally:
-        _SCOPES.pop()
+        _SCOPES.reset(token)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What materialize writes inside is deleted at the end, but for what it was told to keep: that belongs to the scope around, if there is one."""
+    paths: list[str] = []
+    try:
+        with leaving(paths):
+            yield paths
+    finally:
+        remove(spark, paths)
 
 
 def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors, is never recomputed.
 
-    The shuffle files of the write go when it ends, the table with its scope; keep: it goes with the scope around this one.
+    The shuffle files of the write go when it ends, the table with its scope; keep: it goes with the scope around this one. Without a scope, it goes with the program.
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/nomena-{uuid.uuid4().hex}"
-    at = len(_SCOPES) - 1 - keep
-    if at >= 0:
-        _SCOPES[at].append(path)
+    scopes = _SCOPES.get()
+    at = len(scopes) - 1 - keep
+    (scopes[at] if at >= 0 else _LEFT).append(path)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -141,7 +155,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a batch of texts as 64-bit hashes, never 0, computed over the bytes at once; A-Z hash as a-z.
+    """The words of a batch of texts as 64-bit hashes, never 0, computed over the bytes at once; A-Z hash as a-z unless told otherwise.
 
     Of every byte's random number times a power of an odd base the running sums are taken; a word's polynomial is the difference of
     two of them, brought back by the power at its start. Two such polynomials and the length make a hash. In UTF-8 no byte of a longer
@@ -151,9 +165,9 @@ class Words:
     PIECE = 1 << 20
     BASES = (0xD1342543DE82EF95, 0x2545F4914F6CDD1D)
 
-    def __init__(self, texts: list[bytes | str | None], memo: dict | None = None):
+    def __init__(self, texts: list[bytes | str | None], memo: dict | None = None, lower: bool = True):
         """memo: a dictionary that holds the powers from one batch to the next."""
-        self.memo = {} if memo is None else memo
+        self.memo, self.lower = {} if memo is None else memo, lower
         raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"" for t in texts]
         self.data = b"\n".join(raw)
         lengths = np.array([len(t) for t in raw], np.int64)
@@ -170,12 +184,13 @@ class Words:
         self.codes = self._hashed(buf)
 
     def _powers(self, base: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        have = self.memo.get(base)
+        have = self.memo.get((base, self.lower))
         if have is None or len(have[1]) < n:
             grown = lambda b: np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, b, np.uint64)])
             numbers = np.random.default_rng(base).integers(0, 1 << 64, 256, np.uint64)
-            numbers[65:91] = numbers[97:123]
-            have = self.memo[base] = numbers, grown(pow(base, -1, 1 << 64)), grown(base)
+            if self.lower:
+                numbers[65:91] = numbers[97:123]
+            have = self.memo[base, self.lower] = numbers, grown(pow(base, -1, 1 << 64)), grown(base)
         return have
 
     def _hashed(self, buf: np.ndarray) -> np.ndarray:

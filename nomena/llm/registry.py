@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, line_dedup, mixing, near_dups, pu_quality, quality_rules, secret_scan, sharding
+from . import chat_format, collocations, decontaminate, hard_negatives, html_extract, line_dedup, mixing, near_dups, pu_quality, quality_rules, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -15,6 +15,16 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_quality_classifier": pu_quality.op9_quality_classifier,
     "op10_mix": mixing.op10_mix,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-ORACLE_SQL = {"op6_line_dedup": line_dedup.ORACLE_OP6, "op7_chat_format": chat_format.ORACLE_OP7, "op10_mix": mixing.ORACLE_OP10}
+ORACLE_SQL = {
+    "op6_line_dedup": line_dedup.ORACLE_OP6,
+    "op7_chat_format": chat_format.ORACLE_OP7,
+    "op10_mix": mixing.ORACLE_OP10,
+    "op11_substring_dedup": substring_dedup.ORACLE_OP11,
+    "op12_hard_negatives": hard_negatives.ORACLE_OP12,
+    "op13_collocations": collocations.ORACLE_OP13,
+}
