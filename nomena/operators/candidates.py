@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import years
+from . import grams
 from .ranking import keep_first, top_k
 
 
@@ -40,19 +41,11 @@ def by_family(keys: DataFrame, entities: DataFrame, most: int = 30) -> DataFrame
 
 
 def by_substring(surfaces: DataFrame, titles: DataFrame, most: int = 30) -> DataFrame:
-    """Titles that hold the surface, or lie in it with three characters or more; first `most` by title.
-
-    A contained text's first two characters stand somewhere in the other, so pairs meet on character pairs and no all-pairs
-    comparison is made. surfaces, titles: one column each.
-    """
-    s = surfaces.distinct().filter(F.length("surface") >= 2)
-    t = titles.distinct()
-    grams = lambda d, c: d.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))))
-    first = lambda d, c: d.withColumn("g", F.left(F.col(c), F.lit(2)))
-    inside = first(s, "surface").join(grams(t, "title"), "g").filter(F.col("title").contains(F.col("surface")))
-    around = first(t.filter(F.length("title") >= 3), "title").join(grams(s, "surface"), "g").filter(F.col("surface").contains(F.col("title")))
-    hit = inside.select("surface", "title").unionByName(around.select("surface", "title")).distinct()
-    return top_k(hit, ["surface"], ["title"], most)
+    """Titles that hold the surface, or lie in it with three characters or more; first `most` by title. surfaces, titles: one column each; a contained text is looked up by its rarest gram."""
+    s, t = surfaces.distinct().filter(F.length("surface") >= 2), titles.distinct()
+    inside = grams.contained(s.toDF("needle"), t.toDF("hay")).toDF("surface", "title")
+    around = grams.contained(t.filter(F.length("title") >= 3).toDF("needle"), s.toDF("hay")).toDF("title", "surface")
+    return top_k(inside.unionByName(around).distinct(), ["surface"], ["title"], most)
 
 
 def union_routes(*routes: DataFrame) -> DataFrame:

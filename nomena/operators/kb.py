@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, years
+from . import grams
 from .ranking import keep_first, top_k
+from .storage import written
 
 KEY = ["surface", "year"]
 PERIODS = "array<struct<name:string,reading:string,daime:string,start_year:int,end_year:int,name_type:string>>"
@@ -38,7 +40,10 @@ class KnowledgeBase:
 
     @classmethod
     def of(cls, entities: DataFrame, force_generic: bool = False) -> KnowledgeBase:
-        """Kind: dated (some entity has dated names), clusters (some has a cluster id), else plain. A base without dated names is generic; its commonest language, the first on ties, rules how names fold."""
+        """entities is written once, as are its key tables when they are first asked for: every route reads those, none normalises the base again.
+
+        Kind: dated (some entity has dated names), clusters (some has a cluster id), else plain. A base without dated names is generic; its commonest language, the first on ties, rules how names fold."""
+        entities = written(entities)
         has = entities.agg(F.coalesce(F.bool_or(F.size("periods") > 0), F.lit(False)), F.coalesce(F.bool_or(F.col("cluster_id").isNotNull()), F.lit(False))).first()
         lang = entities.groupBy(F.coalesce("language", F.lit("")).alias("l")).agg(F.count("*").alias("n"), F.min("pos").alias("p")).orderBy(F.desc("n"), "p").limit(1).collect()
         return cls(entities, force_generic or not has[0], lang[0]["l"] if lang else "", "dated" if has[0] else "clusters" if has[1] else "plain")
@@ -49,18 +54,21 @@ class KnowledgeBase:
     @cached_property
     def title_keys(self) -> DataFrame:
         """(key, entity_id, pos)"""
-        return self.entities.select(self.norm("title").alias("key"), "entity_id", "pos")
+        return written(self.entities.select(self.norm("title").alias("key"), "entity_id", "pos"))
 
     @cached_property
     def alias_keys(self) -> DataFrame:
-        """(key, entity_id, pos, place): dated names, then aliases; a name held twice comes twice."""
-        names = F.concat(F.transform(F.coalesce("periods", F.array().cast(PERIODS)), lambda p: p["name"]), F.coalesce("aliases", F.array().cast("array<string>")))
-        d = self.entities.select("entity_id", "pos", F.posexplode(names).alias("place", "name"))
-        return d.select(self.norm("name").alias("key"), "entity_id", "pos", "place").filter("key <> ''")
+        """(key, entity_id, pos, place, spans): dated names, then aliases; a name held twice comes twice. spans: the years in which the entity held a name of this key."""
+        held = F.coalesce("periods", F.array().cast(PERIODS))
+        names = F.concat(F.transform(held, lambda p: p["name"]), F.coalesce("aliases", F.array().cast("array<string>")))
+        d = self.entities.select("entity_id", "pos", held.alias("held"), F.posexplode(names).alias("place", "name"))
+        own = F.filter("held", lambda p: (text.normalize_name(p["name"]) == text.normalize_name("name")) & (F.coalesce(p["start_year"], F.lit(0)) != 0) & (F.coalesce(p["end_year"], F.lit(0)) != 0))
+        spans = F.transform(own, lambda p: F.struct(p["start_year"].alias("start_year"), p["end_year"].alias("end_year")))
+        return written(d.select(self.norm("name").alias("key"), "entity_id", "pos", "place", spans.alias("spans")).filter("key <> ''"))
 
     @cached_property
     def base_keys(self) -> DataFrame:
-        return self.entities.select(text.family_base("title").alias("base"), "entity_id", "pos")
+        return written(self.entities.select(text.family_base("title").alias("base"), "entity_id", "pos"))
 
 
 def _ranked(d: DataFrame, route: int, order: list, most: int | None) -> DataFrame:
@@ -70,20 +78,18 @@ def _ranked(d: DataFrame, route: int, order: list, most: int | None) -> DataFram
 
 def alias_at_year(kb: KnowledgeBase, keys: DataFrame, most: int | None = MOST) -> DataFrame:
     """Entities that held the surface as a name in the year: equal keys, then a period of that name which covers the year. Without a year, none."""
-    d = keys.filter("year IS NOT NULL").withColumn("key", text.normalize_name("surface"))
-    d = d.join(kb.alias_keys, "key").join(kb.entities.select("entity_id", "periods"), "entity_id")
-    held = F.exists("periods", lambda p: (text.normalize_name(p["name"]) == F.col("key")) & years.covers(p["start_year"], p["end_year"], F.col("year")))
+    d = keys.filter("year IS NOT NULL").withColumn("key", text.normalize_name("surface")).join(kb.alias_keys.filter(F.size("spans") > 0), "key")
+    held = F.exists("spans", lambda p: F.col("year").between(p["start_year"], p["end_year"]))
     return _ranked(d.filter(held), 0, ["pos", F.col("place")], most)
 
 
 def _within(surfaces: DataFrame, keys: DataFrame, either: bool) -> DataFrame:
-    """(n, key): distinct keys that hold the normal form n, and, for either, keys of three characters or more within it. Pairs meet on character pairs: a contained text's first two stand in the other."""
-    grams = lambda d, c: d.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))))
-    first = lambda d, c: d.withColumn("g", F.left(F.col(c), F.lit(2)))
-    out = first(surfaces, "n").join(grams(keys, "key"), "g").filter(F.col("key").contains(F.col("n")))
+    """(n, key): distinct keys that hold the normal form n, and, for either, keys of three characters or more within it; each contained text is looked up by its rarest gram."""
+    out = grams.contained(surfaces.withColumnRenamed("n", "needle"), keys.withColumnRenamed("key", "hay")).toDF("n", "key")
     if either:
-        out = out.unionByName(first(keys.filter(F.length("key") >= 3), "key").join(grams(surfaces, "n"), "g").filter(F.col("n").contains(F.col("key"))))
-    return out.filter("key <> n").select("n", "key").distinct()
+        around = grams.contained(keys.filter(F.length("key") >= 3).withColumnRenamed("key", "needle"), surfaces.withColumnRenamed("n", "hay"))
+        out = out.unionByName(around.toDF("key", "n"))
+    return out.filter("key <> n").distinct()
 
 
 def surface_search(kb: KnowledgeBase, keys: DataFrame, most: int = MOST) -> DataFrame:
@@ -93,7 +99,7 @@ def surface_search(kb: KnowledgeBase, keys: DataFrame, most: int = MOST) -> Data
     the place where their key first came up.
     """
     d = keys.withColumn("n", kb.norm("surface"))
-    titles, aliases = kb.title_keys.withColumn("place", F.lit(0)), kb.alias_keys
+    titles, aliases = kb.title_keys.withColumn("place", F.lit(0)), kb.alias_keys.drop("spans")
     exact = [d.join(x.withColumnRenamed("key", "n"), "n").select(*KEY, "entity_id", F.lit(i).alias("kind"), F.lit(0).cast("long").alias("first"), "pos", "place") for i, x in enumerate((titles, aliases))]
     asked = d.filter(F.length("n") >= 2)
     if not kb.generic:
@@ -136,11 +142,12 @@ def year_scored(kb: KnowledgeBase, pool: DataFrame) -> DataFrame:
 
 
 def gather(kb: KnowledgeBase, keys: DataFrame, most: int | None = None) -> DataFrame:
-    """Dated names, surface search and family in turn, re-ranked by year score with ties as they stand; a generic base has the surface search only."""
+    """Dated names, surface search and family in turn, re-ranked by year score with ties as they stand: (surface, year, entity_id, route, score, rank). A generic base has the surface search only, without scores."""
     if kb.generic:
-        return merged([surface_search(kb, keys)], most)
+        return merged([surface_search(kb, keys)], most).withColumn("score", F.lit(None).cast("int"))
+    keys = written(keys)
     pool = year_scored(kb, merged([alias_at_year(kb, keys), surface_search(kb, keys), family(kb, keys)]).withColumnRenamed("rank", "was"))
-    return top_k(pool, KEY, [F.desc("score"), "was"], most).select(*KEY, "entity_id", "route", "rank")
+    return top_k(pool, KEY, [F.desc("score"), "was"], most).select(*KEY, "entity_id", "route", "score", "rank")
 
 
 def same_base(kb: KnowledgeBase, keys: DataFrame, most: int | None, base=text.mention_base, route: int = 3) -> DataFrame:
@@ -181,7 +188,7 @@ def similar_keys(surfaces: DataFrame, keys: DataFrame, cutoff: float = FUZZY) ->
 def fuzzy(kb: KnowledgeBase, keys: DataFrame, most: int | None, cutoff: float = FUZZY) -> DataFrame:
     """Entities of the 2 * most nearest title and alias keys, ties by the larger key; of each key titles before aliases."""
     d = keys.withColumn("n", kb.norm("surface"))
-    every = kb.title_keys.select("key", "entity_id", "pos", F.lit(-1).alias("place")).unionByName(kb.alias_keys)
+    every = kb.title_keys.select("key", "entity_id", "pos", F.lit(-1).alias("place")).unionByName(kb.alias_keys.drop("spans"))
     near = similar_keys(d.select("n").distinct(), every.select("key").distinct(), cutoff)
     near = top_k(near, ["n"], [F.desc("ratio"), F.desc("key")], 2 * most if most else None, "turn")
     hit = d.join(near, "n").join(every, "key")
@@ -225,7 +232,7 @@ def _one(kb: KnowledgeBase, keys: DataFrame, method: str, most: int | None, give
     if method == "surface":
         return surface_search(kb, keys, MOST)
     d = ROUTES[method](kb, keys, most or None)
-    return d.withColumnRenamed("rank", "place") if method == "gather" else d
+    return d.drop("score").withColumnRenamed("rank", "place") if method == "gather" else d
 
 
 def dense_after_surface(kb: KnowledgeBase, keys: DataFrame, dense: DataFrame, most: int = MOST) -> DataFrame:

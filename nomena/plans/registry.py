@@ -34,21 +34,6 @@ def _all(spark, sf):
     return fx.mentions(spark, sf), fx.entities(spark, sf), fx.periods(spark, sf)
 
 
-_SCORED = """WITH keys AS (SELECT DISTINCT surface, year FROM mentions),
-alias AS (SELECT surface, year, entity_id, 0 AS route FROM keys JOIN periods ON name = surface AND year BETWEEN start_year AND end_year GROUP BY 1, 2, 3),
-pool AS (SELECT * FROM alias UNION ALL SELECT surface, year, e.entity_id, 1 FROM keys JOIN entities e ON title = surface WHERE NOT EXISTS (SELECT 1 FROM alias a WHERE a.surface = keys.surface AND a.year = keys.year AND a.entity_id = e.entity_id)),
-scored AS (SELECT p.*, CAST(CASE WHEN EXISTS (SELECT 1 FROM periods q WHERE q.entity_id = p.entity_id AND p.year BETWEEN q.start_year AND q.end_year) THEN 3
-  WHEN p.year BETWEEN birth_year AND death_year THEN 2 WHEN p.year < birth_year - 5 OR p.year > death_year + 5 THEN -1
-  WHEN birth_year IS NOT NULL THEN 1 ELSE 0 END AS INT) AS score FROM pool p JOIN entities e ON e.entity_id = p.entity_id),
-ranked AS (SELECT surface, year, entity_id, route, score, CAST(row_number() OVER (PARTITION BY surface, year ORDER BY score DESC, route, entity_id) AS INT) AS rank FROM scored)"""
-
-
-@query(_SCORED + " SELECT surface, year, entity_id, CAST(route AS INT) AS route, score, rank FROM ranked")
-def gather_ranked(spark, sf):
-    m, e, p = _all(spark, sf)
-    return candidates.gather(candidates.mention_keys(m), e, p).select("surface", "year", "entity_id", "route", "score", "rank")
-
-
 @query("SELECT DISTINCT surface, year, entity_id FROM mentions JOIN entities ON title = surface")
 def surface_exact(spark, sf):
     m, e, _ = _all(spark, sf)
@@ -86,47 +71,6 @@ def dense_topk(spark, sf):
     return candidates.dense_top_k(v.filter("vec_id % 50 = 0"), v, 10)
 
 
-@query(_SCORED + " SELECT score, count(*) AS n FROM ranked GROUP BY score")
-def year_score(spark, sf):
-    return gather_ranked(spark, sf).groupBy("score").agg(F.count("*").alias("n"))
-
-
-@query(_SCORED + ", f AS (SELECT *, max(entity_id) OVER (PARTITION BY surface, year) AS lead FROM ranked) SELECT surface, year, entity_id, place FROM (SELECT surface, year, entity_id, CAST(row_number() OVER (PARTITION BY surface, year ORDER BY CASE WHEN entity_id = lead THEN 0 ELSE 1 END, rank) AS INT) AS place FROM f) WHERE place <= 5")
-def finalists_k(spark, sf):
-    d = gather_ranked(spark, sf).withColumn("lead", F.max("entity_id").over(Window.partitionBy("surface", "year")))
-    return ranking.finalists(d.withColumnRenamed("rank", "r"), ["surface", "year"], F.col("entity_id") == F.col("lead"), [F.col("r")], 5).select("surface", "year", "entity_id", F.col("rank").alias("place"))
-
-
-@query(_SCORED + " SELECT count(*) AS n, count(r.entity_id) AS found FROM mentions m LEFT JOIN ranked r ON r.surface = m.surface AND r.year = m.year AND r.entity_id = m.gold_id AND rank <= 20")
-def pool_recall(spark, sf):
-    m = fx.mentions(spark, sf)
-    pool = gather_ranked(spark, sf).filter("rank <= 20").select("surface", "year", F.col("entity_id").alias("gold_id"), F.lit(1).cast("long").alias("hit"))
-    return m.join(pool, ["surface", "year", "gold_id"], "left").agg(F.count("*").alias("n"), F.sum(F.coalesce("hit", F.lit(0).cast("long"))).alias("found"))
-
-
-_PREDS = _SCORED + ", preds AS (SELECT m.sample_key, m.type, m.gold_id, r.entity_id AS pred_id FROM mentions m LEFT JOIN ranked r ON r.surface = m.surface AND r.year = m.year AND rank = 1 AND substr(md5(m.sample_key), 1, 1) <> '0')"
-
-
-def _preds(spark, sf):
-    m = fx.mentions(spark, sf)
-    first = gather_ranked(spark, sf).filter("rank = 1").select("surface", "year", F.col("entity_id").alias("p"))
-    lost = F.substring(F.md5(F.col("sample_key").cast("binary")), 1, 1) == "0"
-    return m.join(first, ["surface", "year"], "left").withColumn("pred_id", F.when(~lost, F.col("p"))).drop("p")
-
-
-@query(_PREDS + " SELECT count(*) AS n, count(*) FILTER (pred_id IS NULL) AS missing, count(*) FILTER (pred_id = gold_id) AS correct, round(avg(CASE WHEN pred_id = gold_id THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM preds")
-def eval_overall(spark, sf):
-    """Missing predictions count as wrong."""
-    right = F.coalesce(F.col("pred_id") == F.col("gold_id"), F.lit(False))
-    return _preds(spark, sf).agg(F.count("*").alias("n"), F.sum(F.col("pred_id").isNull().cast("long")).alias("missing"), F.sum(right.cast("long")).alias("correct"), F.round(F.avg(right.cast("double")), 9).alias("accuracy"))
-
-
-@query(_PREDS + " SELECT type, count(*) AS n, count(*) FILTER (pred_id = gold_id) AS correct FROM preds WHERE pred_id IS NOT NULL GROUP BY type")
-def eval_by_type(spark, sf):
-    """Missing predictions don't count here."""
-    return _preds(spark, sf).filter("pred_id IS NOT NULL").groupBy("type").agg(F.count("*").alias("n"), F.sum((F.col("pred_id") == F.col("gold_id")).cast("long")).alias("correct"))
-
-
 _TITLE = "SELECT sample_key, CASE WHEN min(CASE WHEN entity_id = gold_id THEN 0 ELSE 1 END) = 0 THEN any_value(gold_id) ELSE min(entity_id) END AS id FROM mentions JOIN entities ON title = surface GROUP BY sample_key"
 
 

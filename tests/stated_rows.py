@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import answers, text, years
-from ..operators import evaluation, evidence, kb, passes, tokens
-from ..sources import datasets
-from .registry import query
+from nomena.functions import answers, text, years
+from nomena.operators import evaluation, evidence, kb, passes, tokens
+from nomena.plans.dated import BASE, CUT, FBASE, MBASE, NORM, SP, STRIP  # noqa: F401
+from nomena.sources import datasets
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql=None, linked=False):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql.strip()
+        return f
+
+    return add
 
 
 def _literal(x: object) -> str:
@@ -37,14 +49,6 @@ class Rows:
         return spark.createDataFrame(self.rows, self.schema)
 
 
-SP = "[\\s　]"
-CUT = lambda x, *ps: (CUT(f"regexp_replace({x}, '{ps[0]}', '', 'g')", *ps[1:]) if ps else x)
-STRIP = lambda x: CUT(x, f"^{SP}+|{SP}+$")
-NORM = lambda x: CUT(f"translate({CUT(f'coalesce({x}, {chr(39)*2})', f'{SP}+')}, '{text.MARKS}', '')", "\\([^)]*\\)", "（[^）]*）", "〈[^〉]*〉")
-BASE = lambda x: CUT(f"coalesce({x}, '')", "〈[^〉]*〉|\\([^)]*\\)|（[^）]*）", f"{SP}+")
-MBASE = lambda x: STRIP(CUT(f"coalesce({x}, '')", "〈\\d+〉", "\\([^)]*\\)$", "（[^）]*）$"))
-FBASE = lambda x: STRIP(CUT(f"coalesce({x}, '')", "〈\\d+〉", "\\([^)]*\\)$"))
-
 NAMES = Rows(
     "names",
     "id int, s string",

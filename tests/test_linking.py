@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nomena.functions import answers, years
 from nomena.operators import candidates, evaluation, kb, passes, tokens
-from nomena.plans import rows
+import stated_rows as rows
 from nomena.reasoners import client, driver, protocols
 from nomena.sources import datasets
 

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from nomena.plans import registry, rows as stated  # noqa: F401  # adds its queries
+import stated_rows
+from nomena.plans import dated, registry  # noqa: F401  # dated adds its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -19,7 +20,16 @@ def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = registry.QUERIES[name](spark, SF)
+    same(con, registry.QUERIES[name](spark, SF), registry.ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name", list(stated_rows.ORACLE_SQL))
+def test_stated_rows(spark, name):
+    """Small rows that reach every branch."""
+    same(duckdb.connect(), stated_rows.QUERIES[name](spark, SF), stated_rows.ORACLE_SQL[name])
+
+
+def same(con, df, sql):
     columns = sorted(df.columns)
-    want = con.sql("select " + ", ".join(f'"{c}"' for c in columns) + f" from ({registry.ORACLE_SQL[name]})").fetchall()
+    want = con.sql("select " + ", ".join(f'"{c}"' for c in columns) + f" from ({sql})").fetchall()
     assert rows(df.select(columns).collect()) == rows(want)
