@@ -242,7 +242,7 @@ MARKED = Rows("marked", "id int, fine string, coarse string, year int, dataset s
 @query(
     f"WITH {MARKED.sql}, w AS (SELECT *, trim(coalesce(fine, '')) AS f, lower(coalesce(coarse, '')) AS c, coalesce(year, CASE WHEN dataset IN ('hipe2020', 'newseye', 'sonar', 'topres19th') THEN TRY_CAST(regexp_extract(coalesce(date, ''), '\\b(1[0-9]{{3}}|20[0-2][0-9])\\b', 1) AS INT) END) AS y FROM marked), "
     "p AS (SELECT *, CASE WHEN f = 'loc.adm.town' THEN 'a TOWN or CITY' WHEN f <> '' THEN f WHEN c = 'pers' THEN 'a PERSON' WHEN c = 'org' THEN 'an ORGANISATION' ELSE c END AS t FROM w) "
-    "SELECT id, concat_ws(chr(10), CASE WHEN t <> '' THEN 'The mention is annotated as ' || t || '. Prefer a candidate whose type matches.' END, CASE WHEN dataset IN ('hipe2020', 'newseye', 'sonar', 'topres19th') AND y <> 0 THEN 'It appears in a document published in ' || y || '. Prefer a candidate whose `dates` are consistent with being referred to then.' END) AS lines FROM p",
+    "SELECT id, concat_ws(chr(10), CASE WHEN t <> '' THEN 'Annotators marked the mention as ' || t || '; a record of that kind fits better.' END, CASE WHEN dataset IN ('hipe2020', 'newseye', 'sonar', 'topres19th') AND y <> 0 THEN 'Its document came out in ' || y || '; the `dates` of the right record allow that.' END) AS lines FROM p",
     linked=False,
 )
 def evidence_query_lines(spark, sf):

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import stated_rows
-from nomena.plans import dated, registry  # noqa: F401  # dated adds its queries
+from nomena.plans import dated, forms, registry, retrieval  # noqa: F401  # the others add theirs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
