@@ -5,7 +5,8 @@ sequence of numbers of (k-1)-grams becomes one of k-grams by naming neighbours,
 on the way down the first parents (first words) and the last parents (last words), and the longer phrases that hold a phrase are reached through its children.
 
 Texts are packed into blocks of about BLOCK bytes with a dictionary each; what is shuffled is a row for each different word or pair of a block with its count, so frequent words are added up before they travel
-and no key has more rows than there are blocks. From the second level on only pairs of frequent parents are left.
+and no key has more rows than there are blocks. From the second level on only pairs of frequent parents are left. Numbers come back to the blocks by a join; while a level has no more than SENT of them, they are
+sent to the tasks instead, which comes to the same.
 
 Cases: a null or empty text has no words; a null lang is `und`. Repeated rows are texts like any others. Columns other than lang and text are ignored. A text of any length is cut into blocks between its
 pieces. Counts are exact at any size; the score is whole-number arithmetic of 38 digits, enough while 1000 * a * n is below 10^38. An empty table gives an empty result.
@@ -18,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Batches, materialize, scratch, table
+from .common import discard, few_rows, materialize, scratch, table
 
 LONGEST = 5
 LEAST = 100
@@ -32,6 +33,8 @@ MOST = 2000
 SUBSUMED = 100
 #: Bytes of text in a block, about.
 BLOCK = 4 << 20
+#: Most frequent phrases of one length whose numbers are sent to all tasks (some 50 MB); beyond, blocks and numbers are joined.
+SENT = 2_000_000
 #: Slices of a language from which the best phrases are taken first.
 SLICES = 64
 
@@ -121,19 +124,56 @@ def _blocks(docs: DataFrame, block: int) -> DataFrame:
     return d.mapInArrow(run, "block long, seq binary, langs array<string>, words array<string>, counts array<long>")
 
 
-def _pairs(blocks: DataFrame) -> DataFrame:
-    """blocks: (block, seq, known: array<struct<place, id>>)"""
+class _Numbers:
+    """The numbers of frequent words or pairs, to be looked up by a block."""
+
+    def __init__(self, level: pa.Table):
+        ids = level.column("id").to_numpy()
+        if "word" in level.column_names:
+            self.words = dict(zip(zip(level.column("lang").to_pylist(), level.column("word").to_pylist(), strict=True), ids.tolist(), strict=True))
+            return
+        self.words = None
+        left, right = level.column("left").to_numpy(), level.column("right").to_numpy()
+        self.lefts, self.rights = np.unique(left), np.unique(right)
+        keys = self._keys(left, right)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], ids[order]
+
+    def _keys(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """One number for each pair of known parts, -1 for others."""
+        a, b = np.searchsorted(self.lefts, left), np.searchsorted(self.rights, right)
+        a[a == len(self.lefts)] = b[b == len(self.rights)] = 0
+        return np.where((self.lefts[a] == left) & (self.rights[b] == right), a * len(self.rights) + b, -1)
+
+    def known(self, first: pa.Array, second: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(places from 1, numbers) of a dictionary's known entries."""
+        if self.words is not None:
+            found = [(i, self.words[x]) for i, x in enumerate(zip(first.to_pylist(), second.to_pylist(), strict=True), 1) if x in self.words]
+            places, ids = zip(*found, strict=True) if found else ((), ())
+            return np.array(places, np.int64), np.array(ids, np.int64)
+        keys = self._keys(first.to_numpy(), second.to_numpy())
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        hit = np.flatnonzero(self.keys[at] == keys)
+        return hit + 1, self.ids[at[hit]]
+
+
+def _pairs(blocks: DataFrame, numbers: Broadcast | None = None) -> DataFrame:
+    """The blocks of the next level. blocks: (block, seq, known: array<struct<place, id>>), or, where numbers are sent, (block, seq, the two columns of the dictionary's key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                known = b.column(2)[i].values
-                places, ids = known.field("place").to_numpy(), known.field("id").to_numpy()
+                if numbers is None:
+                    known = b.column(2)[i].values
+                    places, ids = known.field("place").to_numpy(), known.field("id").to_numpy()
+                else:
+                    places, ids = numbers.value.known(b.column(2)[i].values, b.column(3)[i].values)
                 seq, left, right, counts = paired(np.frombuffer(b.column(1)[i].as_py(), np.int32), places, ids)
                 if len(left):
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), _stored(seq), _lists(left, pa.int64()), _lists(right, pa.int64()), _lists(counts, pa.int64())], ["block", "seq", "lefts", "rights", "counts"])
 
-    return blocks.select("block", "seq", "known").mapInArrow(run, "block long, seq binary, lefts array<long>, rights array<long>, counts array<long>")
+    return blocks.mapInArrow(run, "block long, seq binary, lefts array<long>, rights array<long>, counts array<long>")
 
 
 def _entries(blocks: DataFrame, key: dict[str, str]) -> DataFrame:
@@ -142,11 +182,10 @@ def _entries(blocks: DataFrame, key: dict[str, str]) -> DataFrame:
     return d.select("block", (F.col("place") + 1).alias("place"), *[F.col(f"x.{v}").alias(k) for k, v in key.items()], F.col("x.counts").alias("c"))
 
 
-def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK) -> tuple[list[DataFrame], DataFrame]:
+def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK, sent: int = SENT) -> tuple[list[DataFrame], DataFrame]:
     """One table for each length, (id, lang, word, f) and then (id, left, right, f), as far as phrases are frequent; and (lang, n). Written to the shared folder; they belong to the scope around."""
     spark, levels = docs.sparkSession, []
-    Batches.small(spark)
-    with scratch(spark):
+    with scratch(spark), few_rows(spark, 512):
         blocks = materialize(_blocks(docs, block))
         key = {"lang": "langs", "word": "words"}
         n = materialize(_entries(blocks, key).groupBy("lang").agg(F.sum("c").alias("n")), keep=True)
@@ -154,22 +193,30 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block:
             counts = _entries(blocks, key).groupBy(*key).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
             level = materialize(counts.withColumn("id", F.monotonically_increasing_id()), keep=True)
             levels.append(level)
-            if k == longest or level.isEmpty():
+            size = level.count()
+            if k == longest or not size:
                 break
-            known = _entries(blocks, key).join(level.drop("f"), list(key)).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))  # at most the block's dictionary
-            blocks = materialize(_pairs(blocks.select("block", "seq").join(known, "block")))
-            key = {"left": "lefts", "right": "rights"}
+            if size <= sent:
+                numbers = spark.sparkContext.broadcast(_Numbers(level.toArrow()))
+                found = _pairs(blocks.select("block", "seq", *key.values()), numbers)
+            else:
+                known = _entries(blocks, key).join(level.drop("f"), list(key)).groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))  # at most the block's dictionary
+                found = _pairs(blocks.select("block", "seq").join(known, "block").select("block", "seq", "known"))
+            with few_rows(spark, 8):  # a row is a block
+                after = materialize(found)
+            discard(blocks)
+            blocks, key = after, {"left": "lefts", "right": "rights"}
     return levels, n
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, subsumed: int = SUBSUMED, block: int = BLOCK) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, subsumed: int = SUBSUMED, block: int = BLOCK, sent: int = SENT) -> DataFrame:
     """(lang, phrase, a, l, r, n, score, part): all candidates; part: whether a longer phrase takes it in. docs: (lang, text)
 
     The score is that of the worst cut, floor(1000 * a * n / (l * r)); of equal ones the cut after the fewest words is given. As a phrase occurs at least as often as a longer one around it, looking at its children,
     the phrases of one word more, is enough to find whether any longer one takes it in.
     """
     with scratch(docs.sparkSession):
-        levels, n = frequent(docs, longest, least, block)
+        levels, n = frequent(docs, longest, least, block, sent)
         one = F.array("f")
         named = levels[0].select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", one.alias("firsts"), one.alias("lasts"))
         found = None

@@ -101,7 +101,14 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a materialized table before its scope ends."""
+    remove(df.sparkSession, [df._at])
 
 
 def word_count(text: Column) -> Column:
@@ -147,6 +154,17 @@ class Batches:
             spark.conf.set(cls.KEY, str(rows))
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, what is written hands Python batches of at most so many rows, each of which holds much."""
+    before = spark.conf.get(Batches.KEY)
+    spark.conf.set(Batches.KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(Batches.KEY, before)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Well-mixed 64 bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, scratch, table
+from .common import few_rows, materialize, scratch, table
 
 PIVOTS, RINGS = 32, 8
 SAMPLE = 512
@@ -123,7 +123,8 @@ class Index:
                 hits = self._hits(packs, k, same)
                 hits = hits if found is None else hits.unionByName(found.drop("rank"))
                 order = Window.partitionBy("qid", "band").orderBy(F.desc("score"), "vec_id")
-                found = materialize(hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+                with few_rows(queries.sparkSession, 16):  # a row is a pack of queries and a block
+                    found = materialize(hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
             return materialize(found, keep=True)
 
     def _asked(self, queries: DataFrame, turn: int, k: int) -> DataFrame:

@@ -121,6 +121,8 @@ def test_collocations(spark):
     for longest, least, subsumed, block in ((5, 20, 100, 1 << 20), (4, 5, 60, 300), (2, 9, 100, 50)):
         got = collocations.collocations(d, longest, least, subsumed, block).collect()
         assert sorted(tuple(r) for r in got) == phrases_by_hand(rows, longest, least, subsumed)
+        got = collocations.collocations(d, longest, least, subsumed, block, sent=0).collect()  # numbers by a join
+        assert sorted(tuple(r) for r in got) == phrases_by_hand(rows, longest, least, subsumed)
     assert collocations.collocations(d.limit(0)).collect() == []
     assert collocations.collocations(d, least=10**6).collect() == []
 
