@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import lexical, ranking, trie
+from ..operators import lexical, ranking, trie, vectors
 from . import dated
 from .dated import NORM
 from .fixtures import table
@@ -68,3 +68,17 @@ def trie_beams(spark, sf):
     names = e.select(text.normalize_name("title").alias("x")).union(e.select(F.explode("periods.name")).select(text.normalize_name("col")))
     tree = trie.children(names.select(F.regexp_extract_all("x", F.lit("(.{1,3})"), F.lit(1)).alias("tokens")))
     return trie.beam_search(dated._asked(spark, sf).select(F.col("surface").alias("query")).distinct(), tree, _scored)
+
+
+@query(linked=False)
+def vector_topk(spark, sf):
+    """The ten nearest others of every embedding, by the index; tests and the README have its recall against all pairs."""
+    return vectors.nearest_neighbours(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@query("SELECT query_id, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * v.embedding[i])), 5) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id)) WHERE rank <= 10", linked=False)
+def vector_topk_exact(spark, sf):
+    """The same by the exact way: all lists probed, and twice as many kept for exact scores as the codes' error asks for."""
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    index = vectors.VectorIndex.of(v, 10)
+    return index.expanded(index.neighbours(10, vectors.LISTS, 64), v, 10)
