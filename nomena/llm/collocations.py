@@ -32,7 +32,7 @@ MOST = 2000
 #: Of 100 occurrences of a phrase, how many inside one longer phrase make it a part of that.
 SUBSUMED = 100
 #: Bytes of text in a block, about.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Most frequent phrases of one length whose numbers are sent to all tasks (some 50 MB); beyond, blocks and numbers are joined.
 SENT = 2_000_000
 #: Slices of a language from which the best phrases are taken first.
@@ -57,7 +57,7 @@ def packed(texts: list[bytes], langs: list[str]) -> tuple[np.ndarray, list[str],
     size = np.array([len(t) for t in texts], np.int64)
     names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
     lang = np.array([names[x] for x in langs], np.int64)[np.searchsorted(np.cumsum(size + 1), starts, side="right")]
-    piece = np.cumsum(_IS_BREAK[buf])[starts]
+    piece = np.searchsorted(np.flatnonzero(_IS_BREAK[buf]), starts)
     letters = buf[inside[1:-1].astype(bool)]
     every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.r_[0, np.cumsum(ends - starts)].astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
     words = every.dictionary.to_pylist()
