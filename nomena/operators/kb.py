@@ -66,6 +66,14 @@ class KnowledgeBase:
         spans = F.transform(own, lambda p: F.struct(p["start_year"].alias("start_year"), p["end_year"].alias("end_year")))
         return written(d.select(self.norm("name").alias("key"), "entity_id", "pos", "place", spans.alias("spans")).filter("key <> ''"))
 
+    @cached_property
+    def lives(self) -> DataFrame:
+        """(entity_id, birth_year, death_year, spans, dated): years of whole dated names, and whether any dated name has a known bound."""
+        held = F.coalesce("periods", F.array().cast(PERIODS))
+        known = lambda p, f: F.coalesce(p[f], F.lit(0)) != 0
+        spans = F.transform(F.filter(held, lambda p: known(p, "start_year") & known(p, "end_year")), lambda p: F.struct(p["start_year"].alias("start_year"), p["end_year"].alias("end_year")))
+        return written(self.entities.select("entity_id", "birth_year", "death_year", spans.alias("spans"), F.exists(held, lambda p: known(p, "start_year") | known(p, "end_year")).alias("dated")))
+
     @cached_property
     def base_keys(self) -> DataFrame:
         return written(self.entities.select(text.family_base("title").alias("base"), "entity_id", "pos"))
@@ -92,53 +100,64 @@ def _within(surfaces: DataFrame, keys: DataFrame, either: bool) -> DataFrame:
     return out.filter("key <> n").distinct()
 
 
+def _firsts(keys: DataFrame, most: int) -> DataFrame:
+    """(key, entity_id, pos, place): of each key its first `most` entities, each where it comes first. No key needs more than a route's cap of them, whatever the number of entities that bear the name."""
+    d = keys.groupBy("key", "entity_id").agg(F.min(F.struct("pos", "place")).alias("x"))
+    return top_k(d, ["key"], ["x", "entity_id"], most).select("key", "entity_id", "x.pos", "x.place")
+
+
 def surface_search(kb: KnowledgeBase, keys: DataFrame, most: int = MOST) -> DataFrame:
     """Equal titles, then equal dated names and aliases, then keys that hold the surface.
 
     Generic bases look for the surface in titles and aliases alike, and for long enough keys in it; others only in titles and only if nothing is equal. The first raw hits count, by
-    the place where their key first came up.
+    the place where their key first came up. The year plays no part: each surface is looked up once.
     """
-    d = keys.withColumn("n", kb.norm("surface"))
+    d = keys.select("surface").distinct().withColumn("n", kb.norm("surface"))
     titles, aliases = kb.title_keys.withColumn("place", F.lit(0)), kb.alias_keys.drop("spans")
-    exact = [d.join(x.withColumnRenamed("key", "n"), "n").select(*KEY, "entity_id", F.lit(i).alias("kind"), F.lit(0).cast("long").alias("first"), "pos", "place") for i, x in enumerate((titles, aliases))]
+    own = ["surface", "entity_id"]
+    exact = [d.join(_firsts(x, (i + 1) * most).withColumnRenamed("key", "n"), "n").select(*own, F.lit(i).alias("kind"), F.lit(0).cast("long").alias("first"), "pos", "place") for i, x in enumerate((titles, aliases))]
     asked = d.filter(F.length("n") >= 2)
     if not kb.generic:
-        asked = asked.join(exact[0].unionByName(exact[1]).select("surface").distinct(), "surface", "left_anti")
-    forms = asked.select("n").distinct()
+        asked = asked.join(titles.select(F.col("key").alias("n")).union(aliases.select("key")).distinct(), "n", "left_anti")
+    forms = written(asked.select("n").distinct())
     raw = []
     for i, x in enumerate((titles, aliases) if kb.generic else (titles,)):
         where = x.withColumn("at", F.struct("pos", "place")).groupBy("key").agg(F.min("at").alias("at"))
         hit = _within(forms, where.select("key"), kb.generic).join(where, "key")
-        hit = asked.join(hit, "n").join(x, "key").select(*KEY, "entity_id", F.lit(2 + i).alias("kind"), "at", "pos", "place")
-        raw.append(hit)
-    more = top_k(reduce(DataFrame.unionByName, raw), KEY, ["kind", "at", "pos", "place"], MOST_RAW[kb.generic], "raw").select(*KEY, "entity_id", F.lit(2).alias("kind"), F.col("raw").cast("long").alias("first"), "pos", "place")
-    every = keep_first(exact[0].unionByName(exact[1]).unionByName(more), [*KEY, "entity_id"], ["kind", "first", "pos", "place"])
-    return _ranked(every, 1, ["kind", "first", "pos", F.col("place").cast("int")], most)
+        hit = top_k(hit, ["n"], ["at"], MOST_RAW[kb.generic])  # every key has one entity at least
+        raw.append(hit.join(top_k(x, ["key"], ["pos", "place"], MOST_RAW[kb.generic]), "key").select("n", "entity_id", F.lit(2 + i).alias("kind"), "at", "pos", "place"))
+    more = top_k(reduce(DataFrame.unionByName, raw), ["n"], ["kind", "at", "pos", "place"], MOST_RAW[kb.generic], "raw")
+    more = asked.join(more, "n").select(*own, F.lit(2).alias("kind"), F.col("raw").cast("long").alias("first"), "pos", "place")
+    every = keep_first(exact[0].unionByName(exact[1]).unionByName(more), own, ["kind", "first", "pos", "place"])
+    every = top_k(every, ["surface"], ["kind", "first", "pos", F.col("place").cast("int")], most, "place").select(*own, F.lit(1).alias("route"), "place")
+    return keys.join(every, "surface").select(*KEY, "entity_id", "route", "place")
 
 
 def family(kb: KnowledgeBase, keys: DataFrame, most: int = MOST) -> DataFrame:
-    """Entities whose titles have the surface's base name; if none has, those of the first base with the same normal form."""
-    d = keys.withColumn("base", text.mention_base("surface"))
-    hit = d.join(kb.base_keys, "base").select(*KEY, "entity_id", "pos")
-    rest = d.join(hit.select("surface").distinct(), "surface", "left_anti")  # the year plays no part
+    """Entities whose titles have the surface's base name; if none has, those of the first base with the same normal form. The year plays no part."""
+    d = keys.select("surface").distinct().withColumn("base", text.mention_base("surface"))
+    members = top_k(kb.base_keys, ["base"], ["pos"], most, "place")
+    hit = d.join(members, "base").select("surface", "entity_id", "place")
+    rest = d.join(members.select("base").distinct(), "base", "left_anti")
     bases = keep_first(kb.base_keys.select("base", "pos", text.normalize_name("base").alias("n")), ["n"], ["pos"]).select("n", "base")
-    again = rest.drop("base").withColumn("n", text.normalize_name(text.strip("surface"))).join(bases, "n").join(kb.base_keys, "base").select(*KEY, "entity_id", "pos")
-    return _ranked(hit.unionByName(again), 2, ["pos"], most)
+    again = rest.drop("base").withColumn("n", text.normalize_name(text.strip("surface"))).join(bases, "n").join(members, "base").select("surface", "entity_id", "place")
+    return keys.join(hit.unionByName(again), "surface").select(*KEY, "entity_id", F.lit(2).alias("route"), "place")
 
 
 def merged(routes: list[DataFrame], most: int | None = None) -> DataFrame:
     """Routes one after another, each entity where it comes first: (surface, year, entity_id, route, rank)."""
-    d = reduce(DataFrame.unionByName, [r.withColumn("turn", F.lit(i)) for i, r in enumerate(routes)])
-    d = keep_first(d, [*KEY, "entity_id"], ["turn", "place"])
-    return top_k(d, KEY, ["turn", "place"], most).select(*KEY, "entity_id", "route", "rank")
+    far = 1 << 32
+    d = reduce(DataFrame.unionByName, [r.select(*KEY, "entity_id", "route", (F.col("place") + i * far).alias("o")) for i, r in enumerate(routes)])
+    told = d.groupBy(*KEY, "entity_id").agg(F.min(F.col("o") * 16 + F.col("route")).alias("o"))  # a route is a number below 16
+    d = told.select(*KEY, "entity_id", F.pmod("o", F.lit(16)).cast("int").alias("route"), F.floor(F.col("o") / 16).alias("o"))
+    return top_k(d, KEY, ["o"], most).select(*KEY, "entity_id", "route", "rank")
 
 
 def year_scored(kb: KnowledgeBase, pool: DataFrame) -> DataFrame:
     """The pool with `score`, the plausibility of each candidate in the year."""
-    d = pool.join(kb.entities.select("entity_id", "birth_year", "death_year", "periods"), "entity_id")
-    dated = F.filter("periods", lambda p: years.known(p["start_year"]).isNotNull() | years.known(p["end_year"]).isNotNull())
-    inside = F.coalesce(F.exists("periods", lambda p: years.covers(p["start_year"], p["end_year"], F.col("year"))), F.lit(False))
-    return d.withColumn("score", years.year_score(F.col("year"), inside, F.col("birth_year"), F.col("death_year"), F.coalesce(F.size(dated) > 0, F.lit(False)))).drop("birth_year", "death_year", "periods")
+    d = pool.join(kb.lives, "entity_id")
+    inside = F.coalesce(F.exists("spans", lambda p: F.col("year").between(p["start_year"], p["end_year"])), F.lit(False))
+    return d.withColumn("score", years.year_score(F.col("year"), inside, F.col("birth_year"), F.col("death_year"), F.col("dated"))).drop(*[c for c in kb.lives.columns if c != "entity_id"])
 
 
 def gather(kb: KnowledgeBase, keys: DataFrame, most: int | None = None) -> DataFrame:
