@@ -16,11 +16,11 @@ MARKS = "☆★○●◎◇◆□■▽▼△▲"
 ENDS = ".,;:!?'\"()[]{}«»"
 #: Fixed value: noise that scanning left in mentions and titles.
 SCAN_NOISE = r"[☆★＄＆◯●＝＋〇○]\(\d+[a-z]?\)|[？?]\(\d+[a-z]?\)|\(\d+[a-z]?\)|[☆★＄＆＝]"
-#: White space as Python's str methods and patterns see it.
-SPACE = r"[\s　   -     \u001c-\u001f\u0085]"
+#: White space as Python's str methods and patterns see it; a pattern that uses it begins with UNICODE. A class by property is some three times as fast as a list of the characters.
+UNICODE, SPACE = "(?U)", r"[\s\x1c-\x1f]"
 WITH_DIACRITICS = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜÝ"
 WITHOUT = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-YEAR_TOKEN = rf"{SPACE}*\[年:[^\]]*\]{SPACE}*$"
+YEAR_TOKEN = rf"{UNICODE}{SPACE}*\[年:[^\]]*\]{SPACE}*$"
 
 
 def _col(c: Column | str) -> Column:
@@ -33,7 +33,7 @@ def _text(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """White space of any kind goes at both ends."""
-    return F.regexp_replace(_text(c), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(_text(c), rf"{UNICODE}^{SPACE}+|{SPACE}+$", "")
 
 
 def _without(c: Column, *patterns: str) -> Column:
@@ -44,13 +44,13 @@ def _without(c: Column, *patterns: str) -> Column:
 
 def normalize_name(c: Column | str) -> Column:
     """White space goes, then marks, then what stands in half-width, full-width and angle brackets, in this order."""
-    c = F.translate(_without(_text(c), rf"{SPACE}+"), MARKS, "")
+    c = F.translate(_without(_text(c), rf"{UNICODE}{SPACE}+"), MARKS, "")
     return _without(c, r"\([^)]*\)", r"（[^）]*）", r"〈[^〉]*〉")
 
 
 def base_name(c: Column | str) -> Column:
     """What stands in brackets of any kind goes, and all white space."""
-    return _without(_text(c), r"〈[^〉]*〉|\([^)]*\)|（[^）]*）", rf"{SPACE}+")
+    return _without(_text(c), r"〈[^〉]*〉|\([^)]*\)|（[^）]*）", rf"{UNICODE}{SPACE}+")
 
 
 def mention_base(c: Column | str) -> Column:
@@ -95,7 +95,7 @@ def normalize_generic(c: Column | str, lang: Column | str, fold=fold_diacritics)
     German sharp s written out, diacritics folded but for Finnish and Sanskrit."""
     lang = F.left(F.lower(_text(lang)), F.lit(2))
     c = F.when(lang == "sa", _text(c)).otherwise(F.lower(_text(c)))
-    c = F.btrim(strip(F.regexp_replace(c, rf"{SPACE}+", " ")), F.lit(ENDS))
+    c = F.btrim(F.btrim(F.regexp_replace(c, rf"{UNICODE}{SPACE}+", " ")), F.lit(ENDS))  # after the first step all white space is single blanks
     c = F.when(lang == "de", F.replace(c, F.lit("ß"), F.lit("ss"))).otherwise(c)
     return F.when(lang.isin("fi", "sa"), c).otherwise(fold(c))
 

@@ -2,42 +2,33 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def ready(spark: SparkSession, shared: str | None = None) -> None:
-    """Sees to a folder for checkpoints: the one that spark.checkpoint.dir names; where none is set, `shared`, or in local mode a temporary one. An error on a cluster."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="nomena-"))
+from .storage import removed, written
 
 
-def canon_map(entities: DataFrame, keys: list[Column], shared: str | None = None) -> DataFrame:
+def canon_map(entities: DataFrame, keys: list[Column]) -> DataFrame:
     """(entity_id, canon_id): connected components over equal keys by smallest labels; null keys link nothing.
 
     Keys that only one entity has link nothing and are left out. Each round goes id -> key -> id with partial sums, so a large group is no hot spot, and then takes the label's
-    own label, so the rounds grow with the logarithm of a chain. Lineage is cut by checkpoint().
+    own label, so the rounds grow with the logarithm of a chain. Each round is written once, and the one before is deleted.
     """
-    spark = entities.sparkSession
-    ready(spark, shared)
     every = F.array(*[F.concat(F.lit(f"{i}:"), k) for i, k in enumerate(keys)])
     links = entities.select("entity_id", F.explode(F.array_compact(every)).alias("k"))
     ends = links.groupBy("k").agg(F.min("entity_id").alias("low"), F.max("entity_id").alias("high")).filter("low < high")
-    links = links.join(ends.select("k", "low"), "k").select("k", "entity_id", "low").checkpoint()
-    labels = links.groupBy("entity_id").agg(F.min("low").alias("canon_id")).checkpoint()  # the first round
-    links = links.select("k", "entity_id")
+    links = written(links.join(ends.select("k", "low"), "k").select("k", "entity_id", "low"))
+    step = written(links.groupBy("entity_id").agg(F.min("low").alias("canon_id")))  # the first round
+    labels = step
+    held, links = links, links.select("k", "entity_id")
     while True:
         low = links.join(labels, "entity_id").groupBy("k").agg(F.min("canon_id").alias("low"))
         near = links.join(low, "k").groupBy("entity_id").agg(F.min("low").alias("low"))
-        step = labels.join(near, "entity_id").select("entity_id", F.col("canon_id").alias("old"), F.least("canon_id", "low").alias("canon_id"))
+        before, step = step, labels.join(near, "entity_id").select("entity_id", F.col("canon_id").alias("old"), F.least("canon_id", "low").alias("canon_id"))
         heads = labels.select(F.col("entity_id").alias("canon_id"), F.col("canon_id").alias("further"))
-        step = step.join(heads, "canon_id", "left").select("entity_id", "old", F.least("canon_id", F.coalesce("further", "canon_id")).alias("canon_id")).checkpoint()
+        step = written(step.join(heads, "canon_id", "left").select("entity_id", "old", F.least("canon_id", F.coalesce("further", "canon_id")).alias("canon_id")))
+        removed(before)
         labels = step.select("entity_id", "canon_id")
-        if not step.filter("old <> canon_id").limit(1).count():
+        if step.filter("old <> canon_id").isEmpty():
+            removed(held)
             return entities.select("entity_id").join(labels, "entity_id", "left").select("entity_id", F.coalesce("canon_id", "entity_id").alias("canon_id"))

@@ -15,7 +15,7 @@ NAMES_FROM, SHORTEST = "名乗期間", 30
 def text_signature(c: Column) -> Column:
     """The names told by the text, without white space: null if there are none, or too few characters, or no year."""
     at = F.instr(F.coalesce(c, F.lit("")), NAMES_FROM)
-    part = F.regexp_replace(F.substr(c, at), rf"{text.SPACE}+", "")
+    part = F.regexp_replace(F.substr(c, at), rf"{text.UNICODE}{text.SPACE}+", "")
     return F.when((at > 0) & (F.length(part) > SHORTEST) & part.rlike(r"（\d{3,4}）"), part)
 
 
@@ -25,7 +25,7 @@ def period_signature(periods: Column, body: Column) -> Column:
     dated = F.exists(periods, lambda p: years.known(p["start_year"]).isNotNull() | years.known(p["end_year"]).isNotNull())
     e = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     number = lambda c: F.coalesce(c.cast("string"), F.lit("-"))  # noqa: E731  # a bound of 0 is not a missing one here
-    rows = F.transform(periods, lambda p: F.concat_ws("\u0001", F.regexp_replace(e(p["name"]), rf"{text.SPACE}", ""), e(p["daime"]), number(p["start_year"]), number(p["end_year"]), e(p["name_type"])))
+    rows = F.transform(periods, lambda p: F.concat_ws("\u0001", F.regexp_replace(e(p["name"]), rf"{text.UNICODE}{text.SPACE}", ""), e(p["daime"]), number(p["start_year"]), number(p["end_year"]), e(p["name_type"])))
     return F.when(none, F.concat(F.lit("t:"), text_signature(body))).when(dated, F.concat(F.lit("p:"), F.array_join(rows, "\u0002")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, years
+from .numbering import numbered
 from .ranking import keep_first, top_k
 
 #: The entities of theatres whose names lost their last character, and the character.
@@ -275,8 +276,7 @@ def entities_from_mentions(mentions: DataFrame, records: DataFrame) -> tuple[Dat
     r = groups.join(records.withColumnRenamed("title", "record_title"), "name", "left").withColumn("record_id", F.when(F.col("kind") == ACTOR, F.col("record_id")))
     r = keep_first(r, ["kind", "name", "record_id"], ["first"])
     title = F.when(F.col("record_id").isNotNull(), F.col("record_title")).when(F.col("kind") == ACTOR, F.concat("mention", F.lit("〈1〉"))).otherwise(F.col("mention"))
-    order = Window.orderBy("first", F.col("record_id").asc_nulls_first())  # one row an entity; numbers need one order over them
-    e = r.withColumn("entity_id", (F.row_number().over(order) - 1).cast("int")).withColumn("title", title)
+    e = numbered(r, ["first", F.col("record_id").asc_nulls_first()], "entity_id").withColumn("entity_id", F.col("entity_id").cast("int")).withColumn("title", title)
     gold = e.groupBy("kind", "name").agg(F.min("entity_id").alias("label_id"))
     linked = d.drop("label_id").join(gold, ["kind", "name"], "left").withColumn("label_id", F.coalesce("label_id", F.lit(-1))).drop("kind", "name")
     return e.select("entity_id", F.col("entity_id").cast("long").alias("pos"), "title", F.col("kind").alias("category"), "name", "record_id", "mentions_count"), linked

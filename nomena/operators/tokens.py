@@ -1,6 +1,6 @@
 """Annotated token documents: from files of token rows to documents, and from documents to linked mentions.
 
-Documents are units of bounded size (an article, a page), so one row holds one; files are cut into documents before anything else. There are two dialects. strict: columns are found by the
+Documents are units of bounded size (an article, a page), so one row holds one; a file of any size is read by blocks, whose lines learn their document by a segmented scan. There are two dialects. strict: columns are found by the
 header's names; a mention goes on while the label is I- and of its type, and takes the first qid of any of its tokens. loose: fixed columns; a mention opens only at a token with a qid, goes on over any I-
 label, and has the first of the qids that the token names.
 """
@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.readers import read_lines
+from .numbering import numbered, running_sum
+
 #: What opens a line of document facts, and the columns of the loose dialect.
 FACT = "# hipe2022:"
 LOOSE = {"TOKEN": 0, "NE-COARSE-LIT": 1, "NE-FINE-LIT": 3, "NEL-LIT": 7, "MISC": 9}
@@ -23,11 +26,13 @@ MENTION = "mention string, context_left string, context_right string, qid string
 
 def read_documents(spark: SparkSession, path: str, dialect: str = "strict") -> DataFrame:
     """(file, ord, facts: map, tokens: array<struct<tok, ner, nel, fine, no_space>>) of token files; masked files are left out, documents without tokens too."""
-    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.concat(F.lit("\n"), F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n"))).alias("v"))
-    d = d.filter(~F.element_at(F.split("file", "/"), -1).contains("masked"))
-    header = F.split(F.regexp_extract("v", r"\n(TOKEN\t[^\n]*)", 1), "\t")
-    d = d.select("file", header.alias("header"), F.posexplode(F.split("v", rf"\n(?={FACT}document_id)")).alias("ord", "part")).filter("ord > 0")
-    lines = F.split("part", "\n")
+    d = read_lines(spark, path).filter(~F.element_at(F.split("file", "/"), -1).contains("masked"))
+    headers = d.filter(F.col("value").startswith("TOKEN\t")).groupBy("file").agg(F.split(F.min_by("value", "line_no"), "\t").alias("header"))
+    opens = F.col("value").startswith(f"{FACT}document_id")
+    d = running_sum(d, ["file"], "block", "line_no", opens.cast("int"), "ord").withColumn("ord", (F.col("ord") + opens.cast("int")).cast("int")).filter("ord > 0")
+    d = d.groupBy("file", "ord").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("ls"))  # one document
+    d = d.withColumn("lines", F.transform("ls", lambda x: x["value"])).join(headers, "file", "left")
+    lines = F.col("lines")
     told = F.filter(lines, lambda x: x.startswith(FACT) & x.contains("="))
     facts = F.map_from_entries(F.transform(F.reverse(F.array_distinct(F.transform(told, lambda x: F.trim(F.regexp_extract(x, rf"^{FACT}\s*([^=]*?)\s*=", 1))))), lambda k: F.struct(k, F.trim(F.regexp_replace(F.element_at(F.filter(told, lambda x: F.trim(F.regexp_extract(x, rf"^{FACT}\s*([^=]*?)\s*=", 1)) == k), -1), r"^[^=]*=\s*", "")))))
     at = (lambda n: F.array_position("header", n).cast("int") - 1) if dialect == "strict" else (lambda n: F.lit(LOOSE[n]))
@@ -119,10 +124,10 @@ def with_fine_types(mentions: DataFrame, fine: DataFrame) -> DataFrame:
 def qid_entities(mentions: DataFrame, labels: DataFrame, lang: str, dataset: str) -> DataFrame:
     """A knowledge base of the qids of mentions (ord: order in the files), numbered by where they first come up. labels: (qid, label, description, aliases), what an outside service told; may lack rows.
 
-    A mark that is no qid stands for nothing known. Numbers need one order over the distinct qids only.
+    A mark that is no qid stands for nothing known.
     """
     first = mentions.filter(F.coalesce("qid", F.lit("")) != "").groupBy("qid").agg(F.min("ord").alias("ord"))
-    d = first.withColumn("entity_id", (F.row_number().over(Window.orderBy("ord")) - 1).cast("int")).join(labels, "qid", "left")
+    d = numbered(first, ["ord", "qid"], "entity_id").withColumn("entity_id", F.col("entity_id").cast("int")).join(labels, "qid", "left")
     nil = ~F.col("qid").startswith("Q")
     title = F.when(nil, F.col("qid")).otherwise(F.coalesce(F.nullif("label", F.lit("")), "qid"))
     about = F.when(nil, F.lit("")).otherwise(F.coalesce("description", F.lit("")))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text, years
-from ..operators import candidates, canon, ranking, tokens
+from ..operators import candidates, canon, numbering, ranking, tokens
+from ..operators.storage import written
 from . import fixtures as fx
 from .fixtures import table
 
@@ -124,15 +125,20 @@ reach AS (SELECT p_partkey AS a, p_partkey AS b FROM part UNION SELECT r.a, e.b
 SELECT a AS entity_id, min(b) AS canon_id FROM reach GROUP BY a"""
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """What identities are told by: columns of part alone."""
+    return table(spark, sf, "part").selectExpr("p_partkey AS entity_id", "p_name AS title", "p_type AS category", "p_brand AS source", "p_size AS size")
+
+
 @query(_CANON.format(more=""), linked=False)
 def canon_source(spark, sf):
-    e = fx.entities(spark, sf)
+    e = _records(spark, sf)
     return canon.canon_map(e, [F.concat_ws("|", "source", "category", "size")])
 
 
 @query(_CANON.format(more=" UNION SELECT p_partkey, '1:' || p_name || '|' || p_type || '|' || p_size FROM part"), linked=False)
 def canon_full(spark, sf):
-    e = fx.entities(spark, sf)
+    e = _records(spark, sf)
     return canon.canon_map(e, [F.concat_ws("|", "source", "category", "size"), F.concat_ws("|", "title", "category", "size")])
 
 
@@ -164,24 +170,30 @@ def _split(key: str, least: str) -> str:
 SELECT k AS split_key, CASE WHEN r <= {least} THEN 'test' WHEN r <= 2 * {least} THEN 'valid' ELSE 'train' END AS split FROM r"""
 
 
-def _nth(d: DataFrame, n: int) -> Column:
-    """Whether (h, split_key) is among the n smallest. Digests are counted by their first letters, then one such slice is sorted as far as it is needed."""
-    if n <= 0:
-        return F.lit(False)
-    left = n
-    for prefix, count in sorted((r["p"], r["count"]) for r in d.groupBy(F.left("h", F.lit(4)).alias("p")).count().collect()):  # 65,536 at most
-        if count >= left:
-            break
-        left -= count
-    cut = d.filter(F.left("h", F.lit(4)) == prefix).orderBy("h", "split_key").limit(left).agg(F.max(F.struct("h", "split_key")).alias("m")).first()["m"]
-    return F.struct("h", "split_key") <= F.struct(F.lit(cut["h"]), F.lit(cut["split_key"]))
+def _cuts(d: DataFrame, ranks: list[int]) -> list[Column]:
+    """For each rank n, whether (h, split_key) is among the n smallest. Digests are counted by their first letters, once for all ranks; then only the slice where a rank falls is sorted, as far as it is needed."""
+    counts = sorted((r["p"], r["count"]) for r in d.groupBy(F.left("h", F.lit(4)).alias("p")).count().collect())  # 65,536 at most
+    out = []
+    for n in ranks:
+        left = n
+        for prefix, count in counts:
+            if count >= left:
+                break
+            left -= count
+        if n <= 0 or not counts:
+            out.append(F.lit(False))
+            continue
+        cut = d.filter(F.left("h", F.lit(4)) == prefix).orderBy("h", "split_key").limit(left).agg(F.max(F.struct("h", "split_key")).alias("m")).first()["m"]
+        out.append(F.struct("h", "split_key") <= F.struct(F.lit(cut["h"]), F.lit(cut["split_key"])))
+    return out
 
 
 def _hash_split(keys: DataFrame, least: int) -> DataFrame:
     """First int(n / 10) keys by seeded digest are test, the next valid, the rest train."""
-    d = keys.distinct().withColumn("h", F.md5(F.concat(F.lit("42:"), F.col("split_key")).cast("binary")))
+    d = written(keys.distinct().withColumn("h", F.md5(F.concat(F.lit("42:"), F.col("split_key")).cast("binary"))))
     n = max(least, int(d.count() * 0.1))
-    return d.select("split_key", F.when(_nth(d, n), "test").when(_nth(d, 2 * n), "valid").otherwise("train").alias("split"))
+    test, valid = _cuts(d, [n, 2 * n])
+    return d.select("split_key", F.when(test, "test").when(valid, "valid").otherwise("train").alias("split"))
 
 
 @query(_split("surface || '|' || gold_id", "CAST(floor(n * 0.1) AS BIGINT)"))
@@ -319,6 +331,20 @@ def json_answer(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object(text.outer_json("props"), "$.k").cast("long").alias("k"))
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS number FROM events", linked=False)
+def numbered_events(spark, sf):
+    """All events numbered in order of time, without one task that sees them all."""
+    return numbering.numbered(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], "number").select("event_id", "number")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_id % 5 = 0 THEN event_type END IGNORE NULLS) OVER w AS carried, CAST(coalesce(sum(length(props)) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)", linked=False)
+def carried_events(spark, sf):
+    """The last marked type of each user's events so far, and running lengths of all events of a type, scanned in blocks of a thousand ids."""
+    d = table(spark, sf, "events").withColumn("block", F.floor(F.col("event_id") / 1000))
+    d = numbering.carried(d, ["user_id"], "block", "event_id", F.when(F.col("event_id") % 5 == 0, F.col("event_type")), "carried")
+    return numbering.running_sum(d, ["event_type"], "block", "event_id", F.length("props"), "start").select("event_id", "carried", F.col("start").cast("long").alias("start"))
+
+
 @query("SELECT user_id, event_type, n AS votes FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, max(ts) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r = 1", linked=False)
 def majority_vote(spark, sf):
     return ranking.majority(table(spark, sf, "events"), ["user_id"], "event_type", [F.max("ts")]).select("user_id", "event_type", "votes")

@@ -1,4 +1,4 @@
-"""Readers of line formats. Line numbers are positions in the file, found without reading a file in one task."""
+"""Readers of line formats. Line numbers are positions in the file, found without reading a file in one task: what a line inherits from lines before it (its number, its document) is scanned block by block."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
+
+from ..operators.numbering import carried, running_sum
 
 #: Encodings of annotation files, the first that decodes counts.
 ENCODINGS = ("shift-jis", "cp932", "iso-2022-jp", "euc-jp", "utf-8")
@@ -19,12 +20,9 @@ ANNOTATION = "file string, mention string, parent_name string, kana string, comm
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): blocks of a file are counted, and rows numbered within their block; empty lines count."""
+    """(file, line_no, block, value): blocks of a file are counted, and rows numbered within their block; empty lines count. block: where the row's block of the file begins."""
     d = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = d.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    return d.withColumn("inside", inside).join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("inside")).alias("line_no"), "value")
+    return running_sum(d, ["file"], "block", "at", F.lit(1), "line_no").select("file", F.col("line_no").cast("long").alias("line_no"), "block", "value")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -49,17 +47,15 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
 def read_tokens(spark: SparkSession, path: str, ner: int = 1, nel: int = 7, misc: int = 9) -> DataFrame:
     """(file, document_id, line_no, token, ner, nel, no_space) of token TSV; ner, nel, misc: column positions. A document goes from one document_id line to the next."""
     doc = F.regexp_extract("value", r"^#\s*[\w-]+:document_id\s*=\s*(.*?)\s*$", 1)
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    d = read_lines(spark, path).withColumn("document_id", F.last(F.nullif(doc, F.lit("")), ignorenulls=True).over(order)).withColumn("f", F.split("value", "\t"))
+    d = carried(read_lines(spark, path), ["file"], "block", "line_no", F.nullif(doc, F.lit("")), "document_id").withColumn("f", F.split("value", "\t"))
     d = d.filter(~F.col("value").startswith("#") & ~F.col("value").startswith("TOKEN\t") & (F.size("f") > max(ner, nel, misc)))
     return d.select("file", "document_id", "line_no", F.col("f")[0].alias("token"), F.col("f")[ner].alias("ner"), F.col("f")[nel].alias("nel"), F.col("f")[misc].contains("NoSpaceAfter").alias("no_space"))
 
 
 def read_conllu(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, sentence, form, entity_id, type, base_name): each token that opens an entity, with its sentence's text."""
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     text = F.regexp_extract("value", r"^# text = (.*)$", 1)
-    d = read_lines(spark, path).withColumn("sentence", F.last(F.nullif(text, F.lit("")), ignorenulls=True).over(order)).withColumn("f", F.split("value", "\t"))
+    d = carried(read_lines(spark, path), ["file"], "block", "line_no", F.nullif(text, F.lit("")), "sentence").withColumn("f", F.split("value", "\t"))
     got = lambda pattern, i: F.nullif(F.regexp_extract(F.col("f")[9], pattern, i), F.lit(""))
     opening = r"Entity=\((e\d+)-([^-()|]+)"
     d = d.filter((F.size("f") == 10) & ~F.col("value").startswith("#"))
