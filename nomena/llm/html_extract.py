@@ -2,12 +2,12 @@
 
 A page is cut into blocks. Blocks inside what markup names as menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or reader comments go. Of the rest, blocks inside the page's article (or main) element are its content; all others,
-in pages with an article too, are open to doubt. Pages are paired with their neighbour by URL path within the host, and their lines are
+in pages with an article too, are open to doubt. Pages are paired with their neighbour by address (path and parameters) within the host, and their lines are
 aligned by a longest common subsequence: shared lines in doubt are template and go. Lines of an article stay even if shared: two articles may
 quote the same passage. A neighbour that shares four fifths or more of all lines, those of articles counted, may be a copy: the next ones, up to NEAR, are asked. If all share as much, the one
 that shares least shows the template; if all are equal, nothing is deleted.
 
-Cases: null and empty html give an empty text; a null url forms a host of its own; unclosed, nested and stray tags, broken character references and
+Cases: null and empty html give an empty text; pages without a url form a host of their own, in which each is an address of its own; unclosed, nested and stray tags, broken character references and
 markup cut off at the end are read as browsers do; repeated rows are compared with pages of another address or not at all; extra columns are ignored.
 """
 
@@ -218,7 +218,7 @@ class Pairing:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages.
 
-    Runs: a host's pages in order of path; a host with more pages than a run is cut into ranges of paths, so no task gets all of it, and each
+    An address is the path with its parameters in order; a page without one goes by its page_id. Runs: a host's pages in order of address; a host with more pages than a run is cut into ranges of addresses, so no task gets all of it, and each
     run also gets a page of each of the last NEAR paths of the run before. A page is compared with the ones before it, then, at the start of a host,
     with the ones after. Only the blocks go through the shuffle, compressed.
     """
@@ -231,6 +231,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     limit = max(RUN, n // LISTED)
     large = hosts.filter(F.col("n") > limit).select(F.col("host").alias("h"))
     path = F.regexp_replace(F.coalesce(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.col("url"), F.lit("")), "/+$", "")
+    asked = F.array_join(F.array_sort(F.array_remove(F.split(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^?#]*\?([^#]*)", 1), "&"), "")), "&")  # parameters in order
+    path = F.when(F.trim(F.coalesce("url", F.lit(""))) == "", F.coalesce("page_id", F.lit(""))).otherwise(F.concat(path, F.when(asked == "", "").otherwise(F.concat(F.lit("?"), asked))))
     d = d.withColumn("path", path)
     long = d.drop("html").join(F.broadcast(large), F.col("host") == F.col("h"), "left_semi")  # fewer than LISTED hosts, or n / RUN where n is small
     marks: dict[str, list[str]] = {}

@@ -145,3 +145,15 @@ def test_scopes_are_per_thread(spark):
         t.start()
         t.join()
     assert kept[0].count() == 3
+
+
+def test_html_by_whole_addresses(spark):
+    """Pages told apart by parameters, or by nothing but their id: template goes from all of them, whatever the size of the host."""
+    page = lambda i: f"<body><div>Site of things</div><p>Own text number {i}, {'ab' * (i % 7)}.</p><div>All rights kept</div></body>"
+    rows = [(i, f"http://a.org/view.php?id={i}&x=1#top", page(i)) for i in range(6)] + [(100 + i, None, page(i)) for i in range(6)] + [(200 + i, f"http://b.org/view.php?x=1&id={i}", page(i)) for i in range(300)] + [(900 + i, "", page(i)) for i in range(3)]
+    from nomena.llm import html_extract
+
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i, _, h in rows:
+        assert got[i] == html_extract.blocks(h)[1][1], i
