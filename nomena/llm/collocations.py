@@ -182,6 +182,15 @@ def _entries(blocks: DataFrame, key: dict[str, str]) -> DataFrame:
     return d.select("block", (F.col("place") + 1).alias("place"), *[F.col(f"x.{v}").alias(k) for k, v in key.items()], F.col("x.counts").alias("c"))
 
 
+def _dense(level: DataFrame) -> DataFrame:
+    """Numbers from 0 without gaps for the rows of a written table with its row ids (the part of the table above 33 bits of the place in it): small numbers travel in few bytes."""
+    part = F.shiftrightunsigned("__id", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of the table
+    starts = level.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    d = level.join(F.broadcast(starts), part == F.col("__part"))
+    return d.withColumn("id", F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id", "__part", "__start", "__n")
+
+
 def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK, sent: int = SENT) -> tuple[list[DataFrame], DataFrame]:
     """One table for each length, (id, lang, word, f) and then (id, left, right, f), as far as phrases are frequent; and (lang, n). Written to the shared folder; they belong to the scope around."""
     spark, levels = docs.sparkSession, []
@@ -191,7 +200,7 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block:
         n = materialize(_entries(blocks, key).groupBy("lang").agg(F.sum("c").alias("n")), keep=True)
         for k in range(1, longest + 1):
             counts = _entries(blocks, key).groupBy(*key).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-            level = materialize(counts.withColumn("id", F.monotonically_increasing_id()), keep=True)
+            level = _dense(materialize(counts.withColumn("__id", F.monotonically_increasing_id()), keep=True))
             levels.append(level)
             size = level.count()
             if k == longest or not size:
