@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ranking import top_k
-from .storage import written
+from .storage import batches, written
 
 #: The rarest terms of a query give the first bound: as many as together have so many postings for each result wanted, and one at least.
 FIRST = 16
@@ -58,7 +58,8 @@ class LexicalIndex:
         """docs: one row a document; null and empty texts have no postings."""
         d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         n, total = d.agg(F.count("*"), F.sum(F.size(terms("text")).cast("long"))).first()
-        postings = written(_postings(d.select("doc_id", F.col("text").cast("binary")), max(1, (total or 0) // max(1, n))).sortWithinPartitions("term"))
+        with batches(docs.sparkSession, 256):
+            postings = written(_postings(d.select("doc_id", F.col("text").cast("binary")), max(1, (total or 0) // max(1, n))).sortWithinPartitions("term"))
         lexicon = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("tf"))
         idf = F.length(F.bin(F.expr(f"{n}L div df"))).cast("long")
         return cls(postings, written(lexicon.select("term", "df", idf.alias("idf"), (F.col("tf") * idf).alias("most"))))

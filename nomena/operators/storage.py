@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,18 @@ def written(d: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, what is written hands Python batches of at most so many rows: long texts or packed rows then fit a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def removed(*tables: DataFrame) -> None:
     """Deletes tables that written() made and nothing reads any more."""
     _delete([d._written for d in tables])

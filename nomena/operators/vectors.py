@@ -16,10 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import top_k
-from .storage import written
+from .storage import batches, written
 
 LISTS, SAMPLE, ROUNDS, BLOCK = 64, 4096, 8, 512
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _floats(c: pa.Array, dim: int) -> np.ndarray:
@@ -84,17 +83,13 @@ class VectorIndex:
         keep = keep or 2 * (k + 1)
         spark, dim, c, scale = self.distinct.sparkSession, self.dim, self.centroids, self.scale
         queries = self.distinct.select("list", "uid", "embedding").repartitionByRange("list", "uid").sortWithinPartitions("list", "uid")
-        before = spark.conf.get(BATCH)
-        spark.conf.set(BATCH, str(BLOCK))
-        try:
+        with batches(spark, BLOCK):
             packs = written(queries.mapInArrow(_query_packs(dim, c, probes), "pack long, qids binary, qs binary, near binary, lists array<int>"))
-            spark.conf.set(BATCH, "16")
+        with batches(spark, 16):
             asked = packs.select("pack", F.explode("lists").alias("list")).join(self.blocks, "list").select("pack", F.lit(1).alias("kind"), "list", F.col("uids").alias("a"), F.col("codes").alias("b"), F.lit(None).cast("binary").alias("near"))
             heads = packs.select("pack", F.lit(0).alias("kind"), F.lit(-1).alias("list"), F.col("qids").alias("a"), F.col("qs").alias("b"), "near")
             both = heads.unionByName(asked).repartition("pack").sortWithinPartitions("pack", "kind")
             near = written(both.mapInArrow(_best(dim, c, scale, keep), "q long, v long"))
-        finally:
-            spark.conf.set(BATCH, before)
         e = self.distinct.select("uid", "ids", "embedding")
         pairs = near.join(e.select(F.col("uid").alias("v"), F.col("ids").alias("vids"), F.col("embedding").alias("ve")), "v").join(e.select(F.col("uid").alias("q"), F.col("embedding").alias("qe")), "q")
         product = F.aggregate(F.zip_with("qe", "ve", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
