@@ -80,9 +80,10 @@ class LexicalIndex:
         q = q.join(bound, "query_id", "left").withColumn("rest", F.coalesce(F.sum("most").over(after), F.lit(0)))
         own = F.col("rest") + F.col("most") >= F.coalesce("bound", F.lit(0))  # it and all more frequent terms may reach the bound together
         q = written(q.withColumn("leads", own))
-        left = q.groupBy("query_id").agg(F.coalesce(F.first("bound"), F.lit(0)).alias("bound"), F.sum(F.when(~F.col("leads"), F.col("most")).otherwise(0)).alias("left"))
-        led = self._hits(q.filter("leads")).groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score"))
-        led = written(led.join(left, "query_id").filter(F.col("score") + F.col("left") >= F.col("bound")).select("query_id", "doc_id", "score"))
+        led = written(self._hits(q.filter("leads")).groupBy("query_id", "doc_id").agg(F.sum("weight").alias("score")))
+        reached = top_k(led, ["query_id"], [F.desc("score")], k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("reached"))  # a better bound: k documents have this much
+        left = q.groupBy("query_id").agg(F.sum(F.when(~F.col("leads"), F.col("most")).otherwise(0)).alias("left")).join(reached, "query_id")
+        led = written(led.join(left, "query_id").filter(F.col("score") + F.col("left") >= F.col("reached")).select("query_id", "doc_id", "score"))
         more = led.select("query_id", "doc_id").join(q.filter("NOT leads").select("query_id", "term", "idf"), "query_id").join(self.postings, ["term", "doc_id"]).select("query_id", "doc_id", (F.col("tf") * F.col("idf")).alias("score"))
         return top_k(led.unionByName(more).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), ["query_id"], [F.desc("score"), "doc_id"], k)
 
@@ -95,6 +96,77 @@ class LexicalIndex:
         return asked.join(found, ["term", "part"]).select("query_id", "doc_id", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
+#: Queries of one pass over the texts.
+BLOCK = 512
+
+
+def search_texts(docs: DataFrame, queries: DataFrame, k: int, rarest: int | None = None, text: str = "text", doc_id: str = "doc_id", query_id: str = "query_id") -> DataFrame:
+    """(query_id, doc_id, score, rank): as LexicalIndex.search, without an index, in two passes over the texts for each BLOCK of queries; rarest: the score is the number of the query's so many rarest terms that a document has.
+
+    The queries are a stated set. A pass holds one block of them; each task scores its own documents and keeps the best k of each query, so neither postings nor scores are shuffled.
+    """
+    n, total = docs.agg(F.count("*"), F.sum(F.size(terms(text)).cast("long"))).first()
+    mean = max(1, (total or 0) // max(1, n))
+    d = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(terms(text)).alias("terms"))
+    blocks, best = max(1, -(-asked.count() // BLOCK)), None
+    with batches(docs.sparkSession, 256):
+        for i in range(blocks):
+            rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()  # about BLOCK rows
+            vocabulary = {t.encode(): j for j, t in enumerate(dict.fromkeys(t for r in rows for t in r["terms"]))}
+            df = np.zeros(len(vocabulary), np.int64)
+            for r in d.mapInArrow(_counted(vocabulary), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # terms of one block
+                df[r["term"]] = r["df"]
+            weights = np.zeros((len(vocabulary), len(rows)), np.float64)
+            for j, r in enumerate(rows):
+                own = [t for t in r["terms"] if df[vocabulary[t.encode()]]]
+                for t in sorted(own, key=lambda t: (df[vocabulary[t.encode()]], t.encode()))[:rarest]:
+                    v = vocabulary[t.encode()]
+                    weights[v, j] = 1 if rarest else int(n // df[v]).bit_length()
+            sent = docs.sparkSession.sparkContext.broadcast((vocabulary, weights, np.array([r["query_id"] for r in rows], np.int64)))
+            found = written(d.mapInArrow(_scored(sent, k, mean, rarest is not None), "query_id long, doc_id long, score long"))
+            best = found if best is None else best.unionByName(found)
+    return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], k)
+
+
+def _known(vocabulary: dict[bytes, int], text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """(terms, counts, length) of a text."""
+    words = [w for w in text.replace(b"\n", b" ").split(b" ") if w]
+    term, tf = np.unique(np.array([v for v in map(vocabulary.get, words) if v is not None], np.int64), return_counts=True)
+    return term, tf, len(words)
+
+
+def _counted(vocabulary: dict[bytes, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(vocabulary), np.int64)
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                df[_known(vocabulary, t)[0]] += 1
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(df[held])], ["term", "df"])
+
+    return run
+
+
+def _scored(sent, k: int, mean: int, counting: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, weights, ids = sent.value
+        score, doc = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for b in batches:
+            s = np.zeros((b.num_rows, len(ids)))
+            for i, t in enumerate(b.column(1).to_pylist()):
+                term, tf, length = _known(vocabulary, t)
+                s[i] = (np.ones(len(tf)) if counting else 1000 * tf // (tf + 1 + length // mean)) @ weights[term]
+            at = b.column(0).to_numpy()
+            score, doc = np.hstack([score, s.T]), np.hstack([doc, np.broadcast_to(at, (len(ids), len(at)))])
+            order = np.lexsort((doc, -score))[:, :k]
+            score, doc = np.take_along_axis(score, order, 1), np.take_along_axis(doc, order, 1)
+        row, col = np.nonzero(score > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(doc[row, col]), pa.array(score[row, col].astype(np.int64))], ["query_id", "doc_id", "score"])
+
+    return run
+
+
 def held_to_lists(run: DataFrame, lists: DataFrame) -> DataFrame:
     """(query_id, doc_id, place): the best of a ranking that is in the query's candidate list, with its place in the ranking; where none is, the list's first, without a place. run: (query_id, doc_id, rank), lists: (query_id, doc_id, place)."""
     both = lists.withColumnRenamed("place", "listed").join(run, ["query_id", "doc_id"], "left")

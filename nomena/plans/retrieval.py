@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import lexical, ranking, trie, vectors
+from ..operators import lexical, trie, vectors
 from . import dated
 from .dated import NORM
 from .fixtures import table
@@ -20,15 +20,14 @@ q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_ar
 run AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM (SELECT query_id, doc_id, CAST(sum(weight) AS BIGINT) AS score FROM q JOIN post USING (term) GROUP BY 1, 2))"""
 
 
-def _index(spark, sf) -> tuple[lexical.LexicalIndex, object]:
-    return lexical.LexicalIndex.of(table(spark, sf, "documents")), table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
+def _texts(spark, sf):
+    return table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
 
 
 @query(_SEARCHED + " SELECT query_id, doc_id, score, rank FROM run WHERE rank <= 10", linked=False)
 def lexical_topk(spark, sf):
     """The ten best documents for each benchmark item by the stated weights."""
-    index, items = _index(spark, sf)
-    return index.search(items, 10)
+    return lexical.search_texts(*_texts(spark, sf), 10)
 
 
 @query(
@@ -38,12 +37,9 @@ def lexical_topk(spark, sf):
 )
 def run_in_list(spark, sf):
     """A ranking of thirty held to lists of ten, those with most of the item's three rarest terms: the best listed document, else the list's first."""
-    index, items = _index(spark, sf)
-    own = items.select("query_id", F.explode(F.array_distinct(lexical.terms("text"))).alias("term")).join(index.lexicon, "term")
-    rare = ranking.top_k(own, ["query_id"], ["df", "term"], 3).select("query_id", "term")
-    counts = rare.join(index.postings, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
-    lists = ranking.top_k(counts, ["query_id"], [F.desc("n"), "doc_id"], 10, "place").select("query_id", "doc_id", "place")
-    return lexical.held_to_lists(index.search(items, 30).select("query_id", "doc_id", "rank"), lists)
+    docs, items = _texts(spark, sf)
+    lists = lexical.search_texts(docs, items, 10, rarest=3).select("query_id", "doc_id", F.col("rank").alias("place"))
+    return lexical.held_to_lists(lexical.search_texts(docs, items, 30).select("query_id", "doc_id", "rank"), lists)
 
 
 def _scored(q: F.Column, node: F.Column, token: F.Column) -> F.Column:

@@ -49,6 +49,13 @@ def test_lexical_search_with_frequent_terms(spark):
         scores = [(-sum(weight(w, d) for w in set(t.split()) if w in own[d]), d) for d in own if set(t.split()) & set(own[d])]
         want |= {(q, d, -s, i) for i, (s, d) in enumerate(sorted(scores)[:4], 1)}
     assert got == want
+    before, lexical.BLOCK = lexical.BLOCK, 4  # several passes
+    try:
+        d, q = spark.createDataFrame([*docs, (None, "w1 w2")], "doc_id long, text string"), spark.createDataFrame(queries, "query_id long, text string")
+        n = {(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in lexical.search_texts(d.filter("doc_id IS NOT NULL"), q, 4).collect()}
+        assert n == want and lexical.search_texts(d, q, 4).filter("doc_id IS NULL").isEmpty()
+    finally:
+        lexical.BLOCK = before
 
 
 def test_lists_without_the_ranking(spark):
