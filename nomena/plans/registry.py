@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import text, years
 from ..operators import candidates, canon, numbering, ranking, tokens
 from ..operators.storage import written
+from ..streaming import events as streams
 from . import fixtures as fx
 from .fixtures import table
 
@@ -408,3 +410,10 @@ def leak_containment(spark, sf):
     """Documents that hold an item verbatim."""
     d = candidates.containing(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")))
     return d.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
+
+
+@query("SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS BIGINT) AS occ FROM events", linked=False)
+def occurrence_stream(spark, sf):
+    """The place of each event among those of its type, by a stream over the table with a count for each type as its state."""
+    stream = streams.occurrences(streams.read_events(spark, sf, "events.parquet"), ["event_type"], "event_id")
+    return streams.collected(stream, uuid.uuid4().hex).select("event_id", "event_type", "occ")
