@@ -114,7 +114,7 @@ def as_year(value: Column) -> Column:
 
 
 def described_span(description: Column) -> Column:
-    """A span of years told by a description: years of birth and death in brackets, one year in brackets, a century, a floruit, a year; the first of these that occurs, empty without any."""
+    """The patterns are fixed values, tried in order. A span of years told by a description: years of birth and death in brackets, one year in brackets, a century, a floruit, a year; the first of these that occurs, empty without any."""
     d = F.coalesce(description, F.lit(""))
     both = r"(?i)\((?:b\.?\s*)?(\d{3,4})\s*[–-]\s*(\d{3,4})?\)"
     a, z = F.regexp_extract(d, both, 1), F.regexp_extract(d, both, 2)
@@ -124,7 +124,7 @@ def described_span(description: Column) -> Column:
 
 
 def stage_years(text: Column) -> Column:
-    """struct(start, end) of a period of activity: the years in wide brackets before and after the wave dash; null where there is none."""
+    """The pattern is a fixed value. struct(start, end) of a period of activity: the years in wide brackets before and after the wave dash; null where there is none."""
     parts = F.split(F.coalesce(text, F.lit("")), "[〜～]")
     at = lambda i: F.regexp_extract(F.coalesce(F.get(parts, F.lit(i)), F.lit("")), r"（(\d{4})）", 1).try_cast("int")
     return F.struct(at(0).alias("start"), F.when(F.size(parts) > 1, at(1)).alias("end"))
