@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import years
+from ..functions import text, years
 from . import grams
 from .ranking import keep_first, top_k
 
@@ -147,7 +147,7 @@ def containing(docs: DataFrame, items: DataFrame, run: int = 3, sent: int = 200_
 
 
 def prior(mentions: DataFrame) -> DataFrame:
-    """(surface, entity_id, n, p): how often a surface means an entity."""
-    n = mentions.groupBy("surface", F.col("gold_id").alias("entity_id")).agg(F.count("*").alias("n"))
+    """(surface, entity_id, n, p): how often a surface, in the form of text.surface_key, means an entity."""
+    n = mentions.groupBy(text.surface_key("surface").alias("surface"), F.col("gold_id").alias("entity_id")).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("surface"))
     return n.withColumn("p", F.round(F.col("n") / total, 9))

@@ -283,9 +283,13 @@ def normalize_name(spark, sf):
     return fx.entities(spark, sf).select("entity_id", text.normalize_name("title").alias("norm"), text.mention_base("title").alias("base"))
 
 
-@query("SELECT surface, gold_id AS entity_id, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY surface) AS DOUBLE), 9) AS p FROM mentions GROUP BY surface, gold_id")
+_WRITTEN = "CASE length(sample_key) % 3 WHEN 0 THEN ' \"' || upper(surface) || '\"' WHEN 1 THEN surface || ' ' ELSE surface END"
+
+
+@query(f"SELECT surface, entity_id, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY surface) AS DOUBLE), 9) AS p FROM (SELECT gold_id AS entity_id, translate(lower(trim({_WRITTEN})), '\"', '') AS surface FROM mentions) GROUP BY surface, entity_id")
 def pem_prior(spark, sf):
-    return candidates.prior(fx.mentions(spark, sf))
+    """Surfaces written in capitals, in quotes or with blanks are counted under one form."""
+    return candidates.prior(fx.mentions(spark, sf).withColumn("surface", F.expr(_WRITTEN)))
 
 
 @query("SELECT surface, entity_id FROM (SELECT surface, gold_id AS entity_id, row_number() OVER (PARTITION BY surface ORDER BY count(*) DESC, gold_id) AS r FROM mentions GROUP BY surface, gold_id) WHERE r = 1")
@@ -392,10 +396,11 @@ def cache_occurrence(spark, sf):
     return table(spark, sf, "events").select("event_id", req.alias("req"), (F.row_number().over(w) - 1).alias("occ"))
 
 
-@query("SELECT s, count(DISTINCT entity_id) AS n FROM (SELECT entity_id, source AS s FROM entities EXCEPT SELECT gold_id, book FROM mentions) GROUP BY s")
+@query("SELECT s, count(DISTINCT entity_id) AS n FROM (SELECT entity_id, source AS s FROM entities EXCEPT SELECT gold_id, book FROM mentions WHERE year = 1998) GROUP BY s")
 def set_difference(spark, sf):
+    """Entities of each source that no mention of 1998 means."""
     m, e, _ = _all(spark, sf)
-    d = e.select("entity_id", F.col("source").alias("s")).subtract(m.select("gold_id", "book"))
+    d = e.select("entity_id", F.col("source").alias("s")).subtract(m.filter("year = 1998").select("gold_id", "book"))
     return d.groupBy("s").agg(F.count_distinct("entity_id").alias("n"))
 
 

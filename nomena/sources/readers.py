@@ -26,7 +26,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """The rows of one file with sample_idx, their line in it from 0 (an empty line is no row but counts); a missing file has no rows."""
+    """The rows of one file with sample_idx, their line in it from 0 (an empty line is no row but counts); a missing file has no rows. A line that is no JSON is an error that names it."""
     empty = spark.createDataFrame([], schema)
     try:
         lines = read_lines(spark, path)
@@ -34,7 +34,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         lines = spark.createDataFrame([], "file string, line_no long, value string")
-    rows = lines.select("line_no", F.from_json("value", empty.schema).alias("r"))
+    broken = F.raise_error(F.concat(F.lit("no JSON in line "), F.col("line_no"), F.lit(" of "), F.col("file"))).cast("string")
+    value = F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(broken)
+    rows = lines.filter(F.trim("value") != "").select("line_no", F.from_json(value, empty.schema).alias("r"))
     return rows.filter(F.col("r").isNotNull()).select(F.col("line_no").alias("sample_idx"), "r.*")
 
 

@@ -48,3 +48,11 @@ def test_markdown(spark):
     assert sinks.markdown(d) == "| m | n |\n| --- | --- |\n| a\\|b | 1 |\n|  | 2 |"
     with pytest.raises(ValueError):
         sinks.markdown(d, 1)
+
+
+def test_broken_lines_are_errors(spark, tmp_path):
+    from pyspark.errors import SparkRuntimeException
+
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": \n')
+    with pytest.raises(SparkRuntimeException, match="no JSON in line 2"):
+        readers.read_jsonl(spark, str(tmp_path / "a.jsonl"), "a int").collect()
