@@ -143,8 +143,7 @@ def difflib_candidates(spark, sf):
 def candidate_union(spark, sf):
     """Routes one after another (all three gathered, surface, base name), each entity once, cut at 30."""
     base, asked = kb.KnowledgeBase.of(dated.entities(spark, sf)), dated._asked(spark, sf)
-    parts = [kb._one(base, asked, x, 30, {}) for x in ("gather", "surface", "name")]
-    return kb.merged(parts, 30).select("surface", "year", "entity_id", "route", "rank")
+    return kb.union(base, asked, ["gather", "surface", "name"], 30).select("surface", "year", "entity_id", "route", "rank")
 
 
 VARIANTS = Derived(
