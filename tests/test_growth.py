@@ -40,3 +40,10 @@ def test_gather_once_a_form(monkeypatch, base, asked):
     found = kb.gather(base, asked).collect()
     assert seen == [31]  # 30 of the first name, one of the other
     assert len(found) == 50 * 30 + 1 and not [r for r in found if r.surface is None]
+
+
+def test_places_of_bases_once(monkeypatch, base, asked):
+    seen = counted(monkeypatch, "top_k")
+    found = kb.candidate_list(base, asked, "basename", 0).collect()
+    assert seen == [41]
+    assert sorted(r["rank"] for r in found if r.surface == "Ann Lee〈7〉") == list(range(1, 41))
