@@ -1,7 +1,7 @@
 """Constrained generation: a prefix tree of the allowed names as a table, and beam search over it as joins.
 
 A node is the text of its path, tokens joined by SEP, the root is ''. Each round joins the live beams of all queries with the children of their nodes, scores these and keeps the best few of each query, finished ones among them:
-a query's work is bounded by beams * (children of a node), and rows that a round carries by queries * beams.
+a query's work is bounded by beams * (children of a node), and rows that a round carries by queries * beams. All queries begin at the root: a node where more than SPLIT beams stand is dealt to parts by the query.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from .storage import removed, written
 
 SEP, END = "\u0001", ""
 BEAMS = 5
+#: Beams at one node in one part.
+SPLIT = 10_000
 
 
 def children(names: DataFrame) -> DataFrame:
@@ -27,6 +29,15 @@ def children(names: DataFrame) -> DataFrame:
     return names.distinct().filter(n > 0).select(F.explode(F.concat(steps, last)).alias("x")).select("x.*").distinct()
 
 
+def _met(live: DataFrame, tree: DataFrame) -> DataFrame:
+    """live.join(tree, "node"), without a task for all beams of one node. live is a written table."""
+    often = live.groupBy("node").agg(F.count("*").alias("f")).filter(F.col("f") > SPLIT).select("node", F.ceil(F.col("f") / SPLIT).cast("long").alias("parts"))
+    often = F.broadcast(often)  # at most a row for SPLIT beams
+    dealt = live.join(often, "node", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("query"), F.col("parts")), F.lit(0))).drop("parts")
+    copies = tree.join(often, "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, ["node", "part"])
+
+
 def beam_search(queries: DataFrame, tree: DataFrame, score: Callable[[Column, Column, Column], Column], beams: int = BEAMS, longest: int = 64) -> DataFrame:
     """(query, name, score, rank): the best names of each query; score is the sum over its tokens and END. queries: (query), distinct.
 
@@ -36,7 +47,7 @@ def beam_search(queries: DataFrame, tree: DataFrame, score: Callable[[Column, Co
     tree = written(tree)
     live = written(queries.select("query", F.lit("").alias("node"), F.lit(0).cast("long").alias("score"), F.lit(False).alias("done")))
     for _ in range(longest):
-        grown = live.filter("NOT done").join(tree, "node")
+        grown = _met(live.filter("NOT done"), tree)
         grown = grown.select("query", F.col("child").alias("node"), (F.col("score") + score(F.col("query"), F.col("node"), F.col("token"))).cast("long").alias("score"), (F.col("token") == END).alias("done"))
         kept = written(top_k(grown.unionByName(live.filter("done")), ["query"], [F.desc("score"), "node", "done"], beams).drop("rank"))
         removed(live)
