@@ -1,10 +1,14 @@
 """What is sorted and shuffled grows with the input, not with its square: rows are counted where they used to multiply."""
 
 import difflib
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from nomena.operators import kb
+from nomena.operators import candidates, canon, kb, trie
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +67,40 @@ def test_similar_once_a_form(spark, monkeypatch):
         near = sorted(((difflib.SequenceMatcher(None, k, s).ratio(), k) for k in ("ann lee", "anna lee", "bo ek")), reverse=True)
         want = [i for r, k in near if r >= kb.FUZZY for i, *_ in rows if rows[i][2] == k][:7]
         assert [r.entity_id for r in sorted(found, key=lambda r: r["rank"]) if r.surface == s] == want
+
+
+def test_dense_memory_is_bounded():
+    """Products of many queries with a large batch go by tiles; the result is that of all at once."""
+    rng = np.random.default_rng(1)
+    q, v = rng.normal(size=(3000, 8)), rng.normal(size=(5000, 8))
+    sent = type("Sent", (), {"value": (np.arange(3000), q)})
+    tracemalloc.start()
+    found = next(candidates._nearest(sent, 4)(iter([pd.DataFrame({"vec_id": np.arange(5000) + 1500, "embedding": list(v)})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    every = np.round(q @ v.T, 5)
+    every[np.arange(1500, 3000), np.arange(1500)] = -np.inf
+    want = np.argsort(-every, axis=1, kind="stable")[:, :4] + 1500
+    assert [set(x) for x in want] == list(found.groupby("query_id")["vec_id"].agg(set))
+
+
+def test_beams_of_one_node_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(trie, "SPLIT", 10)
+    tree = trie.written(trie.children(spark.createDataFrame([(["a", "b"],), (["a", "c"],), (["d"],)], "tokens array<string>")))
+    live = trie.written(spark.createDataFrame([(f"q{i}", "" if i else "d") for i in range(200)], "query string, node string"))
+    met = trie._met(live, tree)
+    assert sorted(map(tuple, met.select("query", "node", "token").collect())) == sorted(map(tuple, live.join(tree, "node").select("query", "node", "token").collect()))
+    most = met.groupBy("node", "part").agg(F.count_distinct("query").alias("n")).agg(F.max("n")).first()[0]
+    assert most < 40
+
+
+def test_identities_send_nothing(spark, monkeypatch):
+    """No round broadcasts its labels, however small their files."""
+    plans, real = [], canon.written
+    monkeypatch.setattr(canon, "written", lambda d: (plans.append(d._jdf.queryExecution().executedPlan().toString()), real(d))[1])
+    e = canon.written(spark.createDataFrame([(i, str(i // 2), str((i + 1) // 2)) for i in range(20)], "entity_id long, a string, b string"))
+    found = canon.canon_map(e, [F.col("a"), F.col("b")])
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r.canon_id for r in found.collect()} == {0}
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
