@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, few_rows, materialize, scratch, table
+from .common import discard, few_rows, large_rows, materialize, scratch, table
 
 LONGEST = 5
 LEAST = 100
@@ -35,6 +36,8 @@ SUBSUMED = 100
 BLOCK = 1 << 20
 #: Most frequent phrases of one length whose numbers are sent to all tasks (some 50 MB); beyond, blocks and numbers are joined.
 SENT = 2_000_000
+#: The same for words, which take some 300 bytes each in every Python worker.
+SENT_WORDS = 250_000
 #: Slices of a language from which the best phrases are taken first.
 SLICES = 64
 
@@ -194,8 +197,9 @@ def _dense(level: DataFrame) -> DataFrame:
 def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK, sent: int = SENT) -> tuple[list[DataFrame], DataFrame]:
     """One table for each length, (id, lang, word, f) and then (id, left, right, f), as far as phrases are frequent; and (lang, n). Written to the shared folder; they belong to the scope around."""
     spark, levels = docs.sparkSession, []
-    with scratch(spark), few_rows(spark, 512):
+    with scratch(spark), few_rows(spark, 512), ExitStack() as stack:
         blocks = materialize(_blocks(docs, block))
+        stack.enter_context(large_rows(spark))  # from here on a row is a block
         key = {"lang": "langs", "word": "words"}
         n = materialize(_entries(blocks, key).groupBy("lang").agg(F.sum("c").alias("n")), keep=True)
         for k in range(1, longest + 1):
@@ -205,7 +209,7 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block:
             size = level.count()
             if k == longest or not size:
                 break
-            if size <= sent:
+            if size <= (min(sent, SENT_WORDS) if k == 1 else sent):
                 numbers = spark.sparkContext.broadcast(_Numbers(level.toArrow()))
                 found = _pairs(blocks.select("block", "seq", *key.values()), numbers)
             else:

@@ -157,3 +157,20 @@ def test_html_by_whole_addresses(spark):
     assert len(got) == len(rows)
     for i, _, h in rows:
         assert got[i] == html_extract.blocks(h)[1][1], i
+
+
+def test_collocations_read_blocks_a_few_at_once(spark, monkeypatch):
+    """A row of the tables of blocks holds megabytes; few words are sent to the tasks; both ways come to the same."""
+    from nomena.llm import collocations as c
+
+    docs = spark.createDataFrame([("en", "a b c d a b c. a b")] * 120, "lang string, text string")
+    plain = sorted(map(tuple, c.collocations(docs).collect()))
+    seen, real = [], c.materialize
+    monkeypatch.setattr(c, "materialize", lambda d, keep=False: (seen.append(int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))), real(d, keep))[1])
+    monkeypatch.setattr(c, "SENT_WORDS", 1)
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: (sent.append(x), broadcast(self, x))[1])
+    assert sorted(map(tuple, c.collocations(docs).collect())) == plain
+    assert seen[0] == 4096 and min(seen[1:5]) == max(seen[1:5]) == 16
+    assert not [x for x in sent if isinstance(x, c._Numbers) and x.words is not None]
