@@ -20,14 +20,17 @@ are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Batches, Words, materialize, mix64, run_hashes, scratch, table
+from .common import Batches, Words, discard, materialize, mix64, run_hashes, scratch, table
 
 #: Signature rows in a bucket, about: what one task sorts at a time.
 BUCKET_ROWS = 1_000_000
@@ -37,12 +40,14 @@ BLOCK, BLOCK_SHINGLES = 2000, 1_000_000
 CELLS = 1 << 21
 #: Nodes of a signature whose sketches are compared in one pass over all signatures; those of more nodes go in blocks.
 FEW = 1000
-#: Passes over the texts for signatures, each for an equal part of them: what is shuffled at a time is that much less.
-PASSES = 2
+#: Signatures a shingle that are shuffled at a time, about: there are as many passes over the texts as that asks for, each for an equal part of the signatures.
+A_PASS = 0.2
 #: Rounds of one comparison a node, at most; they end with the first that finds no link.
 ROUNDS = 2
 #: Nodes that a node is compared with in a round, at most: those it shares most signatures with.
 TRIES = 4
+#: Pairs of a node whose sketches are compared in a round, at most: those of most shared signatures; the others stay for later.
+LOOKED = 8
 #: Copies of a join's small side where its key may be held by most rows of the other.
 SALTS = 16
 #: Most rows of a few numbers that are broadcast (some 30 MB); beyond it both sides are joined through a shuffle.
@@ -243,23 +248,24 @@ def _near(x: int, nx: int, y: int, ny: int, p: int, q: int) -> bool:
     return (x ^ y).bit_count() * (q + p) <= (q - p) * (nx + ny)
 
 
-def _stars(at: DataFrame, info: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b, n): for each node b of a signature one node a of another component, unless size or sketch rules a link out; n: signatures they share so; at: (sig, node, comp, lo, hi), info: (node, size, sketch).
+def _stars(at: DataFrame, info: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, n): for each node b of a signature one node a of another component, unless size or sketch rules a link out; n: signatures they share so; and the pairs (a, b) that were looked at. at: (sig, node, comp, lo, hi), info: (node, size, sketch).
 
-    a is a node of the signature's smallest component, or of its largest one: two a signature, so there are at most as many pairs as rows.
+    a is a node of the signature's smallest component, or of its largest one. A node of a large group may meet another a in each of its signatures: of its pairs LOOKED are looked at, so there are at most so many a node.
     """
     pairs = at.select(F.when(F.col("comp") == F.col("lo.comp"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("a"), F.col("node").alias("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("n")))
+    turn = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).withColumn("turn", turn).filter(F.col("turn") <= LOOKED).drop("turn"))
     end = lambda x: info.select(F.col("node").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
-    pairs = _salted(pairs, end("a"), "a", "b").join(end("b"), "b")
+    met = _salted(pairs, end("a"), "a", "b").join(end("b"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             near = [_near(int.from_bytes(xa, "little"), na, int.from_bytes(xb, "little"), nb, p, q) for na, xa, nb, xb in zip(d["na"], d["xa"], d["nb"], d["xb"], strict=True)]
             yield d.loc[np.array(near, bool), ["a", "b", "n"]]
 
-    return pairs.mapInPandas(run, "a long, b long, n long")
+    return met.mapInPandas(run, "a long, b long, n long"), pairs.select("a", "b")
 
 
 def _best(near: DataFrame) -> DataFrame:
@@ -539,10 +545,9 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
     words = nodes.agg(F.sum("size")).first()[0] or 0
     rows = int(words * 3.5 * (q - p) * 2 / (q + p)) + nodes.count()
     buckets = max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
-    shared = None
-    for turn in range(PASSES):
-        part = materialize(_shared_signatures(d, shingle, p, q, seed, buckets, turn, PASSES))
-        shared = part if shared is None else shared.unionByName(part)
+    passes = max(1, math.ceil(3.5 * (q - p) * 2 / (q + p) / A_PASS))
+    parts = [materialize(_shared_signatures(d, shingle, p, q, seed, buckets, turn, passes)) for turn in range(passes)]
+    shared = reduce(DataFrame.unionByName, parts)
     info = nodes.select("node", "size", "sketch")
     once = not members.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     wanted = _Wanted(d, nodes, shingle, seed, once)
@@ -550,8 +555,11 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
     edges = tried = open_ = None
     label = all_nodes.withColumn("comp", F.col("node"))
     at = materialize(_apart(shared.withColumn("comp", F.col("node"))))
+    for part in parts:
+        discard(part)
     for turn in range(ROUNDS):
-        near = _stars(at, info, p, q)
+        before = at
+        near, looked = _stars(at, info, p, q)
         near = materialize(near if tried is None else near.join(tried, ["a", "b"], "left_anti"))
         pairs = materialize(_best(near))
         sets = wanted.of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
@@ -561,11 +569,12 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
         if linked:
             edges = new if edges is None else edges.unionByName(new)
             label = materialize(components(all_nodes, edges))
-        if turn == 0:  # two nodes of a signature that have nothing else in it are settled, unless they are near and their turn didn't come
+        if turn == 0:  # two nodes of a signature that have nothing else in it are settled if they were looked at, unless they are near and their turn didn't come
             open_ = near.select("a", "b").join(pairs, ["a", "b"], "left_anti")
-            two = at.groupBy("sig").agg(F.count_distinct("node").alias("m")).filter("m = 2").select("sig")
-            at = at.join(two, "sig", "left_anti")
+            two = at.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count_distinct("node").alias("m")).filter("m = 2")
+            at = at.join(two.join(looked, ["a", "b"], "left_semi").select("sig"), "sig", "left_anti")
         at = materialize(_apart(at.select("sig", "node").join(_sent(label), "node")))
+        discard(before)
         if not linked:
             break
     # signatures that are still apart

@@ -210,6 +210,23 @@ def test_near_groups_in_blocks(spark, monkeypatch):
     assert got == near_by_hand(rows, n, 9, 10) and asked and asked[0] <= len(rows)
 
 
+def test_pairs_looked_at_are_few_a_node(spark, monkeypatch):
+    """Near copies of one text meet many others by their signatures; of these a few a node are looked at in a round, and no link is lost by it."""
+    monkeypatch.setattr(near_dups, "LOOKED", 2)
+    monkeypatch.setattr(near_dups, "ROUNDS", 1)
+    seen, salted = [], near_dups._salted
+    monkeypatch.setattr(near_dups, "_salted", lambda rows, small, key, spread: (seen.append((key, rows.count())), salted(rows, small, key, spread))[1])
+    rng, rows, n = random.Random(6), [], 3
+    for k in range(80):
+        w = [f"w{i}" for i in range(150)]
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    got = {r[0]: (r[1], r[2]) for r in near_dups.near_groups(frame(spark, rows), n, 9, 10).collect()}
+    assert got == near_by_hand(rows, n, 9, 10)
+    assert next(m for key, m in seen if key == "a") <= 2 * len(rows)
+
+
 def test_forest_joins_what_is_near():
     rng = np.random.default_rng(4)
     for share in (0.0, 0.02, 0.2, 1.0):
