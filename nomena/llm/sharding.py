@@ -18,6 +18,8 @@ SHARDS = 16
 #: A group of more than rows / (shards * PARTS) is dealt out in parts of about that many, so no task holds it; only such groups' counts go to the driver.
 PARTS = 16
 ROUNDS = 3
+#: Rows in a written file, about (some 60 bytes each), where that gives every core one: rounds write many tables, whatever number of partitions a shuffle has.
+FILE_ROWS = 50_000
 
 
 def shard_rows(docs: DataFrame, link: Column, key: list[Column], shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -30,26 +32,32 @@ def shard_rows(docs: DataFrame, link: Column, key: list[Column], shards: int = S
     they are, so they fill what is left of the quotas. docs should be a written table.
     """
     with scratch(docs.sparkSession):
-        return materialize(_sharded(docs, link, key, shards, rounds), keep=True)
+        n = docs.count()
+        return materialize(_sharded(docs, n, link, key, shards, rounds), keep=True, files=_files(docs, n))
 
 
-def _sharded(docs: DataFrame, link: Column, key: list[Column], shards: int, rounds: int) -> DataFrame:
-    n = docs.count()
+def _files(docs: DataFrame, n: int) -> int:
+    """In how many files n rows are written."""
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // FILE_ROWS))
+
+
+def _sharded(docs: DataFrame, n: int, link: Column, key: list[Column], shards: int, rounds: int) -> DataFrame:
     if n == 0:
         return docs.withColumns({"__shard": F.lit(0), "__slot": F.lit(0).cast("long")}).limit(0)
+    files = _files(docs, n)
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     part = max(8, n // (shards * PARTS))
     buckets = math.isqrt(n // shards) + 1  # as many as rows in each, so neither the sums nor the rows of a bucket get many
     d = docs.withColumn("__link", link).withColumn("__hash", F.xxhash64(*key, F.col("__link")))
     groups = d.groupBy("__link").agg(F.count("*").alias("__n"))
     large = groups.filter(F.col("__n") > part).select(F.col("__link").alias("__l"), F.ceil(F.col("__n") / part).cast("long").alias("__parts"))
-    large = materialize(large)
+    large = materialize(large, files=files)
     d = d.join(F.broadcast(large), F.col("__link") == F.col("__l"), "left").drop("__l")  # fewer than n / part = shards * PARTS rows
     d = d.withColumn("__large", F.when(F.col("__parts").isNotNull(), F.xxhash64("__link")))
     d = d.withColumn("__part", F.xxhash64("__link", F.pmod("__hash", F.coalesce("__parts", F.lit(1))))).drop("__parts", "__link")
     whole = d.groupBy("__part").agg(F.count("*").alias("__n")).filter("__n > 1").withColumnRenamed("__part", "__p")
     d = d.join(whole, F.col("__part") == F.col("__p"), "left").withColumn("__linked", F.col("__p").isNotNull() | F.col("__large").isNotNull()).drop("__p", "__n")
-    d = materialize(d.withColumn("__shard", F.pmod("__hash", F.lit(shards)).cast("int")))
+    d = materialize(d.withColumn("__shard", F.pmod("__hash", F.lit(shards)).cast("int")), files=files)
     full = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, quota[s])])
     # at most 2 * shards * PARTS parts, each in at most `shards` shards (in small tables, no more than the rows)
     counts = d.filter("__large IS NOT NULL").groupBy("__large", "__part", "__shard").agg(F.count("*").alias("__n")).collect() if large.count() else []
@@ -63,8 +71,8 @@ def _sharded(docs: DataFrame, link: Column, key: list[Column], shards: int, roun
         d = d.join(F.broadcast(homes), F.col("__part") == F.col("__p"), "left").drop("__p")
         d = d.withColumn("__want", F.coalesce("__home", "__want", "__shard"))
         d = d.withColumn("__class", F.when(F.col("__home").isNotNull(), 0).when(F.col("__linked") & (F.col("__want") == F.col("__shard")), 1).when(F.col("__linked"), 2).otherwise(3))
-        d = _place(d, quota, buckets, full)
-        d = materialize(d.drop("__want", "__gain", "__class", "__home"))
+        d = _place(d, quota, buckets, full, files)
+        d = materialize(d.drop("__want", "__gain", "__class", "__home"), files=files)
     d = d.withColumn("__bucket", F.pmod(F.shiftright("__hash", 7), F.lit(buckets)))
     out = running(d, ["__shard"], "__bucket", [F.col("__hash")], F.lit(1), "__slot")
     return out.drop("__hash", "__part", "__large", "__linked", "__bucket")
@@ -95,12 +103,12 @@ def _frame(d: DataFrame, homes: dict[int, int]) -> DataFrame:
     return d.sparkSession.createDataFrame(list(homes.items()), "__p long, __home int")
 
 
-def _place(d: DataFrame, quota: list[int], buckets: int, full: Column) -> DataFrame:
+def _place(d: DataFrame, quota: list[int], buckets: int, full: Column, files: int) -> DataFrame:
     """Gives each row the wanted shard while its quota lasts, in the order of __class, then -__gain; others fill up what is left."""
     d = d.withColumn("__pace", F.col("__class") * 64 + F.when(F.col("__class") == 2, 40 - F.least(F.lit(40), F.floor(F.log2(F.coalesce("__gain", F.lit(1)) + 0.0)))).otherwise(0))
     d = d.withColumn("__bucket", F.col("__pace") * buckets + F.pmod(F.shiftright("__hash", 7), F.lit(buckets)))
     d = running(d, ["__want"], "__bucket", [F.col("__hash")], F.lit(1), "__at")
-    d = materialize(d.withColumn("__shard", F.when(F.col("__at") < full[F.col("__want")], F.col("__want"))).drop("__at", "__pace"))
+    d = materialize(d.withColumn("__shard", F.when(F.col("__at") < full[F.col("__want")], F.col("__want"))).drop("__at", "__pace"), files=files)
     taken = {r[0]: r[1] for r in d.filter("__shard IS NOT NULL").groupBy("__shard").count().collect()}  # a row per shard
     free, cuts = [quota[s] - taken.get(s, 0) for s in range(len(quota))], [0]
     for x in free:
@@ -116,7 +124,10 @@ def _place(d: DataFrame, quota: list[int], buckets: int, full: Column) -> DataFr
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("link"))
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    d = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("link"))
     with scratch(spark):
-        out = materialize(shard_rows(materialize(d), F.col("link"), [F.col("doc_id"), F.col("size")]), keep=True)
+        d = materialize(d, files=_files(d, n))
+        out = materialize(_sharded(d, n, F.col("link"), [F.col("doc_id"), F.col("size")], SHARDS, ROUNDS), keep=True, files=_files(d, n))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

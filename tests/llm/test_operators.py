@@ -150,6 +150,29 @@ def test_large_groups_stay_whole(spark):
     assert all(len(shards[f"g{i}"]) == 1 for i in range(10)) and 3 <= len(shards["more than two shards"]) <= 4
 
 
+def test_shards_write_few_files(spark, monkeypatch):
+    """The tables of the rounds have as many files as their rows ask for, not as a shuffle has partitions: each file makes an executor start processes."""
+    files, write = [], sharding.materialize
+
+    def counted(*args, **named):
+        out = write(*args, **named)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(sharding, "materialize", counted)
+    hot = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in hot}
+    try:
+        for k, v in hot.items():
+            spark.conf.set(k, v)
+        got = sharding.shard_rows(frame(spark, [(i, f"t{i // 3}") for i in range(600)]), F.col("text"), [F.col("doc_id")]).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    check_shards(600, got, 16)
+    assert len(files) >= 8 and max(files) <= spark.sparkContext.defaultParallelism
+
+
 def near_by_hand(rows, n, p, q):
     sets = {}
     for i, t in rows:
