@@ -52,6 +52,8 @@ LOOKED = 8
 SALTS = 16
 #: Most rows of a few numbers that are broadcast (some 30 MB); beyond it both sides are joined through a shuffle.
 SENT = 500_000
+#: Edges in a written file, about.
+EDGES = 100_000
 #: Parts beyond those needed, so that empty subsets need no signature.
 SPARE = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -396,19 +398,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, comp): comp is the smallest node reachable over edges (a, b). Each round takes the smallest label around and then that label's label."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    touched = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"))
-    labels = materialize(touched)
-    while True:
-        near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("comp").alias("low")).withColumnRenamed("a", "node")
-        step = materialize(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "low").alias("comp")))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))  # every comp is a node with a label
-        step = materialize(_salted(step, jump, "comp", "node").select("node", "old", F.least("comp", "further").alias("comp")))
-        moved = step.filter("old <> comp").limit(1).count()
-        labels = step.drop("old")
-        if not moved:
-            return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    """(node, comp): comp is the smallest node reachable over edges (a, b), written rows.
+
+    In a round each node goes to the root that smallest neighbours lead to. Edges then join roots, those within one go: every round has fewer, and none is looked at again.
+    """
+    files = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // EDGES))
+    ways = []
+    edges = materialize(_apart_ends(edges), files=files)
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), files=files)
+        while True:
+            step = materialize(_led(up.withColumn("old", F.col("comp")), up, "comp"), files=files)
+            up = step.drop("old")
+            if not step.filter("old <> comp").limit(1).count():
+                break
+        ways.append(up)
+        edges = materialize(_apart_ends(_led(_led(edges, up, "a"), up, "b")), files=files)
+    label = nodes.select("node").withColumn("comp", F.col("node"))
+    return _led(label, reduce(lambda later, up: materialize(_led(up, later, "comp"), files=files), reversed(ways)), "comp") if ways else label
+
+
+def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, comp): label, of whose components those of edges (a, b) are one; both are written rows."""
+    over = materialize(_led(_led(edges.select("a", "b"), label, "a"), label, "b"))
+    comps = over.select(F.col("a").alias("node")).union(over.select("b")).distinct()
+    return _led(label, materialize(components(comps, over)), "comp")
+
+
+def _apart_ends(edges: DataFrame) -> DataFrame:
+    """Each edge once, without loops."""
+    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _led(rows: DataFrame, label: DataFrame, key: str) -> DataFrame:
+    """rows with the component of the node in `key` instead, where label, written rows (node, comp), has one. Most rows may hold one node."""
+    to = label.select(F.col("node").alias(key), F.col("comp").alias("__to"))
+    to = F.broadcast(to) if label.count() <= SENT else to
+    return rows.join(to, key, "left").select(*[F.coalesce("__to", c).alias(c) if c == key else c for c in rows.columns])
 
 
 def _close(sketches: list[bytes], size: np.ndarray, comp: np.ndarray, left: np.ndarray, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -552,7 +579,7 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
     once = not members.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     wanted = _Wanted(d, nodes, shingle, seed, once)
     all_nodes = materialize(shared.select("node").distinct())
-    edges = tried = open_ = None
+    tried = open_ = None
     label = all_nodes.withColumn("comp", F.col("node"))
     at = materialize(_apart(shared.withColumn("comp", F.col("node"))))
     for part in parts:
@@ -567,8 +594,7 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
         tried = pairs if tried is None else tried.unionByName(pairs)
         linked = bool(new.limit(1).count())
         if linked:
-            edges = new if edges is None else edges.unionByName(new)
-            label = materialize(components(all_nodes, edges))
+            label = materialize(_merged(label, new) if turn else components(all_nodes, new))
         if turn == 0:  # two nodes of a signature that have nothing else in it are settled if they were looked at, unless they are near and their turn didn't come
             open_ = near.select("a", "b").join(pairs, ["a", "b"], "left_anti")
             two = at.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count_distinct("node").alias("m")).filter("m = 2")
@@ -590,7 +616,7 @@ def _grouped(docs: DataFrame, shingle: int, p: int, q: int, doc_id: str, text: s
         cluster = materialize(components(met, hopeful).withColumnRenamed("comp", "unit"))
         more = materialize(_links_in_blocks(cluster, label, info, wanted.of(met), p, q))
         if more.limit(1).count():
-            label = components(all_nodes, more if edges is None else edges.unionByName(more))
+            label = _merged(label, more)
     label = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = materialize(label.select("node", "comp").join(least, "comp").select("node", "comp", "component_id"))

@@ -250,6 +250,48 @@ def test_pairs_looked_at_are_few_a_node(spark, monkeypatch):
     assert next(m for key, m in seen if key == "a") <= 2 * len(rows)
 
 
+def joined_rows(spark, since):
+    """Rows that all joins have made in the executions from number `since` on; the number of the next one."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, found, last = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList()
+    for e in (runs.apply(i) for i in range(runs.size())):
+        if (k := e.executionId()) < since:
+            continue
+        last, values, nodes = max(last, k + 1), store.executionMetrics(k), store.planGraph(k).allNodes()
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in n.name():
+                told = {n.metrics().apply(i).name(): n.metrics().apply(i).accumulatorId() for i in range(n.metrics().size())}
+                if (at := told.get("number of output rows")) is not None and values.contains(at):
+                    found += int(values.apply(at).replace(",", ""))
+    return found, last
+
+
+def test_components_look_at_an_edge_once(spark):
+    """Joins make rows as there are edges, not as edges times rounds: what is within a component by now goes."""
+    rng = random.Random(8)
+    few, many = [(k, k + 1) for k in range(10_000, 10_040)], [(rng.randrange(400), rng.randrange(400)) for _ in range(6000)]
+    hub, far = [(20_000, 20_001 + k) for k in range(30)] + [(30_000 - k, 40_000) for k in range(30)], [(5, 5), (7777, 7777)]
+    edges = few + many + hub + far
+    d = common.materialize(spark.createDataFrame(edges, "a long, b long"))
+    nodes = spark.createDataFrame([(x,) for x in {x for e in edges for x in e} | {123_456}], "node long")
+    _, since = joined_rows(spark, 0)
+    got = {r[0]: r[1] for r in near_dups.components(nodes, d).collect()}
+    made, _ = joined_rows(spark, since)
+    root = {r[0]: r[0] for r in nodes.collect()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in root}
+    assert made <= 3 * len(edges) + 12 * len(root)
+
+
 def test_forest_joins_what_is_near():
     rng = np.random.default_rng(4)
     for share in (0.0, 0.02, 0.2, 1.0):
