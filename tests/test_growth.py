@@ -54,6 +54,26 @@ def test_places_of_bases_once(monkeypatch, base, asked):
     assert sorted(r["rank"] for r in found if r.surface == "Ann Lee〈7〉") == list(range(1, 41))
 
 
+def test_all_pairs_by_tiles(spark, monkeypatch, base, asked):
+    """Tiles whose edges cut both sides give each pair once, keys that repeat or are null as often as they come."""
+    want = sorted((f"Ann Lee〈{i}〉", 1920, e, e + 1) for i in range(50) for e in range(40)) + [("Bo Ek", None, 40, 1)] * 2
+    monkeypatch.setattr(kb, "TILE", (7, 9))
+    more = asked.union(spark.createDataFrame([("Bo Ek", None)], asked.schema))
+    for method in ("basename", "name"):
+        found = kb.candidate_list(base, more, method, 0).select("surface", "year", "entity_id", "rank").collect()
+        assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
+def test_all_pairs_take_little_disk(spark, tmp_path):
+    """500,000 pairs of 50 names: files encode runs and repeats, less than a byte a pair."""
+    rows = [(i * 997, i, f"Ann {i % 50}〈{i}〉", "", "p", str(i), "", 1900, 1950, "ja", None, None, []) for i in range(5000)]
+    keys = spark.createDataFrame([(f"Ann {i % 50}({i})", None) for i in range(5000)], "surface string, year int")
+    found = kb.candidate_list(kb.KnowledgeBase.of(spark.createDataFrame(rows, kb.ENTITY)), keys, "basename", 0)
+    found.select("surface", "entity_id", "rank").write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 500_000
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 500_000
+
+
 def test_similar_once_a_form(spark, monkeypatch):
     """Digits that no title has are one form; ratios are those of the whole surface."""
     rows = [(i, i, t, "", "p", None, "", None, None, "en", None, None, []) for i, t in enumerate(["ann lee", "anna lee", "bo ek"] * 5)]
